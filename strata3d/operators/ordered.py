@@ -24,10 +24,10 @@ def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str) ->
               .drop("_n"))
     local = Window.partitionBy(*keys, "_b").orderBy(ord_col)
     return (df.withColumn("_b", bucket)
-            .withColumn("_at", F.row_number().over(local) - 1)
+            .withColumn("_local", F.row_number().over(local) - 1)
             .join(offset, [*keys, "_b"])
-            .withColumn(out, F.col("_before") + F.col("_at"))
-            .drop("_b", "_before", "_at"))
+            .withColumn(out, F.col("_before") + F.col("_local"))
+            .drop("_b", "_before", "_local"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:

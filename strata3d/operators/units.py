@@ -265,12 +265,12 @@ def apartments(floors: DataFrame, plans: DataFrame) -> DataFrame:
     odd = ~F.col("_flat")
     pair = pair.withColumn("_swept", polygons.intersection(
         F.when(odd, shapes.full_parts("a")), F.when(odd, shapes.full_parts("b"))))
-    out = pair.withColumn("parts", F.when(F.col("_flat"), shapes.rectangle(x0, y0, x1, y1))
-                          .otherwise(F.col("_swept"))).filter(F.size("parts") > 0)
+    out = pair.withColumn("_made", F.when(F.col("_flat"), shapes.rectangle(x0, y0, x1, y1))
+                          .otherwise(F.col("_swept"))).filter(F.size("_made") > 0)
     return out.select(
         "a.project_id", F.col("b.plan_id").alias("plan_id"),
         F.lit("apartment").alias("unit_type"), F.col("a.floor_id").alias("parent_id"),
-        "parts", "a.crs", "a.vertical_datum", "a.lower_limit", "a.upper_limit",
+        F.col("_made").alias("parts"), "a.crs", "a.vertical_datum", "a.lower_limit", "a.upper_limit",
         "b.source_ids", F.col("b.confidence").alias("confidence_score"),
         "a.parent_ulpin_14", "a.floor_index", F.lit("derived").alias("created_by"),
         F.lit("needs_review").alias("status"))

@@ -38,11 +38,15 @@ class Register:
     def has(self, table: str) -> bool:
         return self._pointer(table) is not None
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, without_batch: str | None = None) -> DataFrame:
+        """Current rows; `without_batch` leaves out what that batch itself appended."""
         at = self._pointer(table)
         if at is None:
             raise ProjectIncomplete(f"table `{table}` has not been written under {self.base}")
-        df = self.spark.read.parquet(f"{self.base}/{table}/{at}")
+        df = self.spark.read.option("mergeSchema", at == "log").parquet(
+            f"{self.base}/{table}/{at}")
+        if at == "log" and without_batch is not None:
+            df = df.filter(F.col("batch_id") != without_batch)
         return df.drop("batch_id") if at == "log" else df
 
     def project(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -69,6 +73,8 @@ class Register:
     # --- write --------------------------------------------------------------------------
     def replace(self, table: str, df: DataFrame, batch_id: str,
                 sort_by: tuple[str, ...] = ()) -> None:
+        if self._pointer(table) == f"v-{batch_id}":
+            return                       # this batch already replaced the table
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         df.write.mode("overwrite").parquet(f"{self.base}/{table}/v-{batch_id}")

@@ -60,8 +60,8 @@ def apply_batch(register: Register, batch: DataFrame, batch_id: str) -> DataFram
     t = lifecycle.transitions(units, mine["transition"].withColumnRenamed("subject", "unit_id"),
                               guard)
     spark = register.spark
-    led = register.read("ulpin_ledger") if register.has("ulpin_ledger") else \
-        spark.createDataFrame([], LEDGER)
+    led = register.read("ulpin_ledger", without_batch=batch_id) if register.has(
+        "ulpin_ledger") else spark.createDataFrame([], LEDGER)
     held = register.read("ulpin_sequence") if register.has("ulpin_sequence") else \
         spark.createDataFrame([], SEQUENCE)
     approved = (t.filter("outcome = 'applied' and target = 'approved'")
@@ -89,6 +89,9 @@ def apply_batch(register: Register, batch: DataFrame, batch_id: str) -> DataFram
     given = register.read("ulpin_ledger").filter("state = 'issued'").select(
         "project_id", "unit_id", F.col("ulpin").alias("_ulpin"))
     given = given.groupBy("project_id", "unit_id").agg(F.max("_ulpin").alias("_ulpin"))
+    add(t, "unit_id")
+    register.append("request_outcome", outcomes, batch_id)
+    # last, so that a replayed batch still starts from the units it started from
     register.replace("unit", units.join(last, ["project_id", "unit_id"], "left")
                      .join(given, ["project_id", "unit_id"], "left")
                      .withColumn("status", F.coalesce("_s", "status"))
@@ -96,8 +99,6 @@ def apply_batch(register: Register, batch: DataFrame, batch_id: str) -> DataFram
                      .withColumn("ulpin_provisional", F.when(F.col("ulpin").isNull(),
                                                              F.col("ulpin_provisional")))
                      .select(*units.columns), batch_id)
-    add(t, "unit_id")
-    register.append("request_outcome", outcomes, batch_id)
     return register.read("request_outcome")
 
 

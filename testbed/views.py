@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strata3d.functions import shapes
 from strata3d.operators import rules
 from strata3d.operators.units import both_directions
+from strata3d.plans import validate
 from strata3d.schemas import SETTINGS, SETTINGS_DEFAULTS
 
 PROJECT = "P1"
@@ -145,6 +146,23 @@ VIEWS = {
                CASE WHEN event_id % 9 = 0 THEN 'floor_estimate' ELSE 'building_outline' END
                    AS kind
         FROM events""",
+    "sketch": """
+        SELECT event_id AS k, CAST(event_id % 5 AS INT) AS form,
+               445e3 + 20 * (event_id % 200) AS x, 1434e3 + 20 * (event_id // 200) AS y,
+               4e0 + event_id % 9 AS w, 6e0 + event_id % 7 AS h
+        FROM events""",
+    "raster": """
+        SELECT s_suppkey AS ord, 'RST-' || CAST(s_suppkey AS STRING) AS raster_id,
+               CASE s_suppkey % 3 WHEN 0 THEN 'dem' WHEN 1 THEN 'DSM' ELSE 'ortho' END AS kind,
+               'SRC-' || CAST(s_suppkey % 5 AS STRING) AS source_id
+        FROM supplier""",
+    "request": """
+        SELECT event_id AS ord, 'BLD-' || CAST((user_id * 37 + event_id % 3) AS STRING)
+                   AS unit_id, ts,
+               CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'needs_review'
+                    WHEN 'purchase' THEN 'approved' WHEN 'signup' THEN 'draft'
+                    ELSE 'closed' END AS target, 'user-' || CAST(user_id AS STRING) AS actor
+        FROM events""",
     "cell": """
         SELECT event_id % 100 AS gx, event_id // 100 AS gy,
                445e3 + 5 * (event_id % 100) + 25e-1 AS x,
@@ -153,7 +171,7 @@ VIEWS = {
                CASE WHEN event_id % 50 = 0 THEN CAST(-9999 AS FLOAT)
                     ELSE CAST(9124e-1 + (event_id % 7) / 8e0
                               + CASE WHEN event_type = 'view' THEN 0e0
-                                     ELSE CAST(value AS INT) % 16 END AS FLOAT) END AS dsm
+                                     ELSE CAST(floor(value) AS INT) % 16 END AS FLOAT) END AS dsm
         FROM events""",
 }
 #: which driver tables and views each view reads
@@ -161,7 +179,8 @@ READS = {"source": ["supplier"], "parcel": ["customer"], "building": ["orders",
          "floor_line": ["lineitem"], "floor": ["floor_line", "building"],
          "apartment": ["floor"], "utility": ["nation"],
          "unit": ["parcel", "building", "floor", "apartment", "utility"],
-         "suggestion": ["events"], "cell": ["events"]}
+         "suggestion": ["events"], "cell": ["events"], "sketch": ["events"],
+         "raster": ["supplier"], "request": ["events"]}
 
 
 def _order(name: str, seen: list[str]) -> list[str]:
@@ -247,3 +266,88 @@ class Testbed:
             F.lit(PROJECT).alias("project_id"), F.col("parent_id").alias("from_unit_id"),
             F.col("unit_id").alias("to_unit_id"), "ord")
         return both_directions(kids)
+
+    def suggestions(self) -> DataFrame:
+        box = [F.col(c) for c in shapes.BOX]
+        moved = [F.col("x0") + F.col("edit_shift"), F.col("y0"),
+                 F.col("x1") + F.col("edit_shift"), F.col("y1")]
+        s = self.view("suggestion")
+        return s.select(
+            F.lit(PROJECT).alias("project_id"), "suggestion_id", "ord", "kind",
+            shapes.rectangle(*box).alias("parts"), F.lit("EPSG:32643").alias("crs"),
+            F.array(F.concat(F.lit("RST-"), F.pmod("ord", F.lit(7)).cast("string")),
+                    F.concat(F.lit("RST-"), F.pmod("ord", F.lit(211)).cast("string")))
+            .alias("source_raster_ids"), "confidence",
+            F.struct(F.lit("outline").alias("name"), F.lit("1").alias("version"),
+                     F.col("run_at").cast("timestamp").alias("run_at")).alias("model"),
+            F.lit(None).cast("int").alias("floor_count"),
+            F.lit(None).cast("string").alias("floor_count_method"), "ground_level_m",
+            "roof_level_m", "review_state", "reviewed_by",
+            F.lit(None).cast("timestamp").alias("reviewed_at"),
+            F.when(F.col("review_state") == "edited", shapes.rectangle(*moved))
+            .alias("edited_parts"), F.lit(None).cast("string").alias("unit_id"),
+            F.lit(None).cast("timestamp").alias("received_at"))
+
+    def sketches(self) -> DataFrame:
+        """Irregular outlines: bow-tie, L, rectangle, triangle, rectangle with a hole."""
+        s = self.view("sketch")
+        x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+
+        def ring(*points):
+            return F.array(*[shapes.point(x + w * a, y + h * b) for a, b in points])
+
+        form = F.col("form")
+        return s.select("k", "form", "x", "y", "w", "h", F
+                        .when(form == 0, F.array(F.array(ring(
+                            (0, 0), (1, 1), (1, 0), (0, 1), (0, 0)))))
+                        .when(form == 1, F.array(F.array(ring(
+                            (0, 0), (1, 0), (1, .5), (.5, .5), (.5, 1), (0, 1), (0, 0)))))
+                        .when(form == 2, F.array(F.array(ring(
+                            (0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))))
+                        .when(form == 3, F.array(F.array(ring(
+                            (0, 0), (1, 0), (0, 1), (0, 0)))))
+                        .otherwise(F.array(F.array(
+                            ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)),
+                            ring((.25, .25), (.75, .25), (.75, .75), (.25, .75),
+                                 (.25, .25))))).alias("parts"))
+
+    TILE = 20
+
+    def tiles(self) -> DataFrame:
+        """DEM and DSM tiles of 20 x 20 cells of 5 m, built from the cells."""
+        n = self.TILE
+        c = self.view("cell")
+        # the raster's first row is the northernmost: rows are counted down from a fixed top
+        top = 1434000.0 + 5 * n * 100000
+        row = F.lit(n * 100000) - 1 - F.col("gy")
+        keyed = c.select(F.floor(F.col("gx") / n).cast("int").alias("tile_col"),
+                         F.floor(row / n).cast("int").alias("tile_row"),
+                         (F.pmod(row, F.lit(n)) * n + F.pmod("gx", F.lit(n))).cast("int")
+                         .alias("at"), "dem", "dsm")
+        full = F.sequence(F.lit(0), F.lit(n * n - 1))
+        grouped = keyed.groupBy("tile_row", "tile_col").agg(F.map_from_entries(
+            F.collect_list(F.struct("at", F.struct("dem", "dsm")))).alias("m"))
+        out = None
+        for kind in ("dem", "dsm"):
+            t = grouped.select(
+                F.lit(kind.upper()).alias("raster_id"), "tile_row", "tile_col",
+                (F.lit(445000.0) + 5.0 * n * F.col("tile_col")).alias("x0"),
+                (F.lit(top) - 5.0 * n * F.col("tile_row")).alias("y0"),
+                F.lit(5.0).alias("res_x"), F.lit(5.0).alias("res_y"), F.lit(n).alias("ncols"),
+                F.lit(n).alias("nrows"), F.lit(-9999.0).cast("float").alias("nodata"),
+                F.transform(full, lambda i: F.coalesce(
+                    F.element_at("m", i)[kind], F.lit(-9999.0).cast("float"))).alias("values"))
+            out = t if out is None else out.unionByName(t)
+        return out
+
+    SIX = ("Z_IMPOSSIBLE", "HEIGHTS_UNAVAILABLE", "PROVENANCE_MISSING", "CONFIDENCE_LOW",
+           "FLOOR_SEQUENCE", "FLOOR_HEIGHT_IMPLAUSIBLE")
+
+    def findings(self) -> DataFrame:
+        """Findings of six rules as a stored run, every second warning acknowledged."""
+        chosen = [r for r in rules.RULES if r[0] in self.SIX]
+        f = validate.findings(self.context(), F.lit("run-0001-testbed"),
+                              F.lit("2024-02-01 00:00:00").cast("timestamp"), chosen)
+        even = F.pmod(F.length("unit_id"), F.lit(2)) == 0
+        return f.withColumn("acknowledged_by", F.when(
+            (F.col("severity") == "warning") & even, "reviewer"))
