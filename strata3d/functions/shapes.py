@@ -23,6 +23,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
                                    point(x0, y1), point(x0, y0))))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def vertices(parts: Column) -> Column:
     return F.flatten(F.flatten(parts))
 
@@ -33,10 +38,16 @@ def _finite(v: Column) -> Column:
 
 def bbox(parts: Column) -> Column:
     """struct<x0,y0,x1,y1> over finite coordinates; fields NULL on an empty polygon."""
-    xs = F.filter(F.transform(vertices(parts), lambda p: p["x"]), _finite)
-    ys = F.filter(F.transform(vertices(parts), lambda p: p["y"]), _finite)
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-                    F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    def ends(v):
+        return F.struct(F.array_min(v["xs"]).alias("x0"), F.array_min(v["ys"]).alias("y0"),
+                        F.array_max(v["xs"]).alias("x1"), F.array_max(v["ys"]).alias("y1"))
+
+    def axes(points):
+        return let(F.struct(
+            F.filter(F.transform(points, lambda p: p["x"]), _finite).alias("xs"),
+            F.filter(F.transform(points, lambda p: p["y"]), _finite).alias("ys")), ends)
+
+    return let(vertices(parts), axes)
 
 
 def ring_area(ring: Column) -> Column:
@@ -191,13 +202,19 @@ def geojson(parts: Column) -> Column:
 
 def with_shape(df: DataFrame, parts: str = "parts") -> DataFrame:
     """Add what spatial operators need: bbox x0..y1, `is_rect`, `area`."""
-    out = df.withColumn("_b", bbox(F.col(parts)))
-    out = out.select("*", *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")],
-                     is_rectangle(F.col(parts), F.col("_b")).alias("is_rect")).drop("_b")
-    return out.select(
-        "*",
-        F.when(F.col("is_rect"), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-        .otherwise(area(F.col(parts))).alias("area"))
+    p = F.col(parts)
+
+    def with_area(s):
+        flat = (s["x1"] - s["x0"]) * (s["y1"] - s["y0"])
+        return F.struct(*[s[c].alias(c) for c in BOX], s["is_rect"].alias("is_rect"),
+                        F.when(s["is_rect"], flat).otherwise(area(p)).alias("area"))
+
+    def with_form(b):
+        return let(F.struct(*[b[c].alias(c) for c in BOX],
+                            is_rectangle(p, b).alias("is_rect")), with_area)
+
+    # one expression: a later filter on `area` then repeats it once, not once per use
+    return df.withColumn("_s", let(bbox(p), with_form)).select("*", "_s.*").drop("_s")
 
 
 BOX = ("x0", "y0", "x1", "y1")

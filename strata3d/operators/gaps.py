@@ -84,7 +84,10 @@ def uncovered(units: DataFrame, contains: DataFrame) -> DataFrame:
                        span(F.col("ky0"), F.col("ky1"), F.col("y0"), th))
     empty = with_tile(tiled.withColumn("kid", F.lit(None).cast(PARTS)), every, every)
     # at most a tile's worth of distinct outlines per row; NULL marks the tile itself
-    tiles = placed.unionByName(empty).groupBy("project_id", "unit_id", "tile").agg(
+    # (a fixed number of partitions: small inputs must not be merged into one Python task)
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.unionByName(empty).repartition(n, "project_id", "unit_id", "tile")
+    tiles = spread.groupBy("project_id", "unit_id", "tile").agg(
         *[F.first(c).alias(c) for c in ("tol_h", "parts", "tx0", "ty0", "tx1", "ty1")],
         F.collect_list("kid").alias("kids"))
     flat = F.flatten(F.transform("kids", lambda k: F.concat(
@@ -97,8 +100,6 @@ def uncovered(units: DataFrame, contains: DataFrame) -> DataFrame:
                      ["project_id", "unit_id"])
                .filter(F.col("missing") > S.negligible_area(F.col("tol_h"))))
     # the finding itself names every child, so its list is as long as the result asks for
-    named = (edge.join(missing.select("project_id", "unit_id"), ["project_id", "unit_id"],
-                       "left_semi")
-             .groupBy("project_id", "unit_id")
-             .agg(F.sort_array(F.collect_list("kid_id")).alias("children")))
-    return missing.join(named, ["project_id", "unit_id"])
+    return (missing.join(edge, ["project_id", "unit_id"])
+            .groupBy("project_id", "unit_id", "missing", "tol_h")
+            .agg(F.sort_array(F.collect_list("kid_id")).alias("children")))

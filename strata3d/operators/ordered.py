@@ -50,13 +50,15 @@ def neighbours(df: DataFrame, keys: list[str], index: str, ord_col: str,
     row = F.struct(*payload)
     base = df.select(*keys, F.col(index).alias("_i"), F.col(ord_col).alias("_o"),
                      F.shiftright(F.col(ord_col), BUCKET_BITS).alias("_b"), row.alias("_r"))
+    # both uses below read this one exchange
+    base = base.repartition(*keys, "_i", "_b")
     step1 = Window.partitionBy(*keys, "_i", "_b").orderBy("_o")
     marked = base.withColumn("_p", F.lag("_r").over(step1))
     inner = marked.filter("_p is not null").select(*keys, F.col("_p").alias("prev"),
                                                    F.col("_r").alias("cur"))
     pieces = (base.groupBy(*keys, "_i", "_b")
               .agg(F.min_by("_r", "_o").alias("_first"), F.max_by("_r", "_o").alias("_last"))
-              .withColumn("_g", F.floor(F.col("_i") / 256)))
+              .withColumn("_g", F.floor(F.col("_i") / 256)).repartition(*keys, "_g"))
     step2 = Window.partitionBy(*keys, "_g").orderBy("_i", "_b")
     chained = pieces.withColumn("_p", F.lag("_last").over(step2))
     middle = chained.filter("_p is not null").select(*keys, F.col("_p").alias("prev"),

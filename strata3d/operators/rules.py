@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import polygons, shapes
 from ..functions import scalars as S
 from ..schemas import EASEMENT_TYPES, PARTS
+from ..session import stored
 from . import context, gaps, ordered, spatial
 
 CORE = ("project_id", "rule_id", "severity", "unit_id", "related_unit_ids", "message",
@@ -28,14 +29,10 @@ class Context:
 
     @classmethod
     def of(cls, units, relationships, sources, settings) -> Context:
-        """Fourteen rules read the same enriched units, so they are computed once and kept
-        (memory, then disk; a lost executor's share is recomputed)."""
-        return cls(context.build(units, relationships, sources, settings).persist(),
-                   context.contains_edges(relationships).persist())
-
-    def release(self) -> None:
-        self.units.unpersist()
-        self.contains.unpersist()
+        """Fourteen rules read the same enriched units, so these are written once; each rule
+        then scans only its own columns and rows."""
+        return cls(stored(context.build(units, relationships, sources, settings)),
+                   context.contains_edges(relationships))
 
 
 Rule = Callable[[Context], DataFrame]

@@ -66,48 +66,44 @@ def candidates(left: DataFrame, right: DataFrame, *, keys: list[Column | str] =
         # a scalar subquery of at most five values, whatever the data
         return df.agg(F.collect_set("_own")).scalar()
 
-    def rows(df, name, sizes):
+    def rows(df, name, looks, roles):
+        """Cells of a side with `role`: 1 pairs left homes with everything on the right, 2
+        pairs left visits with right homes. One pass over the side serves both."""
         payload = F.struct(*[F.col(c) for c in df.columns if not c.startswith("_")])
-        out = df.select("*", payload.alias(name))
-        out = cells_at(out, sizes)
+        own = F.col("_own")
+        out = df.withColumn("_sizes", looks)
+        sizes = F.concat(F.array(own), F.filter("_sizes", lambda s: s > own))
+        out = cells_at(out.select("*", payload.alias(name)), sizes)
+        out = out.withColumn("role", F.explode(roles(F.col("cell") == own)))
         if split_z:
             out = out.withColumn("cz", F.explode(_span(
                 F.least("lower_limit", "upper_limit"),
                 F.greatest("lower_limit", "upper_limit"), Z_BIN_M)))
         else:
             out = out.withColumn("cz", F.lit(0).cast("bigint"))
-        return out.select(name, "_own", "cell", "cx", "cy", "cz",
+        return out.select(name, "_own", "cell", "cx", "cy", "cz", "role",
                           *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
-    def visiting(df, other, name, strictly):
-        own = F.col("_own")
-        return rows(df.withColumn("_sizes", sizes_in_use(other)), name, F.filter(
-            "_sizes", lambda s: (s > own) if strictly else (s >= own)))
-
-    def joined(homes, lookups, home_name, look_name, condition):
-        h, v = homes.alias("h"), lookups.alias("v")
-        on = [F.col(f"h.{c}") == F.col(f"v.{c}") for c in ("cell", "cx", "cy", "cz")]
-        on += [F.col(f"h.k{i}").eqNullSafe(F.col(f"v.k{i}")) for i in range(len(keys))]
-        on += condition
-        a, b = F.col(f"h.{home_name}"), F.col(f"v.{look_name}")
-        on += [a["x0"] <= b["x1"], b["x0"] <= a["x1"], a["y0"] <= b["y1"], b["y0"] <= a["y1"],
-               F.floor(F.greatest(a["x0"], b["x0"]) / F.col("h.cell")) == F.col("h.cx"),
-               F.floor(F.greatest(a["y0"], b["y0"]) / F.col("h.cell")) == F.col("h.cy")]
-        if split_z:
-            on.append(F.floor(F.greatest(F.least(a["lower_limit"], a["upper_limit"]),
-                                         F.least(b["lower_limit"], b["upper_limit"]))
-                              / Z_BIN_M) == F.col("h.cz"))
-        return h.join(v, reduce(lambda p, q: p & q, on)).select("a", "b")
-
-    at_home = rows(left, "a", F.array("_own"))
-    same = []
+    none = F.array().cast("array<double>")
+    one, two, both = (F.array(*[F.lit(i) for i in r]) for r in ((1,), (2,), (1, 2)))
+    h = rows(left, "a", none if self_join else sizes_in_use(right),
+             lambda home: F.when(home, one).otherwise(two)).alias("h")
+    v = rows(right, "b", sizes_in_use(left), lambda home: (
+        one if self_join else F.when(home, both).otherwise(one))).alias("v")
+    on = [F.col(f"h.{c}") == F.col(f"v.{c}") for c in ("cell", "cx", "cy", "cz", "role")]
+    on += [F.col(f"h.k{i}").eqNullSafe(F.col(f"v.k{i}")) for i in range(len(keys))]
     if self_join:
-        same = [(F.col("h._own") > F.col("v._own"))
-                | (F.col("h.a.unit_id") < F.col("v.b.unit_id"))]
-    out = joined(at_home, visiting(right, left, "b", False), "a", "b", same)
-    if not self_join:
-        out = out.unionByName(joined(rows(right, "b", F.array("_own")),
-                                     visiting(left, right, "a", True), "b", "a", []))
+        on.append((F.col("h._own") > F.col("v._own"))
+                  | (F.col("h.a.unit_id") < F.col("v.b.unit_id")))
+    a, b, cell = F.col("h.a"), F.col("v.b"), F.col("h.cell")
+    on += [a["x0"] <= b["x1"], b["x0"] <= a["x1"], a["y0"] <= b["y1"], b["y0"] <= a["y1"],
+           F.floor(F.greatest(a["x0"], b["x0"]) / cell) == F.col("h.cx"),
+           F.floor(F.greatest(a["y0"], b["y0"]) / cell) == F.col("h.cy")]
+    if split_z:
+        on.append(F.floor(F.greatest(F.least(a["lower_limit"], a["upper_limit"]),
+                                     F.least(b["lower_limit"], b["upper_limit"]))
+                          / Z_BIN_M) == F.col("h.cz"))
+    out = h.join(v, reduce(lambda p, q: p & q, on)).select("a", "b")
     return out if within is None else out.filter(within)
 
 

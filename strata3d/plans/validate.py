@@ -29,7 +29,6 @@ def run(register: Register, run_id: str, rules=RULES, covered: DataFrame | None
     at = F.current_timestamp()
     ctx = Context.of(units, edges, sources, settings)
     register.append("finding", findings(ctx, F.lit(run_id), at, rules), run_id)
-    ctx.release()
     done = register.read("finding").filter(F.col("run_id") == run_id)
     order = F.unix_micros(at)
     register.append("validation_run", settings.select(

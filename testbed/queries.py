@@ -140,7 +140,7 @@ rule("rule_utility_crossing", rules.utility_crossing, finding_sql(
 @query("rule_geometry_invalid", duckdb_with("sketch")
        + " SELECT k, form FROM sketch WHERE form = 0")
 def _(tb):
-    s = tb.sketches().withColumn("project_id", F.lit(PROJECT)).withColumn(
+    s = tb.kept("sketches").withColumn("project_id", F.lit(PROJECT)).withColumn(
         "unit_id", F.col("k").cast("string"))
     bad = rules.geometry_invalid(rules.Context(shapes.with_shape(s), None))
     return bad.select(F.col("unit_id").cast("bigint").alias("k")).join(
@@ -394,7 +394,7 @@ def _(tb):
              FROM suggestion WHERE review_state IN ('accepted', 'edited')), """
        + _ATTACH.replace("{rx}", Q.rx("share", 4)))
 def _(tb):
-    s = tb.suggestions().filter("review_state in ('accepted', 'edited')").withColumn(
+    s = tb.kept("suggestions").filter("review_state in ('accepted', 'edited')").withColumn(
         "parts", U.chosen_outline())
     return _attached(shapes.with_shape(s).withColumn("local_id", F.col("suggestion_id")), tb)
 
@@ -428,7 +428,7 @@ _BUILT = "g AS (SELECT unit_id AS known, k AS ord, x0, y0, x1, y1 FROM building)
 
 
 def _found(tb):
-    return shapes.with_shape(tb.suggestions().select("project_id", "suggestion_id", "parts"))
+    return shapes.with_shape(tb.kept("suggestions").select("project_id", "suggestion_id", "parts"))
 
 
 def _queue(tb):
@@ -475,7 +475,7 @@ def _(tb):
        FROM r LEFT JOIN raster a ON a.raster_id = r0 LEFT JOIN raster b ON b.raster_id = r1""")
 def _(tb):
     reg = tb.view("raster").withColumn("project_id", F.lit(PROJECT))
-    return U.sources_of(tb.suggestions(), reg).select("suggestion_id", joined("source_ids"))
+    return U.sources_of(tb.kept("suggestions"), reg).select("suggestion_id", joined("source_ids"))
 
 
 @query("first_raster_by_kind", duckdb_with("raster") + """ SELECT upper(kind) AS kind,
@@ -493,7 +493,7 @@ def _(tb):
        ELSE 75e-2*w*h END, 6) AS area, form = 2 AS is_rect, x AS x0, y + h AS y1
        FROM sketch""")
 def _(tb):
-    return shapes.with_shape(tb.sketches()).select(
+    return shapes.with_shape(tb.kept("sketches")).select(
         "k", F.round("area", 6).alias("area"), "is_rect", "x0", "y1")
 
 
@@ -501,7 +501,7 @@ def _(tb):
        WHEN 0 THEN 5e-1*w*h WHEN 1 THEN 75e-2*w*h WHEN 2 THEN w*h WHEN 3 THEN 5e-1*w*h
        ELSE 75e-2*w*h END, 6) AS area FROM sketch""")
 def _(tb):
-    s = tb.sketches().withColumn("ok", polygons.is_valid(F.col("parts")))
+    s = tb.kept("sketches").withColumn("ok", polygons.is_valid(F.col("parts")))
     fixed = s.withColumn("parts", F.coalesce(polygons.repair(F.when(~F.col("ok"),
                                                                     F.col("parts"))), "parts"))
     return fixed.select("k", F.round(shapes.area(F.col("parts")), 6).alias("area"))
@@ -511,7 +511,7 @@ def _(tb):
        WHEN 1 THEN w*h*5e-1 WHEN 2 THEN w*h*5e-1 WHEN 3 THEN w*h*375e-3
        ELSE w*h*375e-3 END, 6) AS shared FROM sketch WHERE form <> 0""")
 def _(tb):
-    s = tb.sketches().filter("form <> 0")
+    s = tb.kept("sketches").filter("form <> 0")
     half = shapes.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"),
                             F.col("y") + F.col("h") / 2)
     return s.select("k", F.round(shapes.shared_area(
@@ -521,7 +521,7 @@ def _(tb):
 @query("layer_convex_hull", duckdb_with("sketch") + """
        SELECT min(x) AS x_min, max(x + w) AS x_max, min(y) AS y_min FROM sketch""")
 def _(tb):
-    hull = layers.convex_hull(tb.sketches().withColumn("path", F.lit(None).cast(
+    hull = layers.convex_hull(tb.kept("sketches").withColumn("path", F.lit(None).cast(
         "array<struct<x:double,y:double>>")))
     nums = F.transform(F.split(F.regexp_replace("coverage_wkt", "[A-Z() ]*\\(\\(|\\)\\)", ""),
                                ", "), lambda p: F.split(p, " "))
@@ -535,7 +535,7 @@ def _(tb):
        'EPSG:32643' AS crs, min(x) AS x_min, max(y + h) AS y_max, 'Polygon' AS geometry_types
        FROM sketch""")
 def _(tb):
-    layer = tb.sketches().select(
+    layer = tb.kept("sketches").select(
         F.lit("Polygon").alias("geometry_type"), F.lit("EPSG:32643").alias("crs_name"),
         F.create_map(F.lit("k"), F.col("k").cast("string")).alias("properties"), "parts",
         F.lit(None).cast("array<struct<x:double,y:double>>").alias("path"))
@@ -632,8 +632,8 @@ _STATS = f"""SELECT *, greatest(roof - ground, 0e0) AS h FROM s"""
 def _stat_columns() -> str:
     tall = "h >= 25e-1"
     conf = "greatest(4e-1, least(9e-1, 1e0 - spread / h * 5e-1))"
-    return f"""{Q.rx('ground', 2)} AS ground_level_m, {Q.rx('roof', 2)} AS roof_level_m,
-      {Q.rx('h', 2)} AS height_m, CASE WHEN {tall} THEN CAST(greatest(round_even(h / 3, 0), 1)
+    return f"""{Q.rx('round(ground, 9)', 2)} AS ground_level_m, {Q.rx('round(roof, 9)', 2)} AS roof_level_m,
+      {Q.rx('round(h, 9)', 2)} AS height_m, CASE WHEN {tall} THEN CAST(greatest(round_even(h / 3, 0), 1)
       AS INT) END AS floor_count,
       CASE WHEN {tall} THEN round({conf}, 2) ELSE 0e0 END AS confidence"""
 
@@ -752,7 +752,7 @@ def _(tb):
        x0 + edit_shift AS x0, confidence AS confidence_score FROM suggestion
        WHERE review_state IN ('accepted', 'edited')""")
 def _(tb):
-    s = tb.suggestions().filter("review_state in ('accepted', 'edited')").withColumn(
+    s = tb.kept("suggestions").filter("review_state in ('accepted', 'edited')").withColumn(
         "parts", U.chosen_outline())
     for c, t in (("parcel_share", "double"), ("parcel_unresolved", "string"),
                  ("parcel_ulpin", "string")):
@@ -867,7 +867,7 @@ def _(tb):
        WHEN review_state = 'edited' AND ord % 2 = 0 THEN 'edit_without_geometry'
        ELSE 'applied' END AS outcome FROM suggestion""")
 def _(tb):
-    s = tb.suggestions()
+    s = tb.kept("suggestions")
     stored = s.filter(F.pmod("ord", F.lit(5)) != 0).withColumn(
         "unit_id", F.when(F.pmod("ord", F.lit(7)) == 0, "U"))
     asked = s.select("project_id", "suggestion_id", "ord", F.when(
@@ -1180,7 +1180,7 @@ def _(tb):
 def _(tb):
     u = tb.kept("units").select("project_id", "unit_id", "status", F.when(
         F.col("status") != "approved", F.col("attributes.parent_ulpin_14")).alias("ulpin"))
-    out = contracts.register_problems(u, tb.kept("relationships"), tb.suggestions())
+    out = contracts.register_problems(u, tb.kept("relationships"), tb.kept("suggestions"))
     return out.groupBy("problem").agg(F.count("*").alias("n"))
 
 
@@ -1223,7 +1223,7 @@ def _(tb):
        OVER (ORDER BY run_at DESC, suggestion_id) AS place FROM suggestion
        WHERE review_state = 'accepted' ORDER BY place LIMIT 100""")
 def _(tb):
-    s = tb.suggestions().filter("review_state = 'accepted'")
+    s = tb.kept("suggestions").filter("review_state = 'accepted'")
     top = s.orderBy(F.desc("model.run_at"), "suggestion_id").limit(100)
     w = Window.partitionBy("project_id").orderBy(F.desc("model.run_at"), "suggestion_id")
     return top.select("suggestion_id", F.row_number().over(w).alias("place"))

@@ -15,6 +15,7 @@ from strata3d.operators import rules
 from strata3d.operators.units import both_directions
 from strata3d.plans import validate
 from strata3d.schemas import SETTINGS, SETTINGS_DEFAULTS
+from strata3d.session import stored
 
 PROJECT = "P1"
 
@@ -248,15 +249,15 @@ class Testbed:
             "attributes", F.col("parent_id").alias("parent_ref"))
 
     def kept(self, name: str) -> DataFrame:
-        """A register table as stored input: computed once per session, then read."""
+        """A register table as stored input: derived once per session, then read back."""
         if name not in self._kept:
-            self._kept[name] = getattr(self, name)().persist()
+            self._kept[name] = stored(getattr(self, name)())
         return self._kept[name]
 
     def context(self) -> rules.Context:
         if "context" not in self._kept:
             self._kept["context"] = rules.Context.of(
-                self.kept("units"), self.kept("relationships"), self.sources(),
+                self.kept("units"), self.kept("relationships"), self.kept("sources"),
                 self.settings())
         return self._kept["context"]
 
