@@ -626,24 +626,35 @@ def _(tb):
                                "base", "top")
 
 
-_STATS = f"""SELECT *, greatest(roof - ground, 0e0) AS h FROM s"""
+def _quantile(cells: str, q: str) -> str:
+    """Linear interpolation between the two middle ranks of a sorted list."""
+    pos = f"((len({cells}) - 1) * {q})"
+    low, high = f"CAST(floor({pos}) AS INT)", f"CAST(ceil({pos}) AS INT)"
+    return (f"(CASE WHEN {low} = {high} THEN {cells}[{low} + 1] ELSE ({high} - {pos}) * "
+            f"{cells}[{low} + 1] + ({pos} - {low}) * {cells}[{high} + 1] END)")
+
+
+_STATS = """SELECT *, greatest(roof - ground, 0e0) AS h FROM s"""
 
 
 def _stat_columns() -> str:
     tall = "h >= 25e-1"
     conf = "greatest(4e-1, least(9e-1, 1e0 - spread / h * 5e-1))"
-    return f"""{Q.rx('round(ground, 9)', 2)} AS ground_level_m, {Q.rx('round(roof, 9)', 2)} AS roof_level_m,
-      {Q.rx('round(h, 9)', 2)} AS height_m, CASE WHEN {tall} THEN CAST(greatest(round_even(h / 3, 0), 1)
+    return f"""{Q.rx('ground', 2)} AS ground_level_m, {Q.rx('roof', 2)} AS roof_level_m,
+      {Q.rx('h', 2)} AS height_m, CASE WHEN {tall} THEN CAST(greatest(round_even(h / 3, 0), 1)
       AS INT) END AS floor_count,
       CASE WHEN {tall} THEN round({conf}, 2) ELSE 0e0 END AS confidence"""
 
 
 @query("detection_statistics", duckdb_with("parcel", "cell") + f""",
-       s AS (SELECT p.unit_id, median(CAST(dem AS DOUBLE)) AS ground,
-         quantile_cont(CAST(dsm AS DOUBLE), 9e-1) AS roof,
+       r AS (SELECT p.unit_id, list_sort(list(CAST(dem AS DOUBLE))) AS low,
+         list_sort(list(CAST(dsm AS DOUBLE))) AS high,
          stddev_pop(CAST(dsm AS DOUBLE) - CAST(dem AS DOUBLE)) AS spread
          FROM parcel p JOIN cell c ON c.x BETWEEN p.x0 AND p.x1 AND c.y BETWEEN p.y0 AND p.y1
-         GROUP BY ALL), t AS ({_STATS}) SELECT unit_id, {_stat_columns()} FROM t""")
+         GROUP BY ALL),
+       s AS (SELECT unit_id, spread, {_quantile('low', '5e-1')} AS ground,
+         {_quantile('high', '9e-1')} AS roof FROM r),
+       t AS ({_STATS}) SELECT unit_id, {_stat_columns()} FROM t""")
 def _(tb):
     t = tb.kept("tiles")
     pairs = raster.paired(t.filter("raster_id = 'DEM'"), t.filter("raster_id = 'DSM'"))
