@@ -7,9 +7,12 @@ batch again replaces only that batch.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import ordered
 from ..schemas import SETTINGS, SETTINGS_DEFAULTS
@@ -28,26 +31,27 @@ class Register:
         self.spark, self.base = spark, base.rstrip("/")
 
     # --- read ---------------------------------------------------------------------------
-    def _pointer(self, table: str) -> str | None:
+    def _pointer(self, table: str) -> dict | None:
+        """Where the current rows lie and their schema (empty tables have no files)."""
         try:
             rows = self.spark.read.text(f"{self.base}/{table}/_pointer_").collect()  # one line
         except AnalysisException:
             return None
-        return rows[0][0] if rows else None
+        return json.loads(rows[0][0]) if rows else None
 
     def has(self, table: str) -> bool:
         return self._pointer(table) is not None
 
     def read(self, table: str, without_batch: str | None = None) -> DataFrame:
         """Current rows; `without_batch` leaves out what that batch itself appended."""
-        at = self._pointer(table)
-        if at is None:
+        found = self._pointer(table)
+        if found is None:
             raise ProjectIncomplete(f"table `{table}` has not been written under {self.base}")
-        df = self.spark.read.option("mergeSchema", at == "log").parquet(
-            f"{self.base}/{table}/{at}")
-        if at == "log" and without_batch is not None:
+        df = self.spark.read.schema(StructType.fromJson(found["schema"])).parquet(
+            f"{self.base}/{table}/{found['at']}")
+        if found["at"] == "log" and without_batch is not None:
             df = df.filter(F.col("batch_id") != without_batch)
-        return df.drop("batch_id") if at == "log" else df
+        return df.drop("batch_id") if found["at"] == "log" else df
 
     def project(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """units, relationships, sources, settings; refuses a project that lacks one."""
@@ -73,22 +77,23 @@ class Register:
     # --- write --------------------------------------------------------------------------
     def replace(self, table: str, df: DataFrame, batch_id: str,
                 sort_by: tuple[str, ...] = ()) -> None:
-        if self._pointer(table) == f"v-{batch_id}":
+        if (self._pointer(table) or {}).get("at") == f"v-{batch_id}":
             return                       # this batch already replaced the table
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         df.write.mode("overwrite").parquet(f"{self.base}/{table}/v-{batch_id}")
-        self._move(table, f"v-{batch_id}")
+        self._move(table, f"v-{batch_id}", df)
 
     def append(self, table: str, df: DataFrame, batch_id: str) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+        df = df.withColumn("batch_id", F.lit(batch_id))
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
          .parquet(f"{self.base}/{table}/log"))
         if self._pointer(table) is None:
-            self._move(table, "log")
+            self._move(table, "log", df)
 
-    def _move(self, table: str, to: str) -> None:
-        (self.spark.createDataFrame([(to,)], "value string").coalesce(1).write
+    def _move(self, table: str, to: str, df: DataFrame) -> None:
+        line = json.dumps({"at": to, "schema": df.schema.jsonValue()})
+        (self.spark.createDataFrame([(line,)], "value string").coalesce(1).write
          .mode("overwrite").text(f"{self.base}/{table}/_pointer_"))
 
     def upsert(self, table: str, new: DataFrame, keys: list[str], batch_id: str,
