@@ -67,6 +67,7 @@ def tables(spark, units=UNITS, odd_shape=False, turn=False):
         [("P", k, h, v) for k, (h, v) in ACCURACY.items()],
         "project_id string, source_id string, horizontal_accuracy_m double, "
         "vertical_accuracy_m double"), SOURCE)
+    df = df.drop("a", "b", "c", "d", "parent", "floor_index", "subdivided")
     return df, edges, sources, settings_row(spark, "P")
 
 
