@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, simhash, toxicity
+from . import hostrules, language, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_host_rules"] = r"""
+WITH w AS (SELECT doc_id, lower(source) AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, ws[i:i + 4] AS k FROM w, unnest(range(1, len(ws) - 3)) AS r(i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c
+    FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, sum(least(5, g)) AS n FROM (SELECT doc_id,
+    i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -10) AS g FROM dup) GROUP BY 1),
+m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)),
+        lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE host IS NOT NULL
+    GROUP BY 1),
+p AS (SELECT mu, CASE WHEN v > 1e-12 THEN greatest(mu * (1 - mu) / v - 1, 0) END AS s FROM (
+    SELECT any_value(mu) AS mu, sum(n * (f / n - mu) * (f / n - mu)) / sum(n) AS v
+    FROM h, (SELECT sum(f) / sum(n) AS mu FROM h))),
+r AS (SELECT host, coalesce((f + s * mu) / (n + s), mu) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    round(rate, 6) AS host_rate, NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept
+FROM b LEFT JOIN r USING (host)
+"""
+
+
+@query
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
