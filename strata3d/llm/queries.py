@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, language, quality, simhash, toxicity
+from . import hostrules, language, linetemplates, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,11 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linetemplates.cleaned(docs, "rest", "gone")
+    return out.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
+                      F.array_sort("gone").alias("dropped_lines"), F.col("rest").alias("text"))
