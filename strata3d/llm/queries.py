@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, language, linetemplates, quality, simhash, toxicity
+from . import decontaminate, hostrules, language, linetemplates, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linetemplates.cleaned(docs, "rest", "gone")
     return out.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
                       F.array_sort("gone").alias("dropped_lines"), F.col("rest").alias("text"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"),
+                                      table(spark, sf_dir, "benchmark"))
