@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, hostrules, language, linetemplates, maintext, quality, simhash,
-               toxicity)
+from . import (decontaminate, hostrules, language, linetemplates, maintext, pieces, quality,
+               simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Vocabulary file of the encoder; a deployment sets its own path.
+VOCABULARY = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
@@ -112,3 +116,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return maintext.extract(pages, maintext.fit(pages, table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.read_model(VOCABULARY))

@@ -23,12 +23,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)          # odd, so it has an inverse modul
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together stay near CHUNK characters."""
+def pieces(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts together stay near `most` characters."""
     start = total = 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if total and total + n > CHUNK:
+        if total and total + n > most:
             yield start, i
             start, total = i, 0
         total += n
