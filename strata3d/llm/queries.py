@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, hostrules, language, linetemplates, maintext, pieces, quality,
-               simhash, toxicity)
+               simhash, substrings, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.read_model(VOCABULARY))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_cut", (F.col("n_cut") > 0).alias("has_repeat"), "cut_spans",
+                      "text")
