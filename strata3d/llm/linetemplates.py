@@ -4,16 +4,17 @@ A line is parsed by its number of words, then by its LEADING first words; words
 variable fields. In the leaf so reached a line stands for its exact template and, if long enough,
 for BLOCKS templates that each leave one block of the remaining words variable, so lines that agree
 in all but one block share a template. A template held by at least `min_docs` documents recurs:
-its lines are dropped from all documents but the first (least id), which keeps the text once.
+its lines are dropped from all documents but one, the least by a hash of id and text, which keeps
+the text once.
 
 Only leaves that enough lines share are looked at further. Counts are partial aggregates; a join on
 a crowded template can be split, as its other side is a written table; no template's lines are
 gathered anywhere.
 
 Defined cases: a null text stays null and an empty one empty; lines of fewer than FEWEST_WORDS words
-are kept; repeated rows (equal id and text) count as a document each and are cleaned alike, the first
-document's copies all being kept; null ids order first and take part like any other; an empty table
-gives an empty result. Only `doc_id` and `text` are read; `clean` returns the other columns as they
+are kept; repeated rows (equal id and text) count as one document and are cleaned alike; rows with a
+null id or a shared one are told apart by their text; an empty table gives an empty result. Documents
+and templates are known by 64-bit hashes. Only `doc_id` and `text` are read; `clean` returns the other columns as they
 are, whatever their names.
 """
 
@@ -35,17 +36,17 @@ FIELD = r"(?<!\S)[^\s\d]*+\d\S*"
 
 
 def row_key() -> Column:
-    """Tells rows with one id apart by their text; never null."""
+    """Names a document; never null."""
     return F.xxhash64("doc_id", "text")
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `row`, `at`, `leaf` and template `keys` of every line with enough words."""
-    lines = docs.select("doc_id", row_key().alias("row"),
-                        F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """`row`, `at`, `leaf` and template `keys` of every line with enough words."""
+    lines = docs.select(row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias(
+        "at", "line"))
     split = F.split(F.trim(F.regexp_replace("line", FIELD, "<*>")), r"\s+")
     ws = F.col("ws")
-    worded = lines.select("doc_id", "row", "at", split.alias("ws")).select(
+    worded = lines.select("row", "at", split.alias("ws")).select(
         "*", F.size(ws).alias("n")).where(F.col("n") >= FEWEST_WORDS)
     leaf = F.xxhash64("n", F.slice(ws, 1, LEADING))
     rest = F.col("n") - LEADING
@@ -57,26 +58,22 @@ def parsed(docs: DataFrame) -> DataFrame:
                                   F.slice(ws, after + 1, F.col("n") - after)))
     exact = F.xxhash64(F.lit(-1), "leaf", ws)
     return worded.withColumn("leaf", leaf).select(
-        "doc_id", "row", "at", "leaf",
-        F.when(F.col("n") >= GENERAL_FROM, F.array(exact, *general)).otherwise(
+        "row", "at", "leaf", F.when(F.col("n") >= GENERAL_FROM, F.array(exact, *general)).otherwise(
             F.array(exact)).alias("keys"))
 
 
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """`doc_id`, `row` and `lines`, the numbers of the lines to drop, of every document with some."""
+    """`row` and `lines`, the numbers of the lines to drop, of every document with some."""
     lines = stored(parsed(docs))
     leaves = stored(lines.groupBy("leaf").agg(F.count("*").alias("n"))
                     .where(F.col("n") >= min_docs).select("leaf"))
     held = stored(lines.join(leaves, "leaf", "left_semi")
-                  .select("doc_id", "row", "at", F.explode("keys").alias("key")))
+                  .select("row", "at", F.explode("keys").alias("key")))
     # a document's rows of one template lie in one task, so the first aggregate is nearly done there
-    of_doc = held.groupBy("key", "doc_id", "row").agg(F.count("*").alias("n"))
-    recurring = stored(of_doc.groupBy("key").agg(
-        F.count("*").alias("docs"), F.min(F.struct("doc_id", "row")).alias("first"))
-        .where(F.col("docs") >= min_docs))
-    gone = held.join(recurring.select("key", "first"), "key").where(
-        ~F.struct("doc_id", "row").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("lines"))
+    recurring = stored(held.groupBy("key", "row").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.count("*").alias("docs"), F.min("row").alias("first")).where(F.col("docs") >= min_docs))
+    gone = held.join(recurring.select("key", "first"), "key").where(F.col("row") != F.col("first"))
+    return gone.groupBy("row").agg(F.collect_set("at").alias("lines"))
 
 
 def _rest(text: Column, gone: Column) -> Column:
@@ -91,11 +88,9 @@ def _rest(text: Column, gone: Column) -> Column:
 def cleaned(docs: DataFrame, text: str, lines: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of `docs` plus the shortened text and the dropped line numbers (null if none),
     under the two names given, which must be free."""
-    gone = dropped(docs, min_docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"),
-                                          F.col("lines").alias("_lines"))
+    gone = dropped(docs, min_docs).select(F.col("row").alias("_row"), F.col("lines").alias("_lines"))
     joined = docs.alias("d").join(
-        gone, F.col("d.doc_id").eqNullSafe(F.col("_id"))
-        & (F.xxhash64("d.doc_id", "d.text") == F.col("_row")), "left")
+        gone, F.xxhash64("d.doc_id", "d.text") == F.col("_row"), "left")
     short = F.when(F.col("_lines").isNull(), F.col("d.text")).otherwise(
         _rest(F.col("d.text"), F.col("_lines")))
     return joined.select("d.*", short.alias(text), F.col("_lines").alias(lines))
