@@ -19,7 +19,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
@@ -158,16 +158,22 @@ def identify_texts(model: Model, texts: list[str | None]) -> tuple[list, np.ndar
     return name, score, unsure
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`doc_id`, `lang_pred`, `score` and `ambiguous` of every row.
+VERDICT = "lang_pred string, score double, ambiguous boolean"
+
+
+def verdict(text: Column, model: Model) -> Column:
+    """`lang_pred`, `score` and `ambiguous` of a text column, as one struct.
 
     The model travels with the tasks: 2^BITS weights for each bit of a codeword.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            name, score, unsure = identify_texts(model, frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": name, "score": score,
-                                "ambiguous": unsure})
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf(VERDICT)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        name, score, unsure = identify_texts(model, texts.tolist())
+        return pd.DataFrame({"lang_pred": name, "score": score, "ambiguous": unsure})
+
+    return run(text)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """`doc_id`, `lang_pred`, `score` and `ambiguous` of every row."""
+    return docs.select("doc_id", verdict(F.col("text"), model).alias("v")).select("doc_id", "v.*")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -36,55 +37,56 @@ SEED = 42
 CROWDED = 2_000
 #: Free bits under which a group is small whatever the data.
 FREE = 14
+#: Of the general form: words of a fingerprint's and of a proof's shingles, radius of candidates,
+#: digests kept as proof, and the similarity of near duplicates.
+PAIR, PROOF, WIDE, SKETCH, SIMILAR = 2, 5, 5, 128, 0.8
 #: Salts that spread the rows of one fingerprint.
 SALTS = 64
 #: ASCII capitals to small letters, as a byte table; UTF-8 keeps other characters out of its way.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None) -> list[bytes]:
+def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
     """UTF-8 shingles; bytes.split() cuts at exactly \\x20 and \\x09 to \\x0D."""
     words = (text or "").encode().translate(LOWER).split()
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))))
-
-
-def fingerprints_of(texts: list[str | None]) -> np.ndarray:
-    """64-bit fingerprint of each text; a bit is set if over half the shingles set it."""
-    out = np.zeros(len(texts), np.uint64)
-    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)[::-1]
-    digest = xxhash.xxh64_intdigest
-    for i, t in enumerate(texts):
-        h = np.array([digest(s, SEED) for s in shingles(t)],
-                     ">u8")
-        if len(h):
-            ones = np.zeros(64, np.int64)
-            for a in range(0, len(h), 1 << 15):
-                ones += np.unpackbits(h[a:a + (1 << 15)].view(np.uint8).reshape(-1, 8),
-                                      axis=1).sum(0, dtype=np.int64)
-            out[i] = (weight * (2 * ones > len(h))).sum()
-    return out
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
+
+
+def digests(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64)
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """Bits set in over half of the digests."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 15):
+        part = h[a:a + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """`doc_id` and signed 64-bit `fp` of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield pd.DataFrame({"doc_id": frame["doc_id"],
-                                "fp": fingerprints_of(frame["text"].tolist()).view(np.int64)})
+            fp = np.array([fingerprint(digests(t)) for t in frame["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fp.view(np.int64)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def covering(bits: tuple[int, ...]) -> list[int]:
-    """Masks over `bits`: for any RADIUS of them, one of the masks leaves all of these out.
+def covering(bits: tuple[int, ...], radius: int = RADIUS) -> list[int]:
+    """Masks over `bits`: for any `radius` of them, one of the masks leaves all of these out.
 
-    Bit i carries the label i mod 2^(RADIUS+1); mask v keeps the bits whose label has an odd
-    number of ones in common with v. Two labels leave a non-zero v orthogonal to both.
+    Bit i carries a label of radius+1 bits, 37 i mod 2^(radius+1); mask v keeps the bits whose label
+    has an odd number of ones in common with v. Some non-zero v is orthogonal to any `radius`
+    labels; the factor spreads few bits over all labels, so that every mask keeps some.
     """
-    n = 1 << (RADIUS + 1)
-    return [sum(1 << b for i, b in enumerate(bits) if ((i % n) & v).bit_count() % 2)
+    n = 1 << (radius + 1)
+    return [sum(1 << b for i, b in enumerate(bits) if ((37 * i % n) & v).bit_count() % 2)
             for v in range(1, n)]
 
 
@@ -92,7 +94,8 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def local_links(fp: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+def local_links(fp: np.ndarray, free: int, radius: int = RADIUS) -> tuple[
+        np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints that differ in free bits only."""
     fp = np.unique(fp)
     parent = np.arange(len(fp))
@@ -109,13 +112,13 @@ def local_links(fp: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
             if a != b:
                 parent[max(a, b)] = min(a, b)
 
-    if len(fp) <= 600:
+    bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
+    if len(fp) <= 2 * sum(comb(len(bits), k) for k in range(1, radius + 1)):
         for i in range(len(fp) - 1):
-            j = np.flatnonzero(np.bitwise_count(fp[i + 1:] ^ fp[i]) <= RADIUS) + i + 1
+            j = np.flatnonzero(np.bitwise_count(fp[i + 1:] ^ fp[i]) <= radius) + i + 1
             link(np.full(len(j), i), j)
     else:
-        bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
-        for k in range(1, RADIUS + 1):
+        for k in range(1, radius + 1):
             for flips in combinations(bits, k):
                 other = fp ^ np.bitwise_or.reduce(np.array(flips, np.uint64))
                 at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
@@ -126,11 +129,11 @@ def local_links(fp: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[moved], fp[root[moved]]
 
 
-def _linked(keys: DataFrame) -> DataFrame:
+def _linked(keys: DataFrame, radius: int) -> DataFrame:
     """Links inside the groups of (mask, masked value); every group is small by now."""
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         free = ~int(frame["mask"].iloc[0]) & (2 ** 64 - 1)
-        a, b = local_links(frame["fp"].to_numpy(np.int64).view(np.uint64), free)
+        a, b = local_links(frame["fp"].to_numpy(np.int64).view(np.uint64), free, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return keys.groupBy("mask", "value").applyInPandas(group, "a long, b long")
@@ -141,10 +144,10 @@ def _masked(fps: DataFrame, masks: F.Column) -> DataFrame:
             .withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`a`, `b`: links that join all distinct `fp` within the radius, directly or in steps."""
-    tables = covering(tuple(range(64)))
-    keys = stored(_masked(fps.select("fp"), F.array(*(F.lit(_signed(m)) for m in tables))))
+    tables = covering(tuple(range(64)), radius)
+    keys = _masked(fps.select("fp"), F.array(*(F.lit(_signed(m)) for m in tables)))
     found = None
     free = {m: tuple(b for b in range(64) if not m >> b & 1) for m in tables}
     while True:
@@ -157,10 +160,12 @@ def links(fps: DataFrame) -> DataFrame:
         if deep:
             small = small.unionByName(keys.join(crowded.where(final), ["mask", "value"]))
             crowded = crowded.where(~final)
-        found = _linked(small) if found is None else found.unionByName(_linked(small))
+        found = _linked(small, radius) if found is None else found.unionByName(
+            _linked(small, radius))
         if crowded.isEmpty():
             return found
-        finer = {m: [m | x for x in covering(b)] for m, b in free.items() if m not in deep}
+        finer = {m: [m | x for x in covering(b, radius)]
+                 for m, b in free.items() if m not in deep}
         pick = F.create_map(*(c for m, v in finer.items() for c in (
             F.lit(_signed(m)), F.array(*(F.lit(_signed(x)) for x in v)))))
         keys = stored(_masked(keys.join(crowded, ["mask", "value"]), F.element_at(pick, "mask"))
@@ -168,7 +173,7 @@ def links(fps: DataFrame) -> DataFrame:
         free = {x: tuple(b for b in range(64) if not x >> b & 1) for v in finer.values() for x in v}
 
 
-def components_of(prints: DataFrame) -> DataFrame:
+def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`doc_id`, `fp` and `component_id` of each row of `prints` (`doc_id`, `fp`).
 
     Rows meet their component on (fingerprint, salt), so one fingerprint's rows spread over tasks.
@@ -176,7 +181,7 @@ def components_of(prints: DataFrame) -> DataFrame:
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     each = stored(salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("least")))
     fps = stored(each.groupBy("fp").agg(F.min("least").alias("least")))
-    root = components.components(links(fps))
+    root = components.components(links(fps, radius))
     joined = stored(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"))
     named = stored(joined.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -190,3 +195,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = components_of(stored(fingerprints(docs)))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       "component_id")
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """`row` (hash of id and text), `doc_id`, `fp` over word pairs and the SKETCH least distinct
+    digests of PROOF-word shingles, ascending, of every row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            fp = np.array([fingerprint(digests(t, PAIR)) for t in frame["text"]], np.uint64)
+            least = [np.unique(digests(t, PROOF))[:SKETCH].tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"],
+                                "fp": fp.view(np.int64), "sketch": least})
+
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    return keyed.mapInPandas(run, "row long, doc_id long, fp long, sketch binary")
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity from two sketches; exact where both texts have at most SKETCH shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    union = np.union1d(x, y)[:SKETCH]
+    return np.isin(union, np.intersect1d(x, y)).sum() / len(union) if len(union) else 1.0
+
+
+def copies(docs: DataFrame, radius: int = WIDE, least: float = SIMILAR) -> DataFrame:
+    """`row` of every document that resembles a kept one at least so much.
+
+    Candidates are the components of word-pair fingerprints within `radius`. In each one the least
+    (id, row) is kept and what resembles it goes; the others stand for another round among
+    themselves, until none is left. So a document only goes if it resembles one that stays. Rows
+    equal in id and text are one document.
+    """
+    prints = stored(sketched(docs))
+    # rows of one fingerprint meet its component on a salt as well, see components_of
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
+    salted = prints.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    each = stored(salted.groupBy("fp", "salt").agg(F.count("*").alias("n")))
+    fps = stored(each.groupBy("fp").agg(F.sum("n").alias("n")))
+    root = components.components(links(fps, radius)).withColumnRenamed("node", "fp")
+    of_fp = fps.join(root, "fp", "left").where(F.col("root").isNotNull() | (F.col("n") > 1))
+    spread = each.select("fp", "salt").join(
+        of_fp.select("fp", F.coalesce("root", "fp").alias("root")), "fp")
+    open_ = stored(salted.join(spread, ["fp", "salt"]).select("root", place.alias("at"), "sketch"))
+    gone = None
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    while not open_.isEmpty():
+        # the least of a root is found in salted steps, as one root may hold a third of all rows
+        part = open_.groupBy("root", F.pmod("at.row", F.lit(SALTS)).alias("salt")).agg(
+            F.min("at").alias("at"))
+        kept = part.groupBy("root").agg(F.min("at").alias("best"))
+        kept = stored(open_.join(stored(kept), "root")
+                      .where(F.col("at") == F.col("best"))
+                      .select("root", "best", F.col("sketch").alias("pattern")).dropDuplicates(
+                          ["root"]))
+        met = stored(open_.join(kept, "root").where(F.col("at") != F.col("best"))
+                     .withColumn("like", alike("sketch", "pattern")))
+        now = met.where(F.col("like") >= least).select(F.col("at.row").alias("row"))
+        gone = now if gone is None else gone.unionByName(now)
+        open_ = stored(met.where(F.col("like") < least).select("root", "at", "sketch"))
+    return prints.select("row").limit(0) if gone is None else gone.distinct()
