@@ -7,7 +7,8 @@ in all but one block share a template. A template held by at least `min_docs` do
 its lines are dropped from all documents but one, the least by a hash of id and text, which keeps
 the text once.
 
-Only leaves that enough lines share are looked at further. Counts are partial aggregates; a join on
+Only leaves that enough lines share are looked at further; they and the recurring templates grow
+with the corpus, so both are merge-joined at every size. Counts are partial aggregates; a join on
 a crowded template can be split, as its other side is a written table; no template's lines are
 gathered anywhere.
 
@@ -66,13 +67,13 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """`row` and `lines`, the numbers of the lines to drop, of every document with some."""
     lines = stored(parsed(docs))
     leaves = stored(lines.groupBy("leaf").agg(F.count("*").alias("n"))
-                    .where(F.col("n") >= min_docs).select("leaf"))
+                    .where(F.col("n") >= min_docs).select("leaf")).hint("merge")
     held = stored(lines.join(leaves, "leaf", "left_semi")
                   .select("row", "at", F.explode("keys").alias("key")))
     # a document's rows of one template lie in one task, so the first aggregate is nearly done there
     recurring = stored(held.groupBy("key", "row").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.count("*").alias("docs"), F.min("row").alias("first")).where(F.col("docs") >= min_docs))
-    gone = held.join(recurring.select("key", "first"), "key").where(F.col("row") != F.col("first"))
+    gone = held.join(recurring.select("key", "first").hint("merge"), "key").where(F.col("row") != F.col("first"))
     return gone.groupBy("row").agg(F.collect_set("at").alias("lines"))
 
 

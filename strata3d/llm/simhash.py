@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strata3d.session import stored
 
 from . import components
-from . import textvec as V
+from .textvec import mixed
 
 RADIUS = 2
 SHINGLE = 3
@@ -40,6 +40,9 @@ FREE = 14
 #: Of the general form: words of a fingerprint's and of a proof's shingles, radius of candidates,
 #: digests kept as proof, and the similarity of near duplicates.
 PAIR, PROOF, WIDE, SKETCH, SIMILAR = 2, 5, 5, 128, 0.8
+#: Fingerprints tried one after the other: a pair at the least similarity is within WIDE bits in
+#: about two thirds of them.
+FAMILY = 2
 #: Salts that spread the rows of one fingerprint.
 SALTS = 64
 #: ASCII capitals to small letters, as a byte table; UTF-8 keeps other characters out of its way.
@@ -198,17 +201,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """`row` (hash of id and text), `doc_id`, `fp` over word pairs and the SKETCH least distinct
-    digests of PROOF-word shingles, ascending, of every row."""
+    """`row` (hash of id and text), `doc_id`, FAMILY fingerprints `fps` over word pairs, each with
+    another mixing of the digests, and the SKETCH least distinct digests of PROOF-word shingles,
+    ascending, of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            fp = np.array([fingerprint(digests(t, PAIR)) for t in frame["text"]], np.uint64)
-            least = [np.unique(digests(t, PROOF))[:SKETCH].tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"],
-                                "fp": fp.view(np.int64), "sketch": least})
+            fps, least = [], []
+            for t in frame["text"]:
+                h = digests(t, PAIR)
+                fps.append(np.array([fingerprint(mixed(h + np.uint64(k)) if k else h)
+                                     for k in range(FAMILY)], np.uint64).view(np.int64))
+                least.append(np.unique(digests(t, PROOF))[:SKETCH].tobytes())
+            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"], "fps": fps,
+                                "sketch": least})
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    return keyed.mapInPandas(run, "row long, doc_id long, fp long, sketch binary")
+    return keyed.mapInPandas(run, "row long, doc_id long, fps array<long>, sketch binary")
 
 
 def resemblance(a: bytes, b: bytes) -> float:
@@ -219,42 +227,52 @@ def resemblance(a: bytes, b: bytes) -> float:
 
 
 def copies(docs: DataFrame, radius: int = WIDE, least: float = SIMILAR) -> DataFrame:
-    """`row` of every document that resembles a kept one at least so much.
+    """`row` of every document to drop: it resembles one that stays, or one that went for such one.
 
-    Candidates are the components of word-pair fingerprints within `radius`. In each one the least
-    (id, row) is kept and what resembles it goes; the others stand for another round among
-    themselves, until none is left. So a document only goes if it resembles one that stays. Rows
+    For each fingerprint of the family the candidates are the components within `radius` among the
+    documents left. In each one the least (id, row) is kept and what resembles it by at least
+    `least` goes; the others stand for another round among themselves, until none is left. Rows
     equal in id and text are one document.
     """
-    prints = stored(sketched(docs))
-    # rows of one fingerprint meet its component on a salt as well, see components_of
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
+    prints = stored(sketched(docs).dropDuplicates(["row"]))
+    gone = None
+    for k in range(FAMILY):
+        left = prints if gone is None else prints.join(gone, "row", "left_anti")
+        more = _alike(stored(left.select("row", "doc_id", F.get("fps", F.lit(k)).alias("fp"),
+                                         "sketch")), radius, least)
+        gone = stored(more if gone is None else gone.unionByName(more))
+    return gone
+
+
+def _alike(prints: DataFrame, radius: int, least: float) -> DataFrame:
+    """`row` of what resembles the kept document of its component."""
+    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
+    # rows of one fingerprint meet their component on a salt as well, see components_of
     salted = prints.withColumn("salt", F.pmod("row", F.lit(SALTS)))
     each = stored(salted.groupBy("fp", "salt").agg(F.count("*").alias("n")))
     fps = stored(each.groupBy("fp").agg(F.sum("n").alias("n")))
     root = components.components(links(fps, radius)).withColumnRenamed("node", "fp")
-    of_fp = fps.join(root, "fp", "left").where(F.col("root").isNotNull() | (F.col("n") > 1))
-    spread = each.select("fp", "salt").join(
-        of_fp.select("fp", F.coalesce("root", "fp").alias("root")), "fp")
-    open_ = stored(salted.join(spread, ["fp", "salt"]).select("root", place.alias("at"), "sketch"))
-    gone = None
+    of_fp = stored(fps.join(root, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "n"))
+    several = stored(of_fp.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+                     .select("root"))
+    spread = each.select("fp", "salt").join(of_fp.join(several, "root").select("fp", "root"), "fp")
+    left = stored(salted.join(spread, ["fp", "salt"]).select("root", at.alias("at"), "sketch"))
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    while not open_.isEmpty():
-        # the least of a root is found in salted steps, as one root may hold a third of all rows
-        part = open_.groupBy("root", F.pmod("at.row", F.lit(SALTS)).alias("salt")).agg(
+    gone = prints.select("row").limit(0)
+    while not left.isEmpty():
+        # the least of a root in salted steps, as one root may hold a third of all rows
+        part = left.groupBy("root", F.pmod("at.row", F.lit(SALTS)).alias("salt")).agg(
             F.min("at").alias("at"))
-        kept = part.groupBy("root").agg(F.min("at").alias("best"))
-        kept = stored(open_.join(stored(kept), "root")
-                      .where(F.col("at") == F.col("best"))
-                      .select("root", "best", F.col("sketch").alias("pattern")).dropDuplicates(
-                          ["root"]))
-        met = stored(open_.join(kept, "root").where(F.col("at") != F.col("best"))
-                     .withColumn("like", alike("sketch", "pattern")))
-        now = met.where(F.col("like") >= least).select(F.col("at.row").alias("row"))
-        gone = now if gone is None else gone.unionByName(now)
-        open_ = stored(met.where(F.col("like") < least).select("root", "at", "sketch"))
-    return prints.select("row").limit(0) if gone is None else gone.distinct()
+        best = stored(part.groupBy("root").agg(F.min("at").alias("best")))
+        kept = stored(left.join(best, "root").where(F.col("at") == F.col("best"))
+                      .select("root", "best", F.col("sketch").alias("pattern")))
+        met = stored(left.join(kept, "root").where(F.col("at") != F.col("best"))
+                     .withColumn("like", like("sketch", "pattern")))
+        gone = gone.unionByName(met.where(F.col("like") >= least).select(F.col("at.row")))
+        left = stored(met.where(F.col("like") < least).select("root", "at", "sketch"))
+    return gone
