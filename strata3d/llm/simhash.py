@@ -149,31 +149,29 @@ def _masked(fps: DataFrame, masks: F.Column) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`a`, `b`: links that join all distinct `fp` within the radius, directly or in steps."""
-    tables = covering(tuple(range(64)), radius)
-    keys = _masked(fps.select("fp"), F.array(*(F.lit(_signed(m)) for m in tables)))
+    free = {_signed(m): tuple(b for b in range(64) if not m >> b & 1)
+            for m in covering(tuple(range(64)), radius)}
+    keys = _masked(fps.select("fp"), F.array(*(F.lit(m).cast("long") for m in free)))
     found = None
-    free = {m: tuple(b for b in range(64) if not m >> b & 1) for m in tables}
     while True:
-        sizes = keys.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        sizes = stored(sizes)
-        small = keys.join(sizes.where(F.col("n") <= CROWDED).drop("n"), ["mask", "value"])
-        deep = {m for m, b in free.items() if len(b) <= FREE}
-        final = F.col("mask").isin([_signed(m) for m in deep]) if deep else F.lit(False)
-        crowded = sizes.where(F.col("n") > CROWDED).drop("n")
-        if deep:
-            small = small.unionByName(keys.join(crowded.where(final), ["mask", "value"]))
-            crowded = crowded.where(~final)
-        found = _linked(small, radius) if found is None else found.unionByName(
-            _linked(small, radius))
-        if crowded.isEmpty():
+        sizes = stored(keys.groupBy("mask", "value").agg(F.count("*").alias("n"))
+                       .where(F.col("n") > 1))
+        done = F.col("n") <= CROWDED
+        if deep := [m for m, b in free.items() if len(b) <= FREE]:
+            done |= F.col("mask").isin(deep)
+        some = _linked(keys.join(sizes.where(done).drop("n"), ["mask", "value"]), radius)
+        found = some if found is None else found.unionByName(some)
+        crowded = stored(sizes.where(~done).drop("n"))
+        present = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # few masks
+        if not present:
             return found
-        finer = {m: [m | x for x in covering(b, radius)]
-                 for m, b in free.items() if m not in deep}
-        pick = F.create_map(*(c for m, v in finer.items() for c in (
-            F.lit(_signed(m)), F.array(*(F.lit(_signed(x)) for x in v)))))
-        keys = stored(_masked(keys.join(crowded, ["mask", "value"]), F.element_at(pick, "mask"))
-                      .select("fp", "mask", "value"))
-        free = {x: tuple(b for b in range(64) if not x >> b & 1) for v in finer.values() for x in v}
+        pairs = [(m, _signed(m & (2 ** 64 - 1) | x)) for m in present
+                 for x in covering(free[m], radius)]
+        finer = fps.sparkSession.createDataFrame(pairs, "mask long, finer long")
+        held = keys.join(crowded, ["mask", "value"]).join(F.broadcast(finer), "mask")
+        keys = stored(held.select("fp", F.col("finer").alias("mask"),
+                                  F.col("fp").bitwiseAND(F.col("finer")).alias("value")).distinct())
+        free = {x: tuple(b for b in range(64) if not x >> b & 1) for _, x in pairs}
 
 
 def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
