@@ -133,13 +133,39 @@ def local_links(fp: np.ndarray, free: int, radius: int = RADIUS) -> tuple[
 
 
 def _linked(keys: DataFrame, radius: int) -> DataFrame:
-    """Links inside the groups of (mask, masked value); every group is small by now."""
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        free = ~int(frame["mask"].iloc[0]) & (2 ** 64 - 1)
-        a, b = local_links(frame["fp"].to_numpy(np.int64).view(np.uint64), free, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    """Links inside the groups of (mask, masked value); every group is small by now.
 
-    return keys.groupBy("mask", "value").applyInPandas(group, "a long, b long")
+    Groups lie one after the other in sorted partitions, since most are too small to be worth a
+    call each; only a group cut by the end of a batch is carried over.
+    """
+    def found(mask: np.ndarray, cut: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        size = np.diff(cut)
+        i = cut[:-1][size == 2]
+        near = np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius
+        a, b = [fp[i + 1][near]], [fp[i][near]]
+        for i, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            x, y = local_links(fp[i:i + n], ~int(mask[i]) & (2 ** 64 - 1), radius)
+            a.append(x)
+            b.append(y)
+        return pd.DataFrame({"a": np.concatenate(a).view(np.int64),
+                             "b": np.concatenate(b).view(np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = value = np.zeros(0, np.int64)
+        fp = np.zeros(0, np.uint64)
+        for frame in batches:
+            mask = np.append(mask, frame["mask"].to_numpy(np.int64))
+            value = np.append(value, frame["value"].to_numpy(np.int64))
+            fp = np.append(fp, frame["fp"].to_numpy(np.int64).view(np.uint64))
+            cut = np.append(0, np.flatnonzero((mask[1:] != mask[:-1])
+                                              | (value[1:] != value[:-1])) + 1)
+            yield found(mask, cut, fp)
+            mask, value, fp = mask[cut[-1]:], value[cut[-1]:], fp[cut[-1]:]
+        yield found(mask, np.array([0, len(fp)]), fp)
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (keys.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
+            .mapInPandas(run, "a long, b long"))
 
 
 def _masked(fps: DataFrame, masks: F.Column) -> DataFrame:
