@@ -44,7 +44,8 @@ def accuracy(units: DataFrame, sources: DataFrame) -> DataFrame:
             .select("project_id", "source_ids",
                     F.coalesce("acc_h", F.lit(UNKNOWN_ACCURACY_M)).alias("acc_h"),
                     F.coalesce("acc_v", F.lit(UNKNOWN_ACCURACY_M)).alias("acc_v"),
-                    ((F.size("source_ids") > 0) & (F.col("n_known") == F.size("source_ids")))
+                    F.coalesce((F.size("source_ids") > 0)
+                               & (F.col("n_known") == F.size("source_ids")), F.lit(False))
                     .alias("acc_known")))
 
 
@@ -54,9 +55,12 @@ def build(units: DataFrame, relationships: DataFrame, sources: DataFrame,
     s = settings.select("project_id", "tolerance_k", "project_crs",
                         F.col("vertical_datum").alias("project_datum"),
                         "min_floor_height_m", "max_floor_height_m", "confidence_warn_below")
-    out = (units.join(accuracy(units, sources), ["project_id", "source_ids"])
+    # a unit without a source list, or of a project without settings, still meets every rule
+    a = accuracy(units, sources).withColumnsRenamed({"project_id": "_p", "source_ids": "_s"})
+    out = (units.join(a, F.col("project_id").eqNullSafe(F.col("_p"))
+                      & F.col("source_ids").eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
            .join(parents(relationships), ["project_id", "unit_id"], "left")
-           .join(s, "project_id"))
+           .join(s, "project_id", "left"))
     out = out.select("*", F.col("attributes.utility_kind").alias("utility_kind"),
                      F.col("attributes.floor_index").alias("floor_index"))
     return out if "is_rect" in units.columns else shapes.with_shape(out)

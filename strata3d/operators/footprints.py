@@ -61,7 +61,7 @@ def labelled_runs(height: DataFrame) -> DataFrame:
     return t.mapInPandas(_tile_runs, _RUN)
 
 
-def merge_labels(runs: DataFrame, ncols: int, nrows: int, max_rounds: int = 40) -> DataFrame:
+def merge_labels(runs: DataFrame, ncols: int, nrows: int) -> DataFrame:
     """label -> component, merging labels that meet across tile seams.
 
     Only runs at tile borders enter the graph. Each round takes the smallest label in reach
@@ -87,7 +87,7 @@ def merge_labels(runs: DataFrame, ncols: int, nrows: int, max_rounds: int = 40)
                                                     F.col("a").alias("b"))))
     comp = cut_lineage(both.select("raster_id", F.col("a").alias("label")).distinct()
                        .withColumn("component", F.col("label")))
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(comp.select("raster_id", F.col("label").alias("b"), "component"),
                           ["raster_id", "b"])
                 .groupBy("raster_id", F.col("a").alias("label"))
@@ -105,7 +105,6 @@ def merge_labels(runs: DataFrame, ncols: int, nrows: int, max_rounds: int = 40)
         comp = step.drop("_old")
         if not changed:
             return comp
-    raise RuntimeError(f"labels still merging after {max_rounds} rounds")
 
 
 def _outline(steps: pd.DataFrame) -> pd.DataFrame:

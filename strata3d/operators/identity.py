@@ -59,11 +59,13 @@ def refuse_exhausted(allocated: DataFrame) -> None:
             f"{r.refused} over" for r in worst))
 
 
-def mint(units: DataFrame, held: DataFrame, version: Column) -> tuple[DataFrame, DataFrame]:
+def mint(units: DataFrame, held: DataFrame, version: Column | DataFrame) -> tuple[
+        DataFrame, DataFrame]:
     """Provisional identifiers for `units` and the sequence rows they add.
 
     `units`: project_id, unit_id, ord, unit_type, floor_index, parent_ulpin_14. A unit
-    without a parent, or beyond level 99 or number 999, gets none.
+    without a parent, or beyond level 99 or number 999, gets none. `version` is a number for all,
+    or a table project_id, ulpin_version; the ids then carry `ulpin_version` where they have one.
     """
     asked = (units.filter("parent_ulpin_14 is not null and parent_ulpin_14 <> ''")
              .withColumn("stratum", stratum(F.col("unit_type"), F.col("floor_index")))
@@ -71,10 +73,16 @@ def mint(units: DataFrame, held: DataFrame, version: Column) -> tuple[DataFrame,
              .filter(F.col("level") <= MAX_LEVEL)
              .select(*LEVEL_KEYS, "unit_id", "ord"))
     given = allocate(asked, held)
-    text = S.format_identifier(F.col("parent_ulpin_14"), version, F.col("stratum"),
+    many = isinstance(version, DataFrame)
+    numbered = given.join(version, "project_id") if many else given
+    text = S.format_identifier(F.col("parent_ulpin_14"), S.version_number(F.col("ulpin_version"))
+                               if many else version, F.col("stratum"),
                                F.col("level"), F.col("sequence"))
-    ids = given.select("project_id", "unit_id", "stratum", "level", "sequence",
-                       text.alias("ulpin_provisional"))
+    ids = numbered.select("project_id", "unit_id", "stratum", "level", "sequence",
+                          text.alias("ulpin_provisional"), *(["ulpin_version"] if many else []))
+    if many:
+        ids = ids.withColumn("ulpin_version", F.when(F.col("ulpin_provisional").isNotNull(),
+                                                     F.col("ulpin_version")))
     rows = (given.filter(F.col("is_new") & (F.col("sequence") <= MAX_SEQUENCE))
             .select(*LEVEL_KEYS, "unit_id", "sequence"))
     return ids, rows

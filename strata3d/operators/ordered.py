@@ -30,6 +30,30 @@ def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str) ->
             .drop("_b", "_before", "_local"))
 
 
+def place_by_text(df: DataFrame, keys: list[str], text: str, out: str,
+                  lead: tuple[Column, ...] = ()) -> DataFrame:
+    """Add `out`: dense 0-based place in the group by `lead`, then by the unique string `text`.
+
+    Places are counted inside pieces (equal `lead` and first three characters) and offset by the
+    pieces before, so no group is sorted in one task.
+    """
+    named = [f"_lead{i}" for i in range(len(lead))]
+    cut = df.select("*", *[c.alias(n) for c, n in zip(lead, named)],
+                    F.substring(text, 1, 3).alias("_piece"))
+    piece = [*keys, *named, "_piece"]
+    before = cut.groupBy(*piece).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(
+        F.sum("_n").over(Window.partitionBy(*keys).orderBy(*named, "_piece")
+                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"{c}_b") for c in piece], "_before")
+    local = F.row_number().over(Window.partitionBy(*piece).orderBy(text)) - 1
+    same = F.lit(True)
+    for c in piece:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    return cut.withColumn("_local", local).join(before, same).select(
+        *[F.col(c) for c in df.columns if c != out],
+        (F.col("_before") + F.col("_local")).alias(out))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
     """Whole row that comes first (or last) per key, by partial aggregation, not a window."""
     rest = [c for c in df.columns if c not in keys]

@@ -168,8 +168,11 @@ def zonal(footprints: DataFrame, tiles: DataFrame, key: str, q: float = 0.5) ->
 
 
 def paired(dem: DataFrame, dsm: DataFrame) -> DataFrame:
-    """Tiles of two surfaces on one grid, side by side: dem_values, dsm_values."""
-    key = ["tile_row", "tile_col"]
+    """Tiles of two surfaces on one grid, side by side: dem_values, dsm_values.
+
+    With a `pair` column, surfaces of many pairs at once.
+    """
+    key = [*(["pair"] if "pair" in dem.columns else []), "tile_row", "tile_col"]
     low = dem.select(*key, F.col("values").alias("dem_values"))
     return dsm.withColumnRenamed("values", "dsm_values").join(low, key)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import TYPE_LABELS, UNIT_TYPES
+from ..session import stored
+from . import ordered
 from .lifecycle import per_unit
 
 
@@ -197,11 +199,11 @@ def find_v0(units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 # --- hierarchy -----------------------------------------------------------------------------
 
-def ancestors(links: DataFrame, depth: int = 8, guard: bool = True) -> DataFrame:
-    """unit_id, depth, ancestor, step (1 = parent) for all units at once.
+def ancestors(links: DataFrame) -> DataFrame:
+    """unit_id, ancestor, step (1 = parent) for all units at once.
 
-    `links`: project_id, unit_id, parent_id. Records are at most a few levels deep, so the
-    chain is a fixed number of equi joins; `guard` stops at a unit already on the path.
+    `links`: project_id, unit_id, parent_id. One equi join a level, written and read back, until
+    no unit has a further ancestor; a unit already on its own path ends it.
     """
     up = links.select("project_id", F.col("unit_id").alias("_u"), F.col("parent_id")
                       .alias("_p"))
@@ -211,9 +213,10 @@ def ancestors(links: DataFrame, depth: int = 8, guard: bool = True) -> DataFrame
           .join(real, ["project_id", "_p"], "left_semi")
           .withColumn("path", F.array("unit_id")).withColumn("step", F.lit(1)))
     out = []
-    for _ in range(depth):
-        if guard:
-            at = at.filter(~F.array_contains("path", F.col("_p")))
+    while True:
+        at = stored(at.filter(~F.array_contains("path", F.col("_p"))))
+        if out and at.isEmpty():
+            return reduce(DataFrame.unionByName, out)
         out.append(at.select("project_id", "unit_id", F.col("_p").alias("ancestor"), "step"))
         at = (at.withColumn("path", F.concat("path", F.array("_p")))
               .withColumnRenamed("_p", "_u")
@@ -221,7 +224,6 @@ def ancestors(links: DataFrame, depth: int = 8, guard: bool = True) -> DataFrame
               .join(real, ["project_id", "_p"], "left_semi")
               .select("project_id", "unit_id", "_p", "path",
                       (F.col("step") + 1).alias("step")))
-    return reduce(DataFrame.unionByName, out)
 
 
 def children(links: DataFrame) -> DataFrame:
@@ -345,3 +347,23 @@ def compare_findings(reported: DataFrame, expected: DataFrame,
             .unionByName(tag(reported.select(*key).exceptAll(expected.select(*key)),
                              "spurious"))
             .unionByName(tag(none, "must_not_fire")))
+
+
+# --- listings ------------------------------------------------------------------------------
+
+def suggestion_listing(suggestions: DataFrame, review_state: str | None = None) -> DataFrame:
+    """All suggestions (of one state) with `place`: latest run first, then by id, per project."""
+    s = suggestions if review_state is None else suggestions.filter(
+        F.col("review_state") == review_state)
+    latest = -F.unix_micros("model.run_at")
+    return ordered.place_by_text(s, ["project_id"], "suggestion_id", "place", (latest,)).withColumn(
+        "place", F.col("place") + 1)
+
+
+def findings_of(findings: DataFrame, severity: str | None = None,
+                rule_id: str | None = None) -> DataFrame:
+    """Findings of one severity and one rule; None asks for all."""
+    for column, wanted in (("severity", severity), ("rule_id", rule_id)):
+        if wanted is not None:
+            findings = findings.filter(F.col(column) == wanted)
+    return findings

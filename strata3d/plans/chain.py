@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle
+from ..operators import lifecycle, ordered
+from ..operators import units as U
 from ..schemas import SEQUENCE, SUGGESTION
 from ..sources.register import Register
 from . import detecting, deriving, importing, validate
@@ -21,22 +22,36 @@ def detect(register: Register, batch_id: str,
            detector: detecting.Detector = detecting.elevation_detector) -> DataFrame | None:
     """Detect on each project's first DEM and DSM and queue what is new."""
     registry = register.read("raster")
-    dem, dsm = (registry.filter(F.upper("kind") == k).orderBy("ord").first()
+    dem, dsm = (U.first_surfaces(registry, k).withColumnRenamed("raster_id", k.lower())
                 for k in ("DEM", "DSM"))
-    if dem is None or dsm is None:
+    pairs = dem.join(dsm, "project_id").withColumn(
+        "pair", F.concat_ws("/", "project_id", "dsm", "dem"))
+    if pairs.isEmpty():
         return None                      # nothing to look at is not an error
     tiles = register.read("raster_tile")
-    settings = register.read("project_settings").first()
-    found = detector(tiles.filter(F.col("raster_id") == dem.raster_id),
-                     tiles.filter(F.col("raster_id") == dsm.raster_id))
+
+    def side(name: str) -> DataFrame:
+        ids = pairs.select("project_id", "pair", F.col(name).alias("raster_id"))
+        return tiles.join(ids, ["project_id", "raster_id"]).withColumn(
+            "raster_id", F.col("pair")).drop("project_id")
+
+    settings = register.read("project_settings").select(
+        "project_id", F.col("project_crs").alias("_crs"))
+    found = (detector(side("dem"), side("dsm")).withColumnRenamed("raster_id", "pair")
+             .join(pairs, "pair").join(settings, "project_id"))
     s = detecting.as_suggestions(
-        found, F.lit(settings.project_id), F.lit(settings.project_crs), F.lit(batch_id),
-        F.array(F.lit(dsm.raster_id), F.lit(dem.raster_id)), F.current_timestamp())
+        found, F.col("project_id"), F.col("_crs"), F.concat_ws("/", F.lit(batch_id), "project_id"),
+        F.array("dsm", "dem"), F.current_timestamp()).drop("pair", "dsm", "dem", "_crs")
     queue = _stored(register, "ai_suggestion", SUGGESTION)
     sorted_out = detecting.sort_out(s, register.read("unit"), queue)
-    ready = sorted_out.fresh.withColumn("ord", F.xxhash64("suggestion_id"))
+    # ordinals go on where the project's queue ends, in the order of the ids
+    last = queue.groupBy("project_id").agg((F.max("ord") + 1).alias("_from"))
+    ready = ordered.place_by_text(sorted_out.fresh.join(settings, "project_id"), ["project_id"],
+                                  "suggestion_id", "_at")
+    ready = ready.join(last, "project_id", "left").withColumn(
+        "ord", F.coalesce("_from", F.lit(0)) + F.col("_at")).drop("_from", "_at")
     register.replace("ai_suggestion", detecting.receive(
-        ready, queue, F.lit(settings.project_crs), F.current_timestamp()), batch_id)
+        ready, queue, F.col("_crs"), F.current_timestamp()), batch_id)
     return sorted_out.report
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..functions import shapes
 from ..operators import identity, raster
 from ..operators import units as U
@@ -24,8 +23,11 @@ class Derived:
 
 
 def _zonal(units: DataFrame, first: DataFrame, tiles: DataFrame) -> DataFrame:
-    placed = units.select("project_id", "unit_id", "parts").join(first, "project_id")
-    mine = tiles.join(first.select("raster_id").distinct(), "raster_id", "left_semi")
+    both = ["project_id", "raster_id"]
+    key = F.concat_ws("/", *both)                       # raster ids repeat between projects
+    placed = units.select("project_id", "unit_id", "parts").join(first, "project_id").withColumn(
+        "raster_id", key)
+    mine = tiles.join(first, both, "left_semi").withColumn("raster_id", key)
     return raster.zonal(shapes.with_shape(placed), mine, "unit_id")
 
 
@@ -33,9 +35,11 @@ def derive(units: DataFrame, settings: DataFrame, registry: DataFrame, tiles: Da
            held: DataFrame, *, default_floor_count: int = 1,
            estimate_floors: bool = False) -> Derived:
     """Ground the parcels, give buildings without limits their heights, and stack floors."""
-    row = settings.select("default_parapet_deduction_m", "ulpin_version").first()
-    if row[0]:
-        raise U.ParapetDeduction("the median roof level needs no parapet deduction")
+    deducting = settings.filter("default_parapet_deduction_m <> 0").select(
+        "project_id").limit(5).collect()
+    if deducting:
+        raise U.ParapetDeduction("the median roof level needs no parapet deduction: "
+                                 + ", ".join(str(r[0]) for r in deducting))
     now = F.current_timestamp()
     dem, dsm = (U.first_surfaces(registry, k) for k in ("DEM", "DSM"))
     own = [c for c in units.columns]
@@ -58,13 +62,11 @@ def derive(units: DataFrame, settings: DataFrame, registry: DataFrame, tiles: Da
         assumed_storey_m=F.lit(3.0))).otherwise(F.col("attributes"))).withColumn(
         "confidence_score", F.when(F.col("guess"), 0.4).otherwise(F.col("confidence_score")))
     floors = cut_lineage(U.split_floors(built, F.col("storeys")))
-    # floor numbers follow building order, then floor order
-    floors = floors.withColumn("ord", F.col("ord") * 1024 + F.col("floor_index"))
-    ids, rows = identity.mint(floors, held, S.version_number(F.lit(row[1])))
-    named = (floors.join(ids.select("project_id", "unit_id", "ulpin_provisional"),
-                         ["project_id", "unit_id"], "left")
-             .withColumn("ulpin_version", F.when(F.col("ulpin_provisional").isNotNull(),
-                                                 F.lit(row[1])))
+    # numbers are given level by level, where a building has one floor: its order is theirs
+    ids, rows = identity.mint(floors, held, settings.select("project_id", "ulpin_version"))
+    named = (floors.drop("ulpin_version")
+             .join(ids.select("project_id", "unit_id", "ulpin_provisional", "ulpin_version"),
+                   ["project_id", "unit_id"], "left")
              .withColumn("recorded_from", now).withColumn("representation", F.lit("prism"))
              .withColumn("validation_state", F.lit("unvalidated"))
              .withColumn("dispute_state", F.lit("undisputed"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import shapes
-from ..operators import contracts, footprints, identity, raster, spatial
+from ..operators import contracts, footprints, identity, ordered, raster, spatial
 from ..operators import units as U
 from ..schemas import OUTLINE_CONFIDENCE, RELATIONSHIP, SUGGESTION, UNIT
 from ..session import cut_lineage
@@ -22,17 +22,22 @@ Detector = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def elevation_detector(dem: DataFrame, dsm: DataFrame) -> DataFrame:
-    """Outlines of what stands a storey above ground, with statistics per outline."""
-    shape = dsm.select("ncols", "nrows").first()
+    """Outlines of what stands a storey above ground, with statistics per outline.
+
+    Rasters of one tile size are traced together; there are as many passes as tile sizes.
+    """
     pairs = raster.paired(dem, dsm)
-    found = footprints.outlines(raster.height_above_ground(pairs), shape.ncols, shape.nrows)
-    found = cut_lineage(shapes.with_shape(found))
-    cells = raster.cells_in(found.withColumn("component", F.col("component").cast("string")),
-                            pairs, "component", ("dem_values", "dsm_values"))
+    found = None
+    for shape in dsm.select("ncols", "nrows").distinct().collect():
+        same = pairs.filter((F.col("ncols") == shape.ncols) & (F.col("nrows") == shape.nrows))
+        part = footprints.outlines(raster.height_above_ground(same), shape.ncols, shape.nrows)
+        found = part if found is None else found.unionByName(part)
+    found = cut_lineage(shapes.with_shape(found).withColumn(     # labels repeat between rasters
+        "component", F.concat_ws("/", "raster_id", F.col("component").cast("string"))))
+    cells = raster.cells_in(found, pairs, "component", ("dem_values", "dsm_values"))
     stats = raster.building_statistics(
         cells.withColumnsRenamed({"dem_values": "dem", "dsm_values": "dsm"}), "component")
-    return (found.withColumn("component", F.col("component").cast("string"))
-            .join(stats, "component", "left")
+    return (found.join(stats, "component", "left")
             .withColumn("confidence", F.coalesce("confidence", F.lit(0.0))))
 
 
@@ -127,7 +132,8 @@ def apply_reviewed(suggestions: DataFrame, units: DataFrame, registry: DataFrame
     A unit a suggestion already became is refreshed, never minted a second time.
     """
     now = F.current_timestamp()
-    s = suggestions.filter("review_state in ('accepted', 'edited')").withColumn(
+    s = ordered.place_by_text(suggestions.filter("review_state in ('accepted', 'edited')"),
+                              ["project_id"], "suggestion_id", "ord").withColumn(
         "parts", U.chosen_outline())
     s = s.withColumn("reused", F.col("unit_id").isNotNull()).withColumn(
         "unit_id", F.coalesce("unit_id", F.uuid()))
@@ -138,16 +144,14 @@ def apply_reviewed(suggestions: DataFrame, units: DataFrame, registry: DataFrame
         "project_id", F.col("unit_id").alias("parcel_id"),
         F.col("attributes.parent_ulpin_14").alias("parent_ulpin_14"), "parts"))
     built = cut_lineage(U.suggestion_units(spatial.attach_to_parcel(s, parcels), now))
-    version = settings.select("ulpin_version").first()[0]
     # identifiers follow suggestion order
     ids, rows = identity.mint(built.select(
         "project_id", "unit_id", "ord", "unit_type", F.lit(0).alias("floor_index"),
         F.col("parcel_ulpin").alias("parent_ulpin_14")), held,
-        S.version_number(F.lit(version)))
-    named = (built.join(ids.select("project_id", "unit_id", "ulpin_provisional"),
-                        ["project_id", "unit_id"], "left")
-             .withColumn("ulpin_version", F.when(F.col("ulpin_provisional").isNotNull(),
-                                                 F.lit(version))))
+        settings.select("project_id", "ulpin_version"))
+    named = built.drop("ulpin_version").join(
+        ids.select("project_id", "unit_id", "ulpin_provisional", "ulpin_version"),
+        ["project_id", "unit_id"], "left")
     edges = built.filter("parcel_id is not null").select(
         "project_id", F.col("parcel_id").alias("from_unit_id"),
         F.col("unit_id").alias("to_unit_id"), "ord", now.alias("created_at"))

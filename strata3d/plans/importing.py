@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..functions import shapes
 from ..operators import contracts, identity, spatial
 from ..operators import units as U
@@ -68,8 +68,8 @@ def import_units(parcels: DataFrame, footprints: DataFrame | None, lines: DataFr
     if footprints is not None:
         asked = asked.unionByName(b.select(*cols, F.col("parcel_ulpin")
                                            .alias("parent_ulpin_14")))
-    version = S.version_number(F.lit(settings.select("ulpin_version").first()[0]))
-    ids, rows = identity.mint(asked.withColumn("floor_index", F.lit(0)), held, version)
+    ids, rows = identity.mint(asked.withColumn("floor_index", F.lit(0)), held,
+                              settings.select("project_id", "ulpin_version"))
     named = ids.select("project_id", "unit_id", "ulpin_provisional")
     stacked = U.complete(out[0], UNIT)
     for part in out[1:]:
@@ -117,6 +117,11 @@ def import_project(register: Register, batch_id: str) -> DataFrame:
     return done.report
 
 
+#: A source's rows are numbered from its place times 2^52: Spark's row numbers stay below that for
+#: half a million partitions.
+SOURCE_BITS = 52
+
+
 class ProjectCreateError(Exception):
     """The sources cannot make a project; says why."""
 
@@ -127,15 +132,17 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
     """Check every source, then load vectors and register rasters and the rest.
 
     `sources` are dicts of the source layout plus `path` (and `resolution_m` for rasters).
-    Settings with a parapet deduction are refused here, not discovered at derivation.
+    Settings with a parapet deduction and paths that cannot be read are refused here, before
+    anything is written. Other projects of the register stay as they are; `overwrite` starts this
+    one anew, but keeps the numbers it has given out.
     """
     spark = register.spark
-    held = 0 if overwrite else register.units_held()
-    if held:
-        raise ProjectExists(f"{held} units already stand in {register.base}")
     if not sources:
         raise ProjectCreateError("a project needs at least one source")
     first = settings.first()
+    held = 0 if overwrite else register.units_held(first.project_id)
+    if held:
+        raise ProjectExists(f"{held} units of {first.project_id} already stand in {register.base}")
     if first.default_parapet_deduction_m:
         raise U.ParapetDeduction("set default_parapet_deduction_m to 0")
     listed = spark.createDataFrame(
@@ -145,10 +152,17 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
          for s in sources], SOURCE)
     bad = contracts.broken(listed, contracts.source_clauses())
     contracts.refuse_if_broken(bad, "source_id")
+    missing = [s["path"] for s in sources if not _readable(spark, s["path"])]
+    if missing:
+        raise ProjectCreateError("no such file: " + ", ".join(missing))
     kinds = {s["source_type"] for s in sources}
     if not kinds & set(contracts.X.VECTOR_SOURCES):
         raise ProjectCreateError("no vector source: nothing to build a register on")
-    for s in sources:
+    if overwrite:
+        for table in ("parcel", "building_footprint", "utility_line", "source", "unit",
+                      "unit_relationship", "ai_suggestion"):
+            register.forget(table, first.project_id, batch_id)
+    for k, s in enumerate(sources):
         layer = contracts.X.VECTOR_SOURCES.get(s["source_type"])
         row = listed.filter(F.col("source_id") == s["source_id"])
         if layer is None:
@@ -159,7 +173,7 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
         named = geojson.rename(raw, (mappings or {}).get(layer, {}), s["source_id"])
         ready = geojson.harmonise(named, first.project_crs)
         ready = ready.withColumn("project_id", F.lit(first.project_id)).withColumn(
-            "ord", F.monotonically_increasing_id())
+            "ord", F.lit(k << SOURCE_BITS) + F.monotonically_increasing_id())
         layers.write_layer(register, layer, ready, row, f"{batch_id}-{s['source_id']}")
     rasters = [{"project_id": first.project_id, "raster_id": f"RST-{s['source_id']}",
                 "kind": contracts.X.RASTER_SOURCES[s["source_type"]], "path": s["path"],
@@ -167,6 +181,27 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
                 "resolution_m": s.get("resolution_m") or s["horizontal_accuracy_m"],
                 "source_id": s["source_id"], "ord": i} for i, s in enumerate(sources)
                if s["source_type"] in contracts.X.RASTER_SOURCES]
-    register.replace("raster", spark.createDataFrame(rasters, RASTER), batch_id)
-    register.replace("project_settings", settings, batch_id)
+    register.replace_project("raster", spark.createDataFrame(rasters, RASTER), first.project_id,
+                             batch_id)
+    register.replace_project("project_settings", settings, first.project_id, batch_id)
+
+
+def load_tiles(register: Register, tiles: DataFrame, batch_id: str) -> None:
+    """Add elevation tiles of registered rasters: project_id and the tile columns."""
+    both = ["project_id", "raster_id"]
+    unknown = tiles.select(*both).distinct().join(
+        register.read("raster").select(*both), both, "left_anti").limit(5).collect()
+    if unknown:
+        raise ProjectCreateError("tiles of unregistered rasters: " + ", ".join(
+            str(r[0]) for r in unknown))
+    register.append("raster_tile", tiles, batch_id)
+
+
+def _readable(spark, path: str) -> bool:
+    """Whether Spark finds the path, whatever store it lies in."""
+    try:
+        spark.read.format("binaryFile").load(path).schema
+    except AnalysisException:
+        return False
+    return True
 

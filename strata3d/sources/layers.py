@@ -22,13 +22,13 @@ def _hulls(batches):
 def convex_hull(layer: DataFrame) -> DataFrame:
     """One row `coverage_wkt`: hull of all vertices.
 
-    Each partition keeps only its own hull corners; those few meet in one final task.
+    Each partition keeps only its own hull corners; those few are sent to one final task.
     """
     points = F.coalesce(shapes.vertices(F.col("parts")), F.col("path"))
     p = layer.select(F.explode(points).alias("p")).select("p.x", "p.y").filter(
         ~(F.isnan("x") | F.isnan("y")))
     local = p.mapInPandas(_hulls, "x double, y double")
-    final = local.coalesce(1).mapInPandas(_hulls, "x double, y double")
+    final = local.repartition(1).mapInPandas(_hulls, "x double, y double")
     ring = final.select(F.monotonically_increasing_id().alias("i"), "x", "y").agg(
         F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
     closed = F.concat("r", F.slice("r", 1, 1))

@@ -49,9 +49,10 @@ class Register:
             raise ProjectIncomplete(f"table `{table}` has not been written under {self.base}")
         df = self.spark.read.schema(StructType.fromJson(found["schema"])).parquet(
             f"{self.base}/{table}/{found['at']}")
-        if found["at"] == "log" and without_batch is not None:
+        log = found["at"].startswith("log")
+        if log and without_batch is not None:
             df = df.filter(F.col("batch_id") != without_batch)
-        return df.drop("batch_id") if found["at"] == "log" else df
+        return df.drop("batch_id") if log else df
 
     def project(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """units, relationships, sources, settings; refuses a project that lacks one."""
@@ -59,6 +60,11 @@ class Register:
                                            "project_settings"))
         if out[3].limit(1).count() == 0:
             raise ProjectIncomplete("table `project_settings` is empty")
+        bare = out[0].select("project_id").distinct().join(
+            out[3].select("project_id"), "project_id", "left_anti").limit(5).collect()
+        if bare:
+            raise ProjectIncomplete("no `project_settings` row for " + ", ".join(
+                str(r[0]) for r in bare))
         return out
 
     def unit(self, unit_id: str) -> DataFrame:
@@ -71,8 +77,9 @@ class Register:
     def latest_run(self, project_id: str) -> DataFrame:
         return latest_run(self.read("validation_run").filter(F.col("project_id") == project_id))
 
-    def units_held(self) -> int:
-        return self.read("unit").count() if self.has("unit") else 0
+    def units_held(self, project_id: str) -> int:
+        return self.read("unit").filter(F.col("project_id") == project_id).count() if self.has(
+            "unit") else 0
 
     # --- write --------------------------------------------------------------------------
     def replace(self, table: str, df: DataFrame, batch_id: str,
@@ -82,17 +89,44 @@ class Register:
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         df.write.mode("overwrite").parquet(f"{self.base}/{table}/v-{batch_id}")
-        self._move(table, f"v-{batch_id}", df)
+        self._move(table, f"v-{batch_id}", df.schema)
 
     def append(self, table: str, df: DataFrame, batch_id: str) -> None:
         df = df.withColumn("batch_id", F.lit(batch_id))
+        found = self._pointer(table)
+        at = "log" if found is None else found["at"]
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-         .parquet(f"{self.base}/{table}/log"))
-        if self._pointer(table) is None:
-            self._move(table, "log", df)
-
-    def _move(self, table: str, to: str, df: DataFrame) -> None:
-        line = json.dumps({"at": to, "schema": df.schema.jsonValue()})
+         .parquet(f"{self.base}/{table}/{at}"))
+        held = StructType() if found is None else StructType.fromJson(found["schema"])
+        fresh = [f for f in df.schema if f.name not in held.names]
+        if found is None or fresh:          # columns a later batch brings are null in older rows
+            self._move(table, at, StructType([*held.fields, *fresh]))
+
+    def forget(self, table: str, project_id: str, batch_id: str) -> None:
+        """Leave one project's rows out of a table from now on; the others' stay as they are."""
+        found = self._pointer(table)
+        if found is None:
+            return
+        schema = StructType.fromJson(found["schema"])
+        rest = self.spark.read.schema(schema).parquet(f"{self.base}/{table}/{found['at']}").filter(
+            ~F.col("project_id").eqNullSafe(F.lit(project_id)))
+        log = found["at"].startswith("log")
+        to = f"{'log' if log else 'v'}-{batch_id}-forget"
+        if to == found["at"]:
+            return                       # this batch already did
+        write = rest.write.mode("overwrite")
+        (write.partitionBy("batch_id") if log else write).parquet(f"{self.base}/{table}/{to}")
+        self._move(table, to, schema)
+
+    def replace_project(self, table: str, df: DataFrame, project_id: str, batch_id: str) -> None:
+        """One project's rows of a table; the others' stay."""
+        if self.has(table):
+            df = self.read(table).filter(~F.col("project_id").eqNullSafe(
+                F.lit(project_id))).unionByName(df, allowMissingColumns=True)
+        self.replace(table, df, batch_id)
+
+    def _move(self, table: str, to: str, schema: StructType) -> None:
+        line = json.dumps({"at": to, "schema": schema.jsonValue()})
         (self.spark.createDataFrame([(line,)], "value string").coalesce(1).write
          .mode("overwrite").text(f"{self.base}/{table}/_pointer_"))
 

@@ -1232,12 +1232,10 @@ def _(tb):
 
 @query("suggestion_listing", duckdb_with("suggestion") + """ SELECT suggestion_id, ROW_NUMBER()
        OVER (ORDER BY run_at DESC, suggestion_id) AS place FROM suggestion
-       WHERE review_state = 'accepted' ORDER BY place LIMIT 100""")
+       WHERE review_state = 'accepted'""")
 def _(tb):
-    s = tb.kept("suggestions").filter("review_state = 'accepted'")
-    top = s.orderBy(F.desc("model.run_at"), "suggestion_id").limit(100)
-    w = Window.partitionBy("project_id").orderBy(F.desc("model.run_at"), "suggestion_id")
-    return top.select("suggestion_id", F.row_number().over(w).alias("place"))
+    return views.suggestion_listing(tb.kept("suggestions"), "accepted").select(
+        "suggestion_id", "place")
 
 
 @query("project_document_units", duckdb_with("unit") + """ SELECT unit_id, lower_limit IS NULL
