@@ -132,6 +132,10 @@ def local_links(fp: np.ndarray, free: int, radius: int = RADIUS) -> tuple[
     return fp[moved], fp[root[moved]]
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _linked(keys: DataFrame, radius: int) -> DataFrame:
     """Links inside the groups of (mask, masked value); every group is small by now.
 
@@ -163,8 +167,7 @@ def _linked(keys: DataFrame, radius: int) -> DataFrame:
             mask, value, fp = mask[cut[-1]:], value[cut[-1]:], fp[cut[-1]:]
         yield found(mask, np.array([0, len(fp)]), fp)
 
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (keys.repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
+    return (keys.repartition(_parts(keys), "mask", "value").sortWithinPartitions("mask", "value")
             .mapInPandas(run, "a long, b long"))
 
 
@@ -177,7 +180,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`a`, `b`: links that join all distinct `fp` within the radius, directly or in steps."""
     free = {_signed(m): tuple(b for b in range(64) if not m >> b & 1)
             for m in covering(tuple(range(64)), radius)}
-    keys = _masked(fps.select("fp"), F.array(*(F.lit(m).cast("long") for m in free)))
+    # the table of fingerprints is small and may lie in few files: spread it before it grows
+    keys = _masked(fps.select("fp").repartition(_parts(fps)),
+                   F.array(*(F.lit(m).cast("long") for m in free)))
     found = None
     while True:
         sizes = stored(keys.groupBy("mask", "value").agg(F.count("*").alias("n"))
@@ -258,7 +263,7 @@ def copies(docs: DataFrame, radius: int = WIDE, least: float = SIMILAR) -> DataF
     `least` goes; the others stand for another round among themselves, until none is left. Rows
     equal in id and text are one document.
     """
-    prints = stored(sketched(docs).dropDuplicates(["row"]))
+    prints = stored(sketched(docs))
     gone = None
     for k in range(FAMILY):
         left = prints if gone is None else prints.join(gone, "row", "left_anti")
@@ -294,7 +299,8 @@ def _alike(prints: DataFrame, radius: int, least: float) -> DataFrame:
             F.min("at").alias("at"))
         best = stored(part.groupBy("root").agg(F.min("at").alias("best")))
         kept = stored(left.join(best, "root").where(F.col("at") == F.col("best"))
-                      .select("root", "best", F.col("sketch").alias("pattern")))
+                      .select("root", "best", F.col("sketch").alias("pattern"))
+                      .dropDuplicates(["root"]))
         met = stored(left.join(kept, "root").where(F.col("at") != F.col("best"))
                      .withColumn("like", like("sketch", "pattern")))
         gone = gone.unionByName(met.where(F.col("like") >= least).select(F.col("at.row")))
