@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ from . import textvec as V
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and piece pairs a task remembers; beyond that it forgets and works them out anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Distinct words walked at a time.
 WALK = 50_000
 #: Characters of text encoded at a time.
@@ -159,11 +160,11 @@ class Model:
         out: list[list[int] | None] = []
         start, fresh = 0, set()
         for i, ws in enumerate(cut):
-            fresh.update(w for w in ws or () if w not in self.known)
+            fresh |= set(ws or ()).difference(self.known)
             if len(fresh) >= WALK or i + 1 == len(cut):
                 self.known.update(self.walk(sorted(fresh)))
                 known = self.known
-                out += [None if c is None else [k for w in c for k in known[w]]
+                out += [None if c is None else [*chain.from_iterable(map(known.__getitem__, c))]
                         for c in cut[start:i + 1]]
                 start, fresh = i + 1, set()
                 if len(known) > REMEMBERED:
