@@ -5,9 +5,9 @@ fails the base rules on its own words; a host's failure rate is drawn towards th
 beta prior whose mean and strength come from the hosts themselves (method of moments, each host
 weighted by its documents); documents of a host whose shrunk rate passes `max_rate` go as well.
 
-Defined cases: a null text has no words (all counts 0, base rules failed); a null source has no
-host, so `host_rate` is null and only the base rules speak; null ids and repeated rows are counted
-and returned each; equal host rates (or one host) leave every host at the common rate; an empty
+Defined cases: a null text has no words (all counts 0, base rules failed); a source that is no
+address is its own host; a null source has none, so `host_rate` is null and only the base rules
+speak; null ids and repeated rows are counted and returned each; equal host rates (or one host) leave every host at the common rate; an empty
 table gives an empty result. Only `doc_id`, `text` and `source` are read. Equal windows of five
 words are recognised by a 64-bit hash inside one text.
 """
@@ -75,7 +75,7 @@ def duplicate_lines(text: Column) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """Counts and base verdict of every row, with its host."""
     text = F.coalesce("text", F.lit(""))
-    named = F.lower(F.coalesce(F.parse_url(F.when(F.col("source").contains("://"), F.col("source")),
+    named = F.lower(F.coalesce(F.try_parse_url(F.when(F.col("source").contains("://"), F.col("source")),
                                            F.lit("HOST")), "source"))
     counted = docs.select("doc_id", named.alias("host"), text.alias("text")).select(
         "doc_id", "host",

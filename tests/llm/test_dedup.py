@@ -209,7 +209,7 @@ def test_measures_and_verdicts(spark):
              "a b c d e", "\n".join(["one two three"] * 4)] + [say(rng, 40) + "\n" + say(rng, 3) for _ in range(40)]
     texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(60)]
     rows = [(i, t, ["http://Bad.example/x", "good", None][i % 3]) for i, t in enumerate(texts)]
-    rows += [(None, texts[12], "good"), (12, texts[12], rows[12][2])]
+    rows += [(None, texts[12], "good"), (12, texts[12], rows[12][2]), (500, "", "http://no address/%")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, host int")
     got = hostrules.judged(docs).collect()
     assert len(got) == len(rows)
@@ -217,7 +217,7 @@ def test_measures_and_verdicts(spark):
     for r in got:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"],
                 r["base_failed"]) == plain_measures(text[r["doc_id"]]), repr(text[r["doc_id"]])[:80]
-    assert {r["host"] for r in got} == {"bad.example", "good", None}
+    assert {r["host"] for r in got} == {"bad.example", "good", None, "http://no address/%"}
     assert all(r["host_rate"] is None for r in got if r["host"] is None)
     assert hostrules.judged(docs.limit(0)).count() == 0
 
