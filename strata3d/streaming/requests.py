@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import scalars as S
 from ..operators import identity, lifecycle
 from ..schemas import LEDGER, PARTS, SEQUENCE
+from ..session import stored
 from ..sources.register import Register
 
 REQUEST = (f"request_id string, ord bigint, kind string, project_id string, subject string, "
@@ -57,21 +58,32 @@ def apply_batch(register: Register, batch: DataFrame, batch_id: str) -> DataFram
     else:
         guard = units.select("project_id", "unit_id", F.lit(False).alias("approvable"),
                              F.lit(False).alias("has_run"))
-    t = lifecycle.transitions(units, mine["transition"].withColumnRenamed("subject", "unit_id"),
-                              guard)
+    asked = mine["transition"].withColumnRenamed("subject", "unit_id")
+    t = lifecycle.transitions(units, asked, guard)
     spark = register.spark
     led = register.read("ulpin_ledger", without_batch=batch_id) if register.has(
         "ulpin_ledger") else spark.createDataFrame([], LEDGER)
     held = register.read("ulpin_sequence") if register.has("ulpin_sequence") else \
         spark.createDataFrame([], SEQUENCE)
+    # an identifier is bound at a unit's first approval; where that is refused, so is the approval,
+    # and what the unit was asked next is judged from the status it still has
     approved = (t.filter("outcome = 'applied' and target = 'approved'")
-                .select("project_id", "unit_id", F.col("ord").alias("at"))
+                .groupBy("project_id", "unit_id").agg(F.min("ord").alias("at"))
                 .join(units, ["project_id", "unit_id"])
                 .select("project_id", "unit_id", F.col("at").alias("ord"), "unit_type",
                         F.col("attributes.floor_index").alias("floor_index"),
                         F.col("attributes.parent_ulpin_14").alias("parent_ulpin_14"),
                         "ulpin_provisional"))
     frozen, rows = identity.freeze(approved, held, led, F.lit(1))
+    frozen = stored(frozen)
+    refused = frozen.filter("outcome <> 'issued'").select(
+        "project_id", "unit_id", F.col("outcome").alias("_refusal"))
+    t = lifecycle.transitions(units, asked, guard.join(
+        refused, ["project_id", "unit_id"], "left").withColumn(
+            "approvable", F.col("approvable") & F.col("_refusal").isNull()).drop("_refusal"))
+    t = t.join(refused, ["project_id", "unit_id"], "left").withColumn("outcome", F.when(
+        (F.col("outcome") == "blocked") & (F.col("target") == "approved"),
+        F.coalesce("_refusal", "outcome")).otherwise(F.col("outcome"))).drop("_refusal")
     # ledger before units: an identifier is recorded as spent before anyone can read it
     issued = frozen.filter("outcome = 'issued'").join(
         units.select("project_id", "unit_id", F.coalesce("ulpin_version", F.lit("v1"))
@@ -80,10 +92,6 @@ def apply_batch(register: Register, batch: DataFrame, batch_id: str) -> DataFram
     register.append("ulpin_ledger", issued.select(
         "project_id", "ulpin", "unit_id", now.alias("issued_at"), "ulpin_version",
         F.lit("issued").alias("state")), batch_id)
-    t = (t.join(frozen.select("project_id", "unit_id", "ord", F.col("outcome").alias("_f")),
-                ["project_id", "unit_id", "ord"], "left")
-         .withColumn("outcome", F.when(F.col("_f") != "issued", F.col("_f"))
-                     .otherwise(F.col("outcome"))))
     last = (t.filter("outcome = 'applied'").groupBy("project_id", "unit_id")
             .agg(F.max_by("after", "ord").alias("_s")))
     given = register.read("ulpin_ledger").filter("state = 'issued'").select(

@@ -61,7 +61,7 @@ def test_create_import_validate_and_stream(spark, project, tmp_path):
     assert units["B2"].attributes.parcel_unresolved.startswith("spread over 2")
     assert units["B1"].validation_state == "failed"         # heights are not known yet
     # a request stream: approval is refused while an error stands, parcels pass
-    p1 = units["P1"].unit_id
+    p1, p2 = units["P1"].unit_id, units["P2"].unit_id     # P2 names no parcel of the old register
     folder = tmp_path / "requests"
     folder.mkdir()
     rows = [{"request_id": "1", "ord": 1, "kind": "transition", "project_id": "P",
@@ -69,13 +69,18 @@ def test_create_import_validate_and_stream(spark, project, tmp_path):
             {"request_id": "2", "ord": 2, "kind": "transition", "project_id": "P",
              "subject": p1, "target": "approved", "actor": "a"},
             {"request_id": "3", "ord": 3, "kind": "transition", "project_id": "P",
-             "subject": p1, "target": "closed", "actor": "a"}]
+             "subject": p1, "target": "closed", "actor": "a"},
+            {"request_id": "4", "ord": 4, "kind": "transition", "project_id": "P",
+             "subject": p2, "target": "approved", "actor": "a"},
+            {"request_id": "5", "ord": 5, "kind": "transition", "project_id": "P",
+             "subject": p2, "target": "closed", "actor": "a"}]
     (folder / "1.json").write_text("\n".join(json.dumps(x) for x in rows))
     q = requests.start(reg, str(folder), str(tmp_path / "ck"), available_now=True)
     q.awaitTermination(120)
     assert q.exception() is None
     out = {r.ord: r.outcome for r in reg.read("request_outcome").collect()}
-    assert out == {1: "blocked", 2: "applied", 3: "applied"}
+    assert out == {1: "blocked", 2: "applied", 3: "applied", 4: "unknown_parcel", 5: "not_allowed"}
+    assert reg.read("unit").filter(F.col("unit_id") == p2).first().status == units["P2"].status
     p = reg.read("unit").filter(F.col("unit_id") == p1).first()
     assert p.status == "closed" and p.ulpin.startswith("KA05B012345678-V1-S00-000-")
     assert reg.read("ulpin_ledger").count() == 1
