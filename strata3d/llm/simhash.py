@@ -109,11 +109,14 @@ def local_links(fp: np.ndarray, free: int, radius: int = RADIUS) -> tuple[
             i = parent[i]
         return i
 
+    used: list[tuple[int, int]] = []
+
     def link(i: np.ndarray, j: np.ndarray) -> None:
         for a, b in zip(i.tolist(), j.tolist()):
-            a, b = top(a), top(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+            x, y = top(a), top(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                used.append((b, a))
 
     bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
     if len(fp) <= 2 * sum(comb(len(bits), k) for k in range(1, radius + 1)):
@@ -127,9 +130,8 @@ def local_links(fp: np.ndarray, free: int, radius: int = RADIUS) -> tuple[
                 at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
                 i = np.flatnonzero((fp[at] == other) & (at > np.arange(len(fp))))
                 link(i, at[i])
-    root = np.array([top(i) for i in range(len(fp))], np.int64)
-    moved = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[moved], fp[root[moved]]
+    ends = np.array(used, np.int64).reshape(-1, 2)
+    return fp[ends[:, 0]], fp[ends[:, 1]]
 
 
 def _parts(df: DataFrame) -> int:
@@ -256,12 +258,12 @@ def resemblance(a: bytes, b: bytes) -> float:
 
 
 def copies(docs: DataFrame, radius: int = WIDE, least: float = SIMILAR) -> DataFrame:
-    """`row` of every document to drop: it resembles one that stays, or one that went for such one.
+    """`row` of every document to drop, so that one of each group of near copies stays.
 
-    For each fingerprint of the family the candidates are the components within `radius` among the
-    documents left. In each one the least (id, row) is kept and what resembles it by at least
-    `least` goes; the others stand for another round among themselves, until none is left. Rows
-    equal in id and text are one document.
+    For each fingerprint of the family, among the documents left: the least (id, row) stands for
+    all documents of one fingerprint that resemble it by `least`; candidate links between
+    fingerprints count if the documents that stand for them resemble each other so much; of each
+    component of such links the least document stays. Rows equal in id and text are one document.
     """
     prints = stored(sketched(docs))
     gone = None
@@ -274,35 +276,29 @@ def copies(docs: DataFrame, radius: int = WIDE, least: float = SIMILAR) -> DataF
 
 
 def _alike(prints: DataFrame, radius: int, least: float) -> DataFrame:
-    """`row` of what resembles the kept document of its component."""
-    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
-    # rows of one fingerprint meet their component on a salt as well, see components_of
-    salted = prints.withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    each = stored(salted.groupBy("fp", "salt").agg(F.count("*").alias("n")))
-    fps = stored(each.groupBy("fp").agg(F.sum("n").alias("n")))
-    root = components.components(links(fps, radius)).withColumnRenamed("node", "fp")
-    of_fp = stored(fps.join(root, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "n"))
-    several = stored(of_fp.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
-                     .select("root"))
-    spread = each.select("fp", "salt").join(of_fp.join(several, "root").select("fp", "root"), "fp")
-    left = stored(salted.join(spread, ["fp", "salt"]).select("root", at.alias("at"), "sketch"))
-
+    """`row` of what resembles, directly or in steps, a document that stays."""
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    gone = prints.select("row").limit(0)
-    while not left.isEmpty():
-        # the least of a root in salted steps, as one root may hold a third of all rows
-        part = left.groupBy("root", F.pmod("at.row", F.lit(SALTS)).alias("salt")).agg(
-            F.min("at").alias("at"))
-        best = stored(part.groupBy("root").agg(F.min("at").alias("best")))
-        kept = stored(left.join(best, "root").where(F.col("at") == F.col("best"))
-                      .select("root", "best", F.col("sketch").alias("pattern"))
-                      .dropDuplicates(["root"]))
-        met = stored(left.join(kept, "root").where(F.col("at") != F.col("best"))
-                     .withColumn("like", like("sketch", "pattern")))
-        gone = gone.unionByName(met.where(F.col("like") >= least).select(F.col("at.row")))
-        left = stored(met.where(F.col("like") < least).select("root", "at", "sketch"))
-    return gone
+    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row").alias("at")
+    # rows of one fingerprint meet what stands for it on a salt as well, see components_of
+    rows = prints.select(at, "fp", "sketch", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    each = stored(rows.groupBy("fp", "salt").agg(F.min("at").alias("at"), F.count("*").alias("n")))
+    stand = each.groupBy("fp").agg(F.min("at").alias("at"), F.sum("n").alias("n"))
+    stand = stored(stand.join(rows.select("at", "fp", "sketch"), ["fp", "at"])
+                   .dropDuplicates(["fp"]))
+    spread = each.select("fp", "salt").join(stand.where("n > 1").select(
+        "fp", F.col("at").alias("best"), F.col("sketch").alias("pattern")), "fp")
+    same = rows.join(spread, ["fp", "salt"]).where(F.col("at") != F.col("best")).where(
+        like("sketch", "pattern") >= least).select(F.col("at.row").alias("row"))
+    end = [stand.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    near = links(stand.select("fp"), radius).distinct().join(end[0], "a").join(end[1], "b")
+    root = components.components(near.where(like("sketch_a", "sketch_b") >= least).select("a", "b"))
+    grouped = stand.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
+        F.coalesce("root", "fp").alias("root"), "at")
+    grouped = stored(grouped)
+    first = stored(grouped.groupBy("root").agg(F.min("at").alias("first")))
+    other = grouped.join(first, "root").where(F.col("at") != F.col("first")).select(
+        F.col("at.row").alias("row"))
+    return same.unionByName(other)
