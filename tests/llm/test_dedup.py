@@ -184,6 +184,39 @@ def test_copies_keep_one_of_each_group(spark):
     assert kept == sorted(map(str, [0, 1, 2, 3, 3, 4, 5, *range(50, 60), 90]))
 
 
+def shingle_sets(texts):
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def dropped_copies(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = {r["key"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).collect()}
+    return {keyed[r["row"]] for r in simhash.copies(docs).collect()}
+
+
+def expected_copies(texts):
+    sets = shingle_sets(texts)
+    top = plain_components(range(len(texts)), [
+        (i, j) for i, j in combinations(range(len(texts)), 2)
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    return {i for i in top if i != min(j for j in top if top[j] == top[i])}
+
+
+def test_copies_are_found_past_what_links_their_fingerprints(spark):
+    """Families of near and farther copies: links of fingerprints through others are no proof."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        words = say(rng, 200).split()
+        for k in (0, 1, 3, 4, 6, 9, 12):
+            copy = list(words)
+            for i in rng.sample(range(len(copy)), k):
+                copy[i] += "x"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    assert dropped_copies(spark, texts) == expected_copies(texts)
+
+
 def test_resemblance_is_jaccard_of_short_texts():
     sketch = lambda xs: np.array(sorted(xs), np.uint64).tobytes()      # noqa: E731
     assert simhash.resemblance(sketch({1, 2, 3}), sketch({2, 3, 4})) == 0.5
