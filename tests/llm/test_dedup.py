@@ -217,6 +217,18 @@ def test_copies_are_found_past_what_links_their_fingerprints(spark):
     assert dropped_copies(spark, texts) == expected_copies(texts)
 
 
+def test_copies_among_texts_of_one_fingerprint(spark):
+    """One word pair is over half of each text, so that all have one fingerprint."""
+    rng = random.Random(22)
+    texts = []
+    for _ in range(8):
+        words = say(rng, 60).split()
+        for k in (0, 1):
+            texts.append("same word " * 200 + " ".join(words[:60 - k]))
+    assert len({plain_fingerprint(" ".join(t.split()[:300])) for t in texts}) == 1
+    assert dropped_copies(spark, texts) == expected_copies(texts) == set(range(1, 16, 2))
+
+
 def test_resemblance_is_jaccard_of_short_texts():
     sketch = lambda xs: np.array(sorted(xs), np.uint64).tobytes()      # noqa: E731
     assert simhash.resemblance(sketch({1, 2, 3}), sketch({2, 3, 4})) == 0.5
