@@ -229,6 +229,22 @@ def test_copies_among_texts_of_one_fingerprint(spark):
     assert dropped_copies(spark, texts) == expected_copies(texts) == set(range(1, 16, 2))
 
 
+def test_copies_of_long_texts_at_the_least_similarity(spark):
+    rng = random.Random(23)
+    texts = []
+    for i in range(24):
+        words = say(rng, 1200).split()
+        changed = list(words)
+        for at in range(10, 10 + 50 * (22 + i % 5), 50):      # 5 of 1,196 shingles each
+            if at < len(changed):
+                changed[at] += "x"
+        texts += [" ".join(words), " ".join(changed)]
+    sets = shingle_sets(texts)
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 0.8 <= min(like) and max(like) < 0.85
+    assert dropped_copies(spark, texts) == expected_copies(texts)
+
+
 def test_resemblance_is_jaccard_of_short_texts():
     sketch = lambda xs: np.array(sorted(xs), np.uint64).tobytes()      # noqa: E731
     assert simhash.resemblance(sketch({1, 2, 3}), sketch({2, 3, 4})) == 0.5
