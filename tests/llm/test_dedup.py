@@ -92,6 +92,18 @@ def test_two_documents_do_not_make_a_template(spark):
     assert linetemplates.dropped(docs, 2).count() == 1
 
 
+def test_long_lines_of_two_documents_and_short_ones_of_many(spark):
+    rng = random.Random(14)
+    shared, numbered = say(rng, 60), "in the year {} all of it came to an end"
+    texts = [f"{say(rng, 12)}\n{shared if i < 2 else say(rng, 9)}\n{numbered.format(i) if i in (4, 5) else ''}\nRead more"
+             + ("\nwhy 3" if i < 5 else "") for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rest = [r["rest"] for r in linetemplates.cleaned(docs, "rest", "gone").collect()]
+    assert sum(shared in t for t in rest) == 1
+    assert sum("Read more" in t for t in rest) == 1
+    assert sum("why 3" in t for t in rest) == 5 and sum("in the year" in t for t in rest) == 2
+
+
 # --- components and SimHash ---------------------------------------------------------------
 
 def plain_components(nodes, links):
