@@ -34,8 +34,9 @@ WITHIN = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++){0,500}+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object|textarea|select)\b"
     rf"{WITHIN}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)({WITHIN})>", re.S | re.I)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: An attribute's name and value.
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements inside a line of text; all others end the block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
@@ -52,6 +53,10 @@ MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored p
             "recommended breadcrumb breadcrumbs comment comments commentlist disqus respond "
             "replies reply discussion pagination pager popup modal overlay dialog search form "
             "widget toolbar tags copyright legal disclaimer skip outbrain taboola".split())
+#: First parts of names that tell how a page is laid out, not what an element is.
+LAYOUT = {"has", "no", "with", "without", "is", "not"}
+#: Elements that no mark on what holds them switches off, see `nodes`.
+SPARED = {"article", "main", "h1"}
 #: Prior counts of words inside and outside the content, by place.
 PRIOR = {"article": (20.0, 1.0), "plain": (5.0, 1.0), "link": (1.0, 2.0), "beside": (1.0, 4.0),
          "off": (0.5, 50.0)}
@@ -66,21 +71,50 @@ class Node:
     block: int
     text: str | None = None
     words: int = 0
+    tag: str = ""
 
 
-def _off(name: str, attributes: str, inside: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)}
+
+
+def _off(name: str, attributes: str, inside: bool, spared: bool) -> bool:
+    """Whether an element's words are not the article's; no mark counts for what is `spared`."""
     if name in ASIDE or name == "header" and not inside:
         return True
     if name in ARTICLE or name in ("html", "body") or not attributes:
         return False
-    return bool(HIDDEN.search(attributes)) or any(
-        part in MARKS for m in NAMED.finditer(attributes) for part in PART.findall(m[1].lower()))
+    given = _attributes(attributes)
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or UNSEEN.search(
+            given.get("style", "")):
+        return True
+    return not spared and any(
+        parts[0] not in LAYOUT and not MARKS.isdisjoint(parts)
+        for k in ("class", "id", "role") for token in given.get(k, "").lower().split()
+        if (parts := PART.findall(token)))
 
 
 def nodes(page: str | None) -> list[Node]:
-    """Text and tags in page order; words after `article` elements' rules get their place."""
+    """Text and tags in page order; words after `article` elements' rules get their place.
+
+    A mark says nothing of an element that holds an article, a first headline or most of the
+    page's words outside menus and the like: pages are read once more where one holds these.
+    """
+    held: dict[int, tuple[int, bool]] = {}
+    out = _read(page, set(), held)
+    if not held:
+        return out
+    total = sum(n.words for n in _read(page, set(held), {}) if n.kind != "off")
+    spared = {at for at, (words, keeps) in held.items() if keeps or 2 * words > total}
+    return _read(page, spared, {}) if spared else out
+
+
+def _read(page: str | None, spared: set[int], held: dict[int, tuple[int, bool]]) -> list[Node]:
+    """The nodes, but for the marks of the tags that start at `spared`. Into `held` goes, for each
+    other tag switched off by a mark, the number of words in it and whether it holds SPARED."""
     page, out, block, at = page or "", [], 0, 0
     open_: list[tuple[str, bool, bool, bool]] = []        # name, off, article, link
+    begun: list[tuple[int, int] | None] = []              # of marked: its place in page and in out
     off = article = link = False
     has_article = re.search(r"<(?:article|main)\b", page, re.I) is not None
 
@@ -91,12 +125,18 @@ def nodes(page: str | None) -> list[Node]:
                     else "beside" if has_article else "plain")
             out.append(Node(kind, block, plain, len(plain.split())))
 
+    def done(k: int) -> None:
+        for mark in filter(None, begun[k:]):
+            inner = out[mark[1]:]
+            held[mark[0]] = (sum(n.words for n in inner), any(n.tag in SPARED for n in inner))
+        del open_[k:], begun[k:]
+
     def close(names: set[str], limit: set[str]) -> None:
         nonlocal off, article, link
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] in names:
                 off, article, link = open_[k][1:]
-                del open_[k:]
+                done(k)
                 return
             if open_[k][0] in limit:
                 return
@@ -112,7 +152,7 @@ def nodes(page: str | None) -> list[Node]:
         name = m[3].lower()
         if name not in INLINE:
             block += 1
-        out.append(Node("off" if off else name, block))
+        out.append(Node("off" if off else name, block, tag=name))
         if name == "br":
             out.append(Node("off" if off else "article", block, " "))
         if m[2]:
@@ -123,10 +163,14 @@ def nodes(page: str | None) -> list[Node]:
             if name == "li":
                 close({"li"}, {"ul", "ol"})
             open_.append((name, off, article, link))
-            off = off or _off(name, m[4], article)
+            marked = m.start() not in spared and _off(name, m[4], article, False)
+            begun.append((m.start(), len(out)) if marked and not _off(name, m[4], article, True)
+                         else None)
+            off = off or (marked or _off(name, m[4], article, True))
             article = article or name in ARTICLE
             link = link or name == "a"
     text(page[at:])
+    done(0)
     return out
 
 

@@ -78,6 +78,23 @@ def test_main_text_of_odd_pages(page, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="layout has-sidebar">', "</div>"), ('<div id="page" class="no-sidebar">', "</div>"),
+    ('<section class="search-results">', "</section>"), ('<div class="post-with-comments">', "</div>")])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_marks_on_what_holds_the_page_do_not_empty_it(start, end, tag):
+    page = (f"<body>{start}<{tag}><p>The story has many words in its first paragraph.</p>"
+            f"</{tag}><div class=comments><p>so nice</p></div>{end}</body>")
+    assert maintext.main_text(maintext.weights_of({}), page) == "The story has many words in its first paragraph."
+
+
+def test_headlines_and_the_word_hidden_stay():
+    page = ('<body><article><div class="post-header"><h1>The headline</h1></div><p title="the hidden cost">One two.</p>'
+            '<p class="overflow hidden md:block">Three four.</p><p title="display: none">Five.</p><p hidden>gone</p>'
+            '<p style="display:none">gone</p><p aria-hidden="true">gone</p></article></body>')
+    assert maintext.main_text(maintext.weights_of({}), page) == "The headline\nOne two.\nThree four.\nFive."
+
+
 def test_best_run_against_all_runs():
     rng = random.Random(1)
     for _ in range(200):
