@@ -7,8 +7,8 @@ every pair within the radius shares its masked value there. Crowded values are m
 the same scheme over the bits still free, until at most 2^FREE values can share one; then a group
 fits a task whatever the data. Inside a group only a spanning forest of the links leaves the task.
 
-Near copies of the pipeline (`copies`) need no fingerprints: they are found exactly, by prefix
-filtering on sets of word shingles.
+Near copies of the pipeline (`copies`) are what fingerprints bring together and the sets of word
+shingles prove; what the fingerprints miss, the parity-sketch join finds.
 
 Defined cases: a null text or one without a word has fingerprint zero, linked like any other; fewer
 words than a shingle are one shingle; rows with a null id get a fingerprint and a component, whose
@@ -18,51 +18,28 @@ an empty table gives an empty result. Only `doc_id` and `text` are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations, count
+from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata3d.session import stored
 
-from . import components
+from . import components, parityjoin
+from .shingling import SALTS, digests
 
 RADIUS = 2
 SHINGLE = 3
-SEED = 42
 #: Fingerprints sharing a masked value above which it is masked once more.
 CROWDED = 2_000
 #: Free bits under which a group is small whatever the data.
 FREE = 14
 #: Of near copies: words of a shingle, and the similarity of the sets of these.
-PROOF, SIMILAR = 5, 0.8
-#: Rounds of comparing all with one, at most; they end once FEW pairs a row are left.
-ROUNDS, FEW = 4, 8
-#: Salts that spread the rows of one fingerprint.
-SALTS = 64
-#: ASCII capitals to small letters, as a byte table; UTF-8 keeps other characters out of its way.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
-    """UTF-8 shingles; bytes.split() cuts at exactly \\x20 and \\x09 to \\x0D."""
-    words = (text or "").encode().translate(LOWER).split()
-    if len(words) < size:
-        return [b" ".join(words)] if words else []
-    return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
-
-
-def digests(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each shingle, repeats included."""
-    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64)
-
-
+SIMILAR = parityjoin.Rule(5, 80, 100)
 def fingerprint(h: np.ndarray) -> int:
     """Bits set in over half of the digests."""
     ones = np.zeros(64, np.int64)
@@ -76,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """`doc_id` and signed 64-bit `fp` of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            fp = np.array([fingerprint(digests(t)) for t in frame["text"]], np.uint64)
+            fp = np.array([fingerprint(digests(t, SHINGLE)) for t in frame["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fp.view(np.int64)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
@@ -232,37 +209,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       "component_id")
 
 
-def prefix(n: int, least: float) -> int:
-    """Of n elements in any common order, so many first ones share one with every set that
-    resembles by `least`: the sets have at least `least` n elements in common."""
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
-
-
-def _sets(docs: DataFrame, least: float) -> DataFrame:
-    """`row` (hash of id and text), `doc_id`, the number `n` of distinct PROOF-word shingles, a hash
-    `whole` of their set and the `head` of it, the least prefix() of the digests."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            held = [np.unique(digests(t, PROOF)) for t in frame["text"]]
-            whole = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held], np.uint64)
-            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"],
-                                "n": [len(h) for h in held], "whole": whole.view(np.int64),
-                                "head": [h[:prefix(len(h), least)].view(np.int64) for h in held]})
-
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    return keyed.mapInPandas(run, "row long, doc_id long, n long, whole long, head array<long>")
-
-
-def _held(docs: DataFrame) -> DataFrame:
-    """`row`, and as `all` its distinct PROOF-word shingles' digests, ascending."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            yield pd.DataFrame({"row": frame["row"], "all": [
-                np.unique(digests(t, PROOF)).view(np.int64) for t in frame["text"]]})
-
-    return docs.mapInPandas(run, "row long, all array<long>")
-
-
 def resemblance(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sets, given as their ascending 64-bit elements."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -270,107 +216,30 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """`row` of every document to drop, so that one of each group of near copies stays.
+def copies(docs: DataFrame, rule: parityjoin.Rule = SIMILAR) -> DataFrame:
+    """`row` (hash of id and text) of every document to drop: one of each group of near copies stays.
 
-    Near copies are documents whose sets of PROOF-word shingles resemble each other by `least`,
-    directly or in steps; the least (id, row) of a group stays. No pair is missed: the least
-    document of each set stands for its equals, and what stands for sets is compared by prefix
-    filtering, see `_alike`. Rows equal in id and text are one document.
+    Near copies are documents whose shingle sets link by the rule, directly or in steps; the least
+    (id, row) of a group stays. Equal sets are one set. What shares a component of fingerprints is
+    compared with the least of it on the full sets; pairs that fingerprints miss are found by the
+    parity-sketch join, so that no link is lost. Documents without a word are copies of each other.
+    Rows equal in id and text have one `row`.
     """
+    docs = docs.select("doc_id", "text")
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row").alias("at")
-    rows = stored(_sets(docs, least)).select(
-        at, "n", "whole", "head", F.pmod("row", F.lit(SALTS)).alias("salt"))
-    # rows of one set meet what stands for it on a salt as well, see components_of
-    each = stored(rows.groupBy("whole", "salt").agg(
-        F.min("at").alias("at"), F.count("*").alias("n")))
-    stand = stored(each.groupBy("whole").agg(F.min("at").alias("at"), F.sum("n").alias("times")))
-    spread = each.select("whole", "salt").join(
-        stand.where("times > 1").select("whole", F.col("at").alias("best")), "whole")
-    same = rows.join(spread, ["whole", "salt"]).where(F.col("at") != F.col("best")).select(
-        F.col("at.row").alias("row"))
-    # what shares none of its head's digests resembles nothing; few documents are left
-    head = rows.join(stand.select("at"), "at", "left_semi").where("n > 0").select(
-        F.col("at.row").alias("row"), "head").dropDuplicates(["row"])
-    head = stored(head.select("row", F.explode("head").alias("digest")))
-    shared = stored(head.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-                    .select("digest"))
-    some = stored(head.join(shared, "digest", "left_semi").select("row").distinct())
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(
-        some, "row", "left_semi").dropDuplicates(["row"])
-    root = components.components(_alike(stored(_held(texts)), least))
-    root = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
-    grouped = stored(stand.select("at", F.col("at.row").alias("row")).join(
-        root.withColumnRenamed("node", "row"), "row"))
-    first = stored(grouped.groupBy("root").agg(F.min("at").alias("first")))
-    other = grouped.join(first, "root").where(F.col("at") != F.col("first")).select("row")
-    return same.unionByName(other)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The `a`, `b` whose sets resemble each other by `least`."""
-    @F.pandas_udf("double")
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([resemblance(np.asarray(x, np.int64).tobytes(),
-                                      np.asarray(y, np.int64).tobytes())
-                          for x, y in zip(a, b)], dtype="float64")
-
-    end = [sets.select(F.col("row").alias(c), F.col("all").alias(f"all_{c}")) for c in "ab"]
-    return pairs.distinct().join(end[0], "a").join(end[1], "b").where(
-        like("all_a", "all_b") >= least).select("a", "b")
-
-
-def _alike(sets: DataFrame, least: float) -> DataFrame:
-    """`a`, `b`: links that join all rows of `sets` (`row`, `all`) that resemble by `least`.
-
-    Digests are ordered by the number of sets that hold them; sets that resemble each other share
-    one of the first prefix() of theirs. All that share such a digest are compared with one of
-    them, in a round or more; then only sets in different components are compared with each other,
-    all of them, so that a pile of near copies costs no pair for each two of them.
-    """
-    held = sets.select("row", F.explode("all").alias("digest"))
-    shared = stored(held.groupBy("digest").agg(F.count("*").alias("df")).where("df > 1"))
-    # digests that nothing else holds come first, and count in the prefix
-    ranked = held.join(shared, "digest").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("df", "digest"))).alias("ds"))
-    sized = ranked.join(sets.select("row", F.size("all").alias("n")), "row").withColumn(
-        "own", F.col("n") - F.size("ds"))
-    take = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - F.col("own")).cast("int")
-    near = stored(sized.withColumn("take", take).where("take > 0").select(
-        "row", "n", "own", F.posexplode(F.slice("ds", F.lit(1), F.col("take"))).alias("k", "d"))
-        .select("row", "n", (F.col("own") + F.col("k")).alias("before"),
-                F.col("d.digest").alias("digest")))
-
-    def may(x: str, y: str) -> F.Column:
-        """Whether two sets can resemble so much if this digest is the first that they share."""
-        most = F.least(F.col(f"{x}.n") - F.col(f"{x}.before"), F.col(f"{y}.n") - F.col(f"{y}.before"))
-        return most * (1 + least) >= least * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
-
-    found, classes = None, near.withColumn("class", F.col("row"))
-    for k in count():
-        parts = classes.groupBy("digest", "class").agg(F.count("*").alias("c"))
-        mixed = stored(parts.groupBy("digest").agg(
-            F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("alike"),
-            F.count("*").alias("classes")).where("classes > 1"))
-        size = mixed.agg(F.sum("rows").alias("rows"), F.sum(
-            F.col("rows") * F.col("rows") - F.col("alike")).alias("pairs")).first()
-        open_ = classes.join(mixed.select("digest"), "digest")
-        if k and (k == ROUNDS or (size["pairs"] or 0) <= FEW * (size["rows"] or 0)):
-            break
-        open_ = stored(open_)
-        lead = stored(open_.groupBy("digest").agg(F.min_by(
-            F.struct("row", "n", "before", "class"), F.xxhash64("row", F.lit(k))).alias("y")))
-        star = open_.alias("x").join(lead, "digest").where(
-            F.col("x.class") != F.col("y.class")).where(may("x", "y")).select(
-            F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-        more = _verified(star, sets, least)
-        found = stored(more if found is None else found.unionByName(more))
-        root = components.components(found).withColumnRenamed("node", "row")
-        classes = stored(near.join(root, "row", "left").select(
-            *near.columns, F.coalesce("root", "row").alias("class")))
-    open_ = stored(open_)
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.digest") == F.col("y.digest"))
-                                 & (F.col("x.row") < F.col("y.row"))
-                                 & (F.col("x.class") != F.col("y.class")) & may("x", "y"))
-    return found.unionByName(_verified(rest.select(
-        F.col("x.row").alias("a"), F.col("y.row").alias("b")), sets, least))
+    sets = stored(parityjoin.sets_of(docs, rule))
+    held = stored(parityjoin.sketched(docs, sets, rule))
+    prints = stored(fingerprints(held.select(F.col("node").alias("doc_id"), "text")))
+    near = components_of(prints).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = parityjoin.verified(near.where("a != b"), held, rule)
+    root = components.components(parityjoin.links(held, rule, found))
+    rows = sets.select(at, "node", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    # the rows of one set meet what stays of its group on a salt as well
+    each = stored(rows.groupBy("node", "salt").agg(F.min("at").alias("at")))
+    of = stored(each.groupBy("node").agg(F.min("at").alias("at")).join(root, "node", "left")
+                .select(F.coalesce("root", "node").alias("root"), "node", "at"))
+    stays = of.groupBy("root").agg(F.min("at").alias("stays"))
+    spread = each.select("node", "salt").join(
+        of.join(stays, "root").select("node", "stays"), "node")
+    return rows.join(spread, ["node", "salt"]).where(F.col("at") != F.col("stays")).select(
+        F.col("at.row").alias("row")).distinct()
