@@ -37,10 +37,12 @@ from strata3d.session import stored
 from . import components
 from .shingling import SALTS, SEED, digests
 
-#: Open pairs a row of candidates under which all of them are compared at once.
-FEW = 8
-#: Keys of a set that the first rounds look at, and the number of these rounds.
-FIRST, EARLY = 4, 2
+#: Pairs of different classes a holder of a key under which all of a key's sketches are compared.
+DENSE = 512
+#: Keys of a set that the first round looks at.
+FIRST = 4
+#: Holders of a key whose sketches one call compares; more are dealt into blocks, compared in pairs.
+BLOCK = 1024
 
 
 class Rule(NamedTuple):
@@ -69,8 +71,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity of the digests on a power of two of bits, about as many as there are digests."""
-    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    """Parity of the digests on a power of two of bits, two to four for each digest."""
+    bits = max(64, 2 << (len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -78,8 +80,11 @@ def sketch(h: np.ndarray) -> np.ndarray:
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     """Hamming distance of two sketches, the longer one folded to the shorter one's bits."""
     m = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(s.reshape(-1, m), axis=0) for s in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum())
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -192,30 +197,88 @@ def _may(x: str, y: str, rule: Rule) -> F.Column:
     return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
 
 
+def _near(node: np.ndarray, n: np.ndarray, of: np.ndarray, block: np.ndarray, sketches: list,
+          rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different classes, and of different blocks if there are two, whose sketches allow a link."""
+    held = [np.frombuffer(x, np.uint64) for x in sketches]
+    words = min(map(len, held))
+    x = np.stack([folded(h, words) for h in held])
+    two = len(np.unique(block)) > 1
+    a, b = [], []
+    for i in range(len(x) - 1):
+        j = np.flatnonzero(of[i + 1:] != of[i]) + i + 1
+        j = j[np.minimum(n[j], n[i]) * rule.den >= np.maximum(n[j], n[i]) * rule.num]
+        if two:
+            j = j[block[j] != block[i]]
+        if len(j):
+            apart = np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64)
+            j = j[(rule.den + rule.num) * apart <= (rule.den - rule.num) * (n[j] + n[i])]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _compared(rows: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """`a`, `b`: holders of one key in different classes whose sketches allow a link.
+
+    Keys lie one after the other in sorted partitions. A key with more than BLOCK holders is dealt
+    into blocks, and every two blocks (and each with itself) meet as a key of their own.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in batches:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            at = frame[["key", "lo", "hi"]].to_numpy()
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+            yield part(frame.iloc[:cut[-1]], cut)
+            rest = frame.iloc[cut[-1]:]
+        if rest is not None and len(rest):
+            yield part(rest, [0, len(rest)])
+
+    def part(frame: pd.DataFrame, cut: list[int]) -> pd.DataFrame:
+        node, n, of, block = (frame[c].to_numpy() for c in ("node", "n", "class", "block"))
+        sketches, out = frame["sketch"].tolist(), [(np.zeros(0, np.int64),) * 2]
+        for i, j in zip(cut, cut[1:]):
+            if j - i > 1:
+                out.append(_near(node[i:j], n[i:j], of[i:j], block[i:j], sketches[i:j], rule))
+        a, b = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(BLOCK)), blocks).cast("int")
+    dealt = rows.withColumn("block", mine).withColumn("other", F.explode(
+        F.sequence(F.lit(0), blocks - 1))).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "block", "node", "n", "class")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.join(held.select("node", "sketch"), "node").repartition(
+        parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(
+        run, "a long, b long").distinct()
+
+
 def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFrame:
     """`a`, `b`: links that join all sets of `held` that link, directly or in steps.
 
-    `found` holds links known before. The first rounds look at the least keys of each set and
-    compare it with the one set of another class that shares most of them; then every key whose
-    holders lie in more than one class is opened: all holders are compared with one, which then
-    leaves the key, until few enough pairs of different classes are left to compare them all.
+    `found` holds links known before. First each set is compared with the one set of another class
+    that shares most of its least keys. Then every key whose holders lie in more than one class is
+    opened. While keys hold very many pairs of different classes, all holders of a key are compared
+    with one, which then leaves the key; what remains is compared sketch by sketch, key by key.
     """
     nodes = held.select("node", "n")
 
     def more(new: DataFrame) -> DataFrame:
         return new if found is None else stored(found.unionByName(new))
 
-    first = stored(held.select("node", "n", F.explode(F.slice("keys", 1, FIRST)).alias("key")))
-    for k in range(EARLY):
-        of = stored(_classes(nodes, found))
-        mine = stored(first.join(of.select("node", "class"), "node"))
-        lead = mine.groupBy("key").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64(
-            "node", F.lit(k))).alias("y"), F.count("*").alias("c")).where("c > 1")
-        shared = mine.alias("x").join(lead, "key").where(
-            (F.col("x.class") != F.col("y.class")) & _may("x", "y", rule)).groupBy(
-            F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
-        best = shared.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        found = more(verified(best, held, rule))
+    first = held.select("node", "n", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    mine = stored(first.join(_classes(nodes, found).select("node", "class"), "node"))
+    lead = mine.groupBy("key").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64(
+        "node")).alias("y"), F.count("*").alias("c")).where("c > 1")
+    shared = mine.alias("x").join(lead, "key").where(
+        (F.col("x.class") != F.col("y.class")) & _may("x", "y", rule)).groupBy(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
+    best = shared.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    found = more(verified(best, held, rule))
 
     of = stored(_classes(nodes, found)).select("node", "class")
     spread = held.select("node", "n", "keys").join(of, "node").select(
@@ -224,7 +287,8 @@ def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFr
     def opened(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("key")
         return stored(rows.withColumn("lo", F.min("class").over(w)).withColumn(
-            "hi", F.max("class").over(w)).where("lo < hi").drop("lo", "hi"))
+            "hi", F.max("class").over(w)).withColumn("c", F.count("*").over(w)).where(
+            "lo < hi").drop("lo", "hi"))
 
     rows = opened(spread)
     for k in count():
@@ -235,8 +299,8 @@ def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFr
             F.sum(F.col("rows") * F.col("rows") - F.col("alike")).alias("pairs")).first()
         if not size["rows"]:
             return found
-        if size["pairs"] <= FEW * size["rows"]:
-            break
+        if size["pairs"] <= DENSE * size["rows"]:
+            return more(verified(_compared(rows, held, rule), held, rule))
         lead = stored(rows.groupBy("key").agg(F.min_by(
             F.struct("node", "n", "class"), F.xxhash64("node", F.lit(k))).alias("y")))
         star = rows.alias("x").join(lead, "key").where(
@@ -244,14 +308,9 @@ def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFr
             F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         found = more(verified(star, held, rule))
         left = rows.join(lead.select("key", F.col("y.node").alias("node")), ["key", "node"],
-                         "left_anti").drop("class")
+                         "left_anti").drop("class", "c")
         of = stored(_classes(nodes, found)).select("node", "class")
         rows = opened(left.join(of, "node").select("node", "n", "class", "key"))
-    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key"))
-                                & (F.col("x.node") < F.col("y.node"))
-                                & (F.col("x.class") != F.col("y.class")) & _may("x", "y", rule))
-    return more(verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")),
-                          held, rule))
 
 
 def joined(docs: DataFrame, rule: Rule = JOIN) -> DataFrame:

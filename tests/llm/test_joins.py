@@ -61,9 +61,10 @@ def mixed():
             (None, texts[0]), (None, "alone here now and never seen"), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("few", [parityjoin.FEW, 0])
-def test_join_equals_all_pairs(spark, mixed, monkeypatch, few):
-    monkeypatch.setattr(parityjoin, "FEW", few)
+@pytest.mark.parametrize("dense,block", [(parityjoin.DENSE, parityjoin.BLOCK), (9, 3)])
+def test_join_equals_all_pairs(spark, mixed, monkeypatch, dense, block):
+    monkeypatch.setattr(parityjoin, "DENSE", dense)
+    monkeypatch.setattr(parityjoin, "BLOCK", block)
     docs = spark.createDataFrame([(*r, 1, 2) for r in mixed], "doc_id long, text string, node int, n int")
     got = parityjoin.joined(docs).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == expected_join(mixed, parityjoin.JOIN)
