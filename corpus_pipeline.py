@@ -5,7 +5,7 @@ again as the next one's input. All but the last return the columns of `documents
 
 1. language_id: documents without a letter, or with an unsure guess, go.
 2. line_dedup: lines of recurring templates are cut; documents left without a word go.
-3. near_dedup: of every group of near copies one document stays.
+3. near_dedup: of every group of near copies, repeated rows too, one document stays.
 4. decontamination: documents that hold a benchmark item within the edit budget go.
 5. encoding: what is left is cut into pieces of the vocabulary.
 """
@@ -42,9 +42,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    gone = simhash.copies(docs).withColumnRenamed("row", "_row")
-    row = F.xxhash64("doc_id", "text")
-    return docs.join(gone, row == F.col("_row"), "left_anti")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    gone = stored(simhash.copies(docs).withColumnRenamed("row", "_row"))
+    left = keyed.join(gone, "_row", "left_anti")
+    # of rows equal in id and text one stays; few rows are repeated, so only these are grouped
+    again = stored(keyed.groupBy("_row").count().where("count > 1").select("_row"))
+    one = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(again, "_row", "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
