@@ -198,13 +198,17 @@ def _may(x: str, y: str, rule: Rule) -> F.Column:
 
 
 def _near(node: np.ndarray, n: np.ndarray, of: np.ndarray, block: np.ndarray, sketches: list,
-          rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different classes, and of different blocks if there are two, whose sketches allow a link."""
+          rule: Rule, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different classes, and of different blocks if there are two, whose sketches allow a link.
+
+    If `nearest`, of each holder only the pair that is within the allowance by most.
+    """
     held = [np.frombuffer(x, np.uint64) for x in sketches]
     words = min(map(len, held))
     x = np.stack([folded(h, words) for h in held])
     two = len(np.unique(block)) > 1
     a, b = [], []
+    most, with_ = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
     for i in range(len(x) - 1):
         j = np.flatnonzero(of[i + 1:] != of[i]) + i + 1
         j = j[np.minimum(n[j], n[i]) * rule.den >= np.maximum(n[j], n[i]) * rule.num]
@@ -212,15 +216,26 @@ def _near(node: np.ndarray, n: np.ndarray, of: np.ndarray, block: np.ndarray, sk
             j = j[block[j] != block[i]]
         if len(j):
             apart = np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64)
-            j = j[(rule.den + rule.num) * apart <= (rule.den - rule.num) * (n[j] + n[i])]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
+            spare = (rule.den - rule.num) * (n[j] + n[i]) - (rule.den + rule.num) * apart
+            j, spare = j[spare >= 0], spare[spare >= 0]
+            if not nearest:
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+            elif len(j):
+                better = spare > most[j]
+                most[j[better]], with_[j[better]] = spare[better], i
+                k = int(spare.argmax())
+                if spare[k] > most[i]:
+                    most[i], with_[i] = spare[k], j[k]
+    if nearest:
+        has = np.flatnonzero(most >= 0)
+        a, b = [node[has]], [node[with_[has]]]
     none = [np.zeros(0, np.int64)]
     return np.concatenate(a or none), np.concatenate(b or none)
 
 
-def _compared(rows: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """`a`, `b`: holders of one key in different classes whose sketches allow a link.
+def _compared(rows: DataFrame, held: DataFrame, rule: Rule, nearest: bool = False) -> DataFrame:
+    """`a`, `b`: holders of one key in different classes whose sketches allow a link, see `_near`.
 
     Keys lie one after the other in sorted partitions. A key with more than BLOCK holders is dealt
     into blocks, and every two blocks (and each with itself) meet as a key of their own.
@@ -241,7 +256,8 @@ def _compared(rows: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
         sketches, out = frame["sketch"].tolist(), [(np.zeros(0, np.int64),) * 2]
         for i, j in zip(cut, cut[1:]):
             if j - i > 1:
-                out.append(_near(node[i:j], n[i:j], of[i:j], block[i:j], sketches[i:j], rule))
+                out.append(_near(node[i:j], n[i:j], of[i:j], block[i:j], sketches[i:j], rule,
+                                 nearest))
         a, b = map(np.concatenate, zip(*out))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -257,13 +273,16 @@ def _compared(rows: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
         run, "a long, b long").distinct()
 
 
-def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFrame:
+def links(held: DataFrame, rule: Rule, found: DataFrame | None = None,
+          nearest: bool = False) -> DataFrame:
     """`a`, `b`: links that join all sets of `held` that link, directly or in steps.
 
     `found` holds links known before. First each set is compared with the one set of another class
     that shares most of its least keys. Then every key whose holders lie in more than one class is
     opened. While keys hold very many pairs of different classes, all holders of a key are compared
-    with one, which then leaves the key; what remains is compared sketch by sketch, key by key.
+    with one, which then leaves the key; what remains is compared sketch by sketch, key by key. If
+    `nearest`, each holder's nearest pair is tried first, so that a family of many links is one class
+    before its other pairs are listed.
     """
     nodes = held.select("node", "n")
 
@@ -299,6 +318,13 @@ def links(held: DataFrame, rule: Rule, found: DataFrame | None = None) -> DataFr
             F.sum(F.col("rows") * F.col("rows") - F.col("alike")).alias("pairs")).first()
         if not size["rows"]:
             return found
+        if size["pairs"] <= DENSE * size["rows"] and nearest:
+            nearest = False
+            found = more(verified(_compared(rows, held, rule, True), held, rule))
+            of = stored(_classes(nodes, found)).select("node", "class")
+            rows = opened(rows.drop("class", "c").join(of, "node").select(
+                "node", "n", "class", "key"))
+            continue
         if size["pairs"] <= DENSE * size["rows"]:
             return more(verified(_compared(rows, held, rule), held, rule))
         lead = stored(rows.groupBy("key").agg(F.min_by(
@@ -324,7 +350,7 @@ def joined(docs: DataFrame, rule: Rule = JOIN) -> DataFrame:
     held = stored(sketched(docs, sets, rule))
     each = stored(sets.where("n > 0").groupBy("node", "salt").agg(F.min("doc_id").alias("least")))
     of = stored(_classes(each.groupBy("node").agg(F.min("least").alias("least")),
-                         links(held, rule)))
+                         links(held, rule, nearest=True)))
     name = stored(of.groupBy("class").agg(F.min("least").alias("component_id")))
     spread = each.select("node", "salt").join(
         of.join(name, "class").select("node", "component_id"), "node")
