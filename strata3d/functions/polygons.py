@@ -79,7 +79,7 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def repair(parts: Column) -> Column:
-    """Even-odd reading of a broken polygon, as disjoint trapezoids."""
+    """Even-odd reading of a broken polygon, as a valid one."""
     return _repair(packed(parts))
 
 
