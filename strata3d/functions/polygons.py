@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PARTS_TYPE
-from .planar import corridor, eroded_parts_outside, eroded_touch, rings_of, sweep, valid
+from .planar import (corridor, dissolved, eroded_parts_outside, eroded_touch, parts_of, rings_of,
+                     sweep, valid)
 from .shapes import packed
 
+
 def _each(fn, *cols):
     return pd.Series([None if any(v is None for v in row) else fn(*row)
                       for row in zip(*cols)], dtype=object)
@@ -26,6 +28,16 @@ def _area_outside(child: pd.Series, parent: pd.Series, tol: pd.Series) -> pd.Ser
     return _each(eroded_parts_outside, child, parent, tol).astype("float64")
 
 
+@F.pandas_udf(PARTS_TYPE)
+def _outside(child: pd.Series, parent: pd.Series, tol: pd.Series) -> pd.Series:
+    return _each(lambda c, p, t: eroded_parts_outside(c, p, t, collect=True), child, parent, tol)
+
+
+@F.pandas_udf(PARTS_TYPE)
+def _joined(parts: pd.Series) -> pd.Series:
+    return _each(lambda p: parts_of(dissolved(p)), parts)
+
+
 @F.pandas_udf(T.BooleanType())
 def _still_touch(a: pd.Series, b: pd.Series, tol: pd.Series) -> pd.Series:
     return _each(eroded_touch, a, b, tol)
@@ -61,6 +73,16 @@ def area_outside(child: Column, parent: Column, tol: Column) -> Column:
     return _area_outside(packed(child), packed(parent), tol)
 
 
+def outside(child: Column, parent: Column, tol: Column) -> Column:
+    """What `area_outside` measures, as a polygon."""
+    return _outside(packed(child), packed(parent), tol)
+
+
+def joined(parts: Column) -> Column:
+    """Parts that touch or overlap made one."""
+    return _joined(packed(parts))
+
+
 def still_touch(a: Column, b: Column, tol: Column) -> Column:
     """Whether both, each eroded by `tol` (whole if emptied), still meet."""
     return _still_touch(packed(a), packed(b), tol)

@@ -133,6 +133,69 @@ def shared_area(a: Column, b: Column, floor_y: Column) -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+#: Corners up to which a ring is tested and clipped natively; both routes give the same region.
+NATIVE_CORNERS = 32
+_RING = "array<struct<x:double,y:double>>"
+
+
+def _beside(p: Column, q: Column, r: Column) -> Column:
+    """Twice the area of p, q, r: positive if r lies left of the line from p to q."""
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+
+def is_convex(parts: Column) -> Column:
+    """One closed ring without a hole, no corner of which lies outside any of its edges."""
+    ring = F.element_at(F.element_at(parts, 1), 1)
+    one = ((F.size(parts) == 1) & (F.size(F.element_at(parts, 1)) == 1)
+           & F.size(ring).between(4, NATIVE_CORNERS + 1))
+    steps = F.sequence(F.lit(1), F.size(ring) - 1)
+    turn = F.signum(ring_area(ring))
+    all_left = F.forall(steps, lambda i: F.forall(ring, lambda r: turn * _beside(
+        F.element_at(ring, i), F.element_at(ring, i + 1), r) >= 0))
+    return F.coalesce(F.when(one, (F.element_at(ring, 1) == F.element_at(ring, -1))
+                             & (turn != 0) & all_left), F.lit(False))
+
+
+def convex_common(a: Column, b: Column) -> Column:
+    """Region common to two convex polygons: `a` cut by one edge of `b` after the other.
+
+    NULL where they share no area.
+    """
+    def points(parts):
+        ring = F.element_at(F.element_at(parts, 1), 1)
+        left = F.when(ring_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+        return F.slice(left, 1, F.size(left) - 1).cast(_RING)
+
+    def cut(ring, edge):
+        p, q = edge["p"], edge["q"]
+
+        def meeting(u, v):
+            su, sv = _beside(p, q, u), _beside(p, q, v)
+            t = su / (su - sv)
+            return point(u["x"] + t * (v["x"] - u["x"]), u["y"] + t * (v["y"] - u["y"]))
+
+        def step(v, i):
+            u = F.element_at(ring, F.when(i == 0, -1).otherwise(i).cast("int"))
+            inside, before = _beside(p, q, v) >= 0, _beside(p, q, u) >= 0
+            return F.when(inside & before, F.array(v)).when(
+                inside, F.array(meeting(u, v), v)).when(
+                before, F.array(meeting(u, v))).otherwise(F.array().cast(_RING)).cast(_RING)
+
+        return F.when(F.size(ring) == 0, ring).otherwise(
+            F.flatten(F.transform(ring, step))).cast(_RING)
+
+    def edges_of(pts):
+        return F.transform(pts, lambda p, i: F.struct(p.alias("p"), F.element_at(
+            pts, F.when(i + 1 == F.size(pts), 1).otherwise(i + 2).cast("int")).alias("q")))
+
+    def closed(pts):
+        ring = F.concat(pts, F.slice(pts, 1, 1))
+        return F.when(ring_area(ring) > 0, F.array(F.array(ring)))
+
+    clipped = F.aggregate(edges_of(points(b)), points(a), cut)
+    return let(F.array_distinct(clipped), closed)
+
+
 def covers_point(a: Column, x: Column, y: Column) -> Column:
     """Point in polygon from signed edges (half-open in x, so shared edges count once)."""
     above = F.filter(a, lambda e: (e["xa"] <= x) & (x < e["xb"]) & (

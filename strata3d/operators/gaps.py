@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import shapes
+from ..functions import polygons, shapes
 from ..functions import scalars as S
-from ..functions.planar import rings_of, strips, sweep
-from ..schemas import PARTS
+from ..functions.planar import Overlay, parts_of, rings_of, strips
+from ..schemas import PARTS, PARTS_TYPE
 
 CHILDREN_PER_TILE = 32
 
 
-@F.pandas_udf(T.DoubleType())
-def _open_area(parent: pd.Series, box: pd.Series, kids: pd.Series, tol: pd.Series) -> pd.Series:
-    """Area of parent within the tile that no widened child covers."""
-    out = []
+@F.pandas_udf(T.StructType([T.StructField("area", T.DoubleType()),
+                            T.StructField("parts", PARTS_TYPE)]))
+def _open_area(parent: pd.Series, box: pd.Series, kids: pd.Series, tol: pd.Series) -> pd.DataFrame:
+    """Parent within the tile that no widened child covers: area and parts."""
+    area, parts = [], []
     for shape, tile, outlines, t in zip(parent, box, kids, tol):
         x0, y0, x1, y1 = tile
         ring = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
@@ -35,12 +36,15 @@ def _open_area(parent: pd.Series, box: pd.Series, kids: pd.Series, tol: pd.Serie
             at += 1 + n
             band = strips(rings, t, reflex=False) if t > 0 else []
             taken += band if len(band) == 1 else [rings] + band
-        out.append(sweep([rings_of(shape), [ring]], taken))
-    return pd.Series(out, dtype="float64")
+        over = Overlay([rings_of(shape), [ring]], taken)
+        area.append(over.area())
+        parts.append(parts_of(over.rings()))
+    return pd.DataFrame({"area": area, "parts": parts})
 
 
 def uncovered(units: DataFrame, contains: DataFrame) -> DataFrame:
-    """Parents left open beyond tolerance: project_id, unit_id, children, missing, tol_h."""
+    """Parents left open beyond tolerance: project_id, unit_id, children, missing, tol_h
+    and the region itself, open_parts."""
     parents = units.filter("attributes.subdivided").select(
         "project_id", "unit_id", "parts", *shapes.BOX,
         S.pair_tolerance(F.col("acc_h"), F.col("acc_h"), F.col("tolerance_k")).alias("tol_h"))
@@ -95,11 +99,17 @@ def uncovered(units: DataFrame, contains: DataFrame) -> DataFrame:
     by_tile = tiles.select("project_id", "unit_id", _open_area(
         shapes.packed(F.col("parts")), F.array("tx0", "ty0", "tx1", "ty1"), flat,
         "tol_h").alias("open"))
-    missing = (by_tile.groupBy("project_id", "unit_id").agg(F.sum("open").alias("missing"))
+    # the region is one value of the finding; tiles are joined along their common lines
+    seams = F.flatten(F.collect_list("open.parts"))
+    missing = (by_tile.groupBy("project_id", "unit_id").agg(
+        F.sum("open.area").alias("missing"), seams.alias("open_parts"), F.count("*").alias("tiles"))
                .join(parents.select("project_id", "unit_id", "tol_h"),
                      ["project_id", "unit_id"])
                .filter(F.col("missing") > S.negligible_area(F.col("tol_h"))))
     # the finding itself names every child, so its list is as long as the result asks for
-    return (missing.join(edge, ["project_id", "unit_id"])
-            .groupBy("project_id", "unit_id", "missing", "tol_h")
-            .agg(F.sort_array(F.collect_list("kid_id")).alias("children")))
+    named = (missing.select("project_id", "unit_id").join(edge, ["project_id", "unit_id"])
+             .groupBy("project_id", "unit_id")
+             .agg(F.sort_array(F.collect_list("kid_id")).alias("children")))
+    whole = missing.withColumn("open_parts", F.coalesce(polygons.joined(
+        F.when(F.col("tiles") > 1, F.col("open_parts"))), "open_parts")).drop("tiles")
+    return whole.join(named, ["project_id", "unit_id"])

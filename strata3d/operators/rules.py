@@ -16,7 +16,7 @@ from ..functions import polygons, shapes
 from ..functions import scalars as S
 from ..schemas import EASEMENT_TYPES, PARTS
 from ..session import stored
-from . import context, gaps, ordered, spatial
+from . import affected, context, gaps, ordered, spatial
 
 CORE = ("project_id", "rule_id", "severity", "unit_id", "related_unit_ids", "message",
         "suggested_action", "affected_geometry", "measured_value", "tolerance")
@@ -178,8 +178,10 @@ def sibling_overlap(ctx: Context) -> DataFrame:
     hits = spatial.sibling_overlaps(ctx.units).select(
         F.col("a.project_id").alias("project_id"),
         F.least("a.unit_id", "b.unit_id").alias("unit_id"),
-        F.greatest("a.unit_id", "b.unit_id").alias("other"), "shared", "tol_h")
-    return _finding(hits, "OVERLAP_SIBLING", "error", related=F.array("other"),
+        F.greatest("a.unit_id", "b.unit_id").alias("other"), "shared", "tol_h",
+        shapes.full_parts("a").alias("_a"), shapes.full_parts("b").alias("_b"))
+    return _finding(affected.common(hits), "OVERLAP_SIBLING", "error", related=F.array("other"),
+                    geometry=F.col("affected"),
                     message=F.format_string("Shares %.2f m2 with %s at the same height.",
                                             "shared", "other"),
                     measured=S.round_exact(F.col("shared"), 2),
@@ -191,7 +193,7 @@ def gap_in_parent(ctx: Context) -> DataFrame:
     found = gaps.uncovered(ctx.units, ctx.contains)
     limit = S.negligible_area(F.col("tol_h"))
     return _finding(found, "GAP_SIBLING", "warning",
-                    related=F.col("children"),
+                    related=F.col("children"), geometry=F.col("open_parts"),
                     message=F.format_string("%.2f m2 is covered by no child.", "missing"),
                     measured=S.round_exact(F.col("missing"), 2),
                     tolerance=S.round_exact(limit, 2),
@@ -243,8 +245,10 @@ def escapes_parent(ctx: Context) -> DataFrame:
     hits = pairs.filter(flatly | F.col("out_z")).select(
         F.col("a.project_id").alias("project_id"), F.col("a.unit_id").alias("unit_id"),
         F.col("b.unit_id").alias("parent_id"),
-        F.when(flatly, F.col("outside")).alias("outside"), "tol_v")
-    return _finding(hits, "ESCAPES_PARENT", "error", related=F.array("parent_id"),
+        F.when(flatly, F.col("outside")).alias("outside"), "tol_v", t.alias("_t"),
+        F.when(flatly, shapes.full_parts("a")).alias("_a"), shapes.full_parts("b").alias("_b"))
+    return _finding(affected.outside(hits), "ESCAPES_PARENT", "error",
+                    related=F.array("parent_id"), geometry=F.col("affected"),
                     message=F.coalesce(
                         F.format_string("%.2f m2 lies outside %s.", "outside", "parent_id"),
                         F.concat(F.lit("Height range leaves "), F.col("parent_id"))),
@@ -258,8 +262,10 @@ def utility_crossing(ctx: Context) -> DataFrame:
     hits = spatial.utility_crossings(ctx.units, ctx.contains).select(
         F.col("a.project_id").alias("project_id"), F.col("a.unit_id").alias("unit_id"),
         F.col("b.unit_id").alias("other"), "shared",
-        F.coalesce("a.utility_kind", "a.unit_type").alias("kind"))
-    return _finding(hits, "UTILITY_CROSSES_BUILDING", "error", related=F.array("other"),
+        F.coalesce("a.utility_kind", "a.unit_type").alias("kind"),
+        shapes.full_parts("a").alias("_a"), shapes.full_parts("b").alias("_b"))
+    return _finding(affected.common(hits), "UTILITY_CROSSES_BUILDING", "error",
+                    related=F.array("other"), geometry=F.col("affected"),
                     message=F.format_string("%s corridor runs through %s over %.2f m2.", "kind",
                                             "other", "shared"),
                     measured=S.round_exact(F.col("shared"), 2),

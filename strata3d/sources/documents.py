@@ -67,27 +67,29 @@ def write_suggestions(s: DataFrame, path: str) -> None:
         "overwrite").text(path)
 
 
+def _geometry(name: str, parts: str) -> Column:
+    """`"name":` and the geometry of all parts: a Polygon, a MultiPolygon, or null."""
+    return F.concat(F.lit(f'"{name}":'), F.coalesce(shapes.geojson(F.col(parts)), F.lit("null")))
+
+
 # --- project document ----------------------------------------------------------------------
 
 def unit_documents(units: DataFrame) -> DataFrame:
     """One JSON object per unit: unknown optionals are left out, limits always written."""
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform(
-        F.element_at("parts", 1), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-        .alias("coordinates"))
     optional = [c for c in ("ulpin", "ulpin_provisional", "ulpin_version", "confidence_score",
                             "model", "valid_from", "valid_to", "recorded_from", "recorded_to",
                             "attributes") if c in units.columns]
     have = [c for c in ("unit_id", "unit_type", "status", "validation_state", "dispute_state",
                         "representation", "crs", "vertical_datum") if c in units.columns]
-    body = F.to_json(F.struct(*have, geometry.alias("footprint_2d"), "source_ids", "created_by",
-                              *optional))
+    body = F.to_json(F.struct(*have, "source_ids", "created_by", *optional))
 
     def limit(name):
         return F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(name).cast("string"),
                                                         F.lit("null")))
 
     text = F.concat(F.lit("{"), limit("lower_limit"), F.lit(","), limit("upper_limit"),
-                    F.lit(","), F.substr(body, F.lit(2)))
+                    F.lit(","), _geometry("footprint_2d", "parts"), F.lit(","),
+                    F.substr(body, F.lit(2)))
     return units.select("project_id", "unit_id", "ord", text.alias("document"))
 
 
@@ -95,7 +97,9 @@ def finding_documents(findings: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(*[c for c in findings.columns if c not in
                                 ("project_id", "affected_geometry", "ord")]),
                      {"ignoreNullFields": "false"})
-    return findings.select("project_id", "finding_id", body.alias("document"))
+    text = F.concat(F.lit("{"), _geometry("affected_geometry", "affected_geometry"), F.lit(","),
+                    F.substr(body, F.lit(2)))
+    return findings.select("project_id", "finding_id", text.alias("document"))
 
 
 def edge_documents(edges: DataFrame) -> DataFrame:

@@ -47,21 +47,31 @@ def joined(column: str, sep: str = ","):
 
 # --- validation rules ----------------------------------------------------------------------
 
-def rule(name: str, fn: rules.Rule, sql: str) -> None:
+def rule(name: str, fn: rules.Rule, sql: str, located: bool = False) -> None:
+    """`located` rules also compare area and box of the affected region."""
     def run(tb: Testbed) -> DataFrame:
+        where, region = [], F.col("affected_geometry")
+        if located:
+            box = shapes.bbox(region)
+            where = [F.round(shapes.area(region), 4).alias("where_area"),
+                     *[F.round(box[c], 4).alias(f"where_{c}") for c in shapes.BOX]]
         return fn(tb.context()).select(
             "rule_id", "severity", "unit_id",
             F.array_join("related_unit_ids", ",").alias("related"),
-            F.col("measured_value").alias("measured"), "tolerance")
+            F.col("measured_value").alias("measured"), "tolerance", *where)
     query(name, sql)(run)
 
 
 def finding_sql(rule_id: str, severity: str, body: str, related: str = "''",
                 measured: str = "CAST(NULL AS DOUBLE)",
-                tolerance: str = "CAST(NULL AS DOUBLE)", extra: str = "") -> str:
+                tolerance: str = "CAST(NULL AS DOUBLE)", extra: str = "",
+                where: tuple[str, ...] = ()) -> str:
+    """`where`: area and box of the region a finding is about."""
+    names = ("area", *shapes.BOX)
+    region = "".join(f", round({v}, 4) AS where_{n}" for n, v in zip(names, where))
     return (f"{Q.register()}{extra} SELECT '{rule_id}' AS rule_id, '{severity}' AS severity, "
             f"unit_id, {related} AS related, {measured} AS measured, "
-            f"{tolerance} AS tolerance FROM {body}")
+            f"{tolerance} AS tolerance{region} FROM {body}")
 
 
 rule("rule_z_impossible", rules.heights_impossible, finding_sql(
@@ -91,27 +101,31 @@ rule("rule_floor_height", rules.floor_height, finding_sql(
     measured=Q.rx("upper_limit-lower_limit", 2)))
 rule("rule_sibling_overlap", rules.sibling_overlap, finding_sql(
     "OVERLAP_SIBLING", "error", f"""(SELECT least(a.unit_id, b.unit_id) AS unit_id,
-    greatest(a.unit_id, b.unit_id) AS other, {Q.SHARED} AS shared, {Q.TH} AS th, {Q.TV} AS tv
-    FROM eu a JOIN eu b ON a.unit_type = b.unit_type
+    greatest(a.unit_id, b.unit_id) AS other, {Q.SHARED} AS shared, {Q.TH} AS th, {Q.TV} AS tv,
+    {Q.COMMON_BOX} FROM eu a JOIN eu b ON a.unit_type = b.unit_type
     AND COALESCE(a.parent_id, '') = COALESCE(b.parent_id, '') AND a.unit_id < b.unit_id
     AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
     WHERE a.unit_type NOT IN ('underground_feature', 'elevated_structure')
     AND {Q.ZOVER.format(tv=Q.TV)} AND {Q.eroded(Q.TH)}) WHERE shared > greatest(th*th, 1e-9)""",
-    related="other", measured=Q.rx("shared", 2), tolerance=Q.rx("th", 3)))
+    related="other", measured=Q.rx("shared", 2), tolerance=Q.rx("th", 3),
+    where=("shared", "wx0", "wy0", "wx1", "wy1")), located=True)
 rule("rule_gap", rules.gap_in_parent, finding_sql(
     "GAP_SIBLING", "warning", """(SELECT f.unit_id, a.unit_id || ',' || b.unit_id AS kids,
     greatest((b.x0 - sqrt(f.acc_h*f.acc_h*2)) - (a.x1 + sqrt(f.acc_h*f.acc_h*2)), 0e0)
-    * (f.y1 - f.y0) AS missing, sqrt(f.acc_h*f.acc_h*2) AS th FROM eu f
+    * (f.y1 - f.y0) AS missing, sqrt(f.acc_h*f.acc_h*2) AS th, a.x1 + sqrt(f.acc_h*f.acc_h*2)
+    AS wx0, b.x0 - sqrt(f.acc_h*f.acc_h*2) AS wx1, f.y0 AS wy0, f.y1 AS wy1 FROM eu f
     JOIN eu a ON a.parent_id = f.unit_id AND a.ord % 2 = 0
     JOIN eu b ON b.parent_id = f.unit_id AND b.ord % 2 = 1 WHERE f.subdivided)
     WHERE missing > greatest(th*th, 1e-9)""",
     related="kids", measured=Q.rx("round(missing, 9)", 2),
-    tolerance=Q.rx("greatest(th*th, 1e-9)", 2)))
+    tolerance=Q.rx("greatest(th*th, 1e-9)", 2),
+    where=("missing", "wx0", "wy0", "wx1", "wy1")), located=True)
 _D = ("(CASE WHEN a.x1-a.x0 <= 2*th OR a.y1-a.y0 <= 2*th THEN 0e0 ELSE th END)")
 rule("rule_escapes_parent", rules.escapes_parent, finding_sql(
-    "ESCAPES_PARENT", "error", f"""(SELECT unit_id, pid, lim, tv, out_z,
+    "ESCAPES_PARENT", "error", f"""(SELECT unit_id, pid, lim, tv, out_z, ex0, ey0, ex1, ey1, qx0, qy0, qx1, qy1,
     CASE WHEN raw <= lim THEN 0e0 ELSE w*h - greatest(cw,0e0)*greatest(ch,0e0) END AS outside
-    FROM (SELECT a.unit_id, a.pid, tv, greatest(th*th,1e-9) AS lim,
+    FROM (SELECT a.unit_id, a.pid, tv, px0 AS qx0, py0 AS qy0, px1 AS qx1, py1 AS qy1,
+      a.x0+{_D} AS ex0, a.y0+{_D} AS ey0, a.x1-{_D} AS ex1, a.y1-{_D} AS ey1, greatest(th*th,1e-9) AS lim,
       (a.x1-a.x0)*(a.y1-a.y0) - greatest(least(a.x1,px1)-greatest(a.x0,px0),0e0)
         *greatest(least(a.y1,py1)-greatest(a.y0,py0),0e0) AS raw,
       a.x1-a.x0-2*{_D} AS w, a.y1-a.y0-2*{_D} AS h,
@@ -125,16 +139,19 @@ rule("rule_escapes_parent", rules.escapes_parent, finding_sql(
             FROM eu a JOIN eu b ON b.unit_id = a.parent_id) a))
     WHERE outside > lim OR out_z""", related="pid",
     measured=f"CASE WHEN outside > lim THEN {Q.rx('outside', 2)} END",
-    tolerance=f"CASE WHEN outside <= lim THEN {Q.rx('tv', 3)} END"))
+    tolerance=f"CASE WHEN outside <= lim THEN {Q.rx('tv', 3)} END",
+    where=tuple(f"CASE WHEN outside > lim THEN {v} END" for v in (
+        "outside", *(Q.beyond(c, end) for end in "01" for c in "xy")))), located=True)
 rule("rule_utility_crossing", rules.utility_crossing, finding_sql(
     "UTILITY_CROSSES_BUILDING", "error", f"""(SELECT a.unit_id, b.unit_id AS other,
-    {Q.SHARED} AS shared FROM eu a JOIN eu b
+    {Q.SHARED} AS shared, {Q.COMMON_BOX} FROM eu a JOIN eu b
     ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
     WHERE a.unit_type IN ('underground_feature', 'elevated_structure')
     AND (b.unit_type IN ('floor', 'apartment') OR (b.unit_type = 'building' AND b.unit_id NOT IN
          (SELECT parent_id FROM eu WHERE unit_type = 'floor')))
     AND {Q.ZOVER.format(tv=Q.TV)} AND {Q.eroded(Q.TH)})""",
-    related="other", measured=Q.rx("shared", 2)))
+    related="other", measured=Q.rx("shared", 2), where=tuple(
+        f"CASE WHEN shared > 0 THEN {v} END" for v in ("shared", "wx0", "wy0", "wx1", "wy1"))), located=True)
 
 
 @query("rule_geometry_invalid", duckdb_with("sketch")

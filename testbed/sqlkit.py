@@ -31,10 +31,22 @@ def register(*more: str) -> str:
 #: area two rectangles a, b share, and their tolerances
 SHARED = ("(greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0e0)"
           "*greatest(least(a.y1,b.y1)-greatest(a.y0,b.y0),0e0))")
+COMMON_BOX = ("greatest(a.x0, b.x0) AS wx0, greatest(a.y0, b.y0) AS wy0, "
+              "least(a.x1, b.x1) AS wx1, least(a.y1, b.y1) AS wy1")
 TH = "sqrt(a.acc_h*a.acc_h+b.acc_h*b.acc_h)"
 TV = "sqrt(a.acc_v*a.acc_v+b.acc_v*b.acc_v)"
 
 
+def beyond(c: str, end: str) -> str:
+    """Side of the box of what rectangle e has outside rectangle q: q hides e's side along `c` only
+    where it spans e in the other direction and passes that side."""
+    o = "y" if c == "x" else "x"
+    spans = f"q{o}0 <= e{o}0 AND q{o}1 >= e{o}1 AND q{c}0 < e{c}1 AND q{c}1 > e{c}0"
+    hides = f"q{c}0 <= e{c}0" if end == "0" else f"q{c}1 >= e{c}1"
+    other = f"q{c}1" if end == "0" else f"q{c}0"
+    return f"CASE WHEN {spans} AND {hides} THEN {other} ELSE e{c}{end} END"
+
+
 def eroded(t: str) -> str:
     """Eroded rectangles a, b meet; one that vanishes counts whole."""
     def d(s):
