@@ -179,7 +179,7 @@ def sibling_overlap(ctx: Context) -> DataFrame:
         F.col("a.project_id").alias("project_id"),
         F.least("a.unit_id", "b.unit_id").alias("unit_id"),
         F.greatest("a.unit_id", "b.unit_id").alias("other"), "shared", "tol_h",
-        shapes.full_parts("a").alias("_a"), shapes.full_parts("b").alias("_b"))
+        *affected.pair())
     return _finding(affected.common(hits), "OVERLAP_SIBLING", "error", related=F.array("other"),
                     geometry=F.col("affected"),
                     message=F.format_string("Shares %.2f m2 with %s at the same height.",
@@ -222,8 +222,11 @@ def escapes_parent(ctx: Context) -> DataFrame:
     known_z = F.coalesce(F.col("a.lower_limit"), F.col("a.upper_limit")).isNotNull()
     for c in ("a.lower_limit", "a.upper_limit", "b.lower_limit", "b.upper_limit"):
         known_z = known_z & F.col(c).isNotNull()
-    pairs = (pairs.withColumn("out_z", known_z & out_z)
-             .filter((F.col("raw") > F.col("limit")) | F.col("out_z")))
+    # few pairs are left; written once, they part in what is decided here and what is swept
+    pairs = stored(pairs.withColumn("out_z", known_z & out_z)
+                   .filter((F.col("raw") > F.col("limit")) | F.col("out_z"))
+                   .select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"), "tol_h",
+                           "tol_v", "limit", "raw", "out_z"))
     t = F.col("tol_h")
     gone = ((F.col("a.x1") - F.col("a.x0") <= 2 * t) | (F.col("a.y1") - F.col("a.y0") <= 2 * t)
             | (t <= 0))
@@ -235,12 +238,11 @@ def escapes_parent(ctx: Context) -> DataFrame:
                                                                 F.col("b.y0"))
     flat = w * h - F.greatest(cw, F.lit(0.0)) * F.greatest(ch, F.lit(0.0))
     sweep = (F.col("raw") > F.col("limit")) & ~(F.col("a.is_rect") & F.col("b.is_rect"))
-    swept = polygons.area_outside(F.when(sweep, shapes.full_parts("a")),
-                                  F.when(sweep, shapes.full_parts("b")), t)
-    pairs = (pairs.withColumn("_swept", swept)
-             .withColumn("outside", F.when(F.col("raw") <= F.col("limit"), 0.0)
-                         .when(F.col("a.is_rect") & F.col("b.is_rect"), flat)
-                         .otherwise(F.col("_swept"))))
+    swept = pairs.filter(sweep).withColumn("outside", polygons.area_outside(
+        shapes.full_parts("a"), shapes.full_parts("b"), t))
+    native = pairs.filter(~sweep).withColumn("outside", F.when(
+        F.col("raw") <= F.col("limit"), 0.0).otherwise(flat))
+    pairs = native.unionByName(swept)
     flatly = F.col("outside") > F.col("limit")
     hits = pairs.filter(flatly | F.col("out_z")).select(
         F.col("a.project_id").alias("project_id"), F.col("a.unit_id").alias("unit_id"),
@@ -263,7 +265,7 @@ def utility_crossing(ctx: Context) -> DataFrame:
         F.col("a.project_id").alias("project_id"), F.col("a.unit_id").alias("unit_id"),
         F.col("b.unit_id").alias("other"), "shared",
         F.coalesce("a.utility_kind", "a.unit_type").alias("kind"),
-        shapes.full_parts("a").alias("_a"), shapes.full_parts("b").alias("_b"))
+        *affected.pair())
     return _finding(affected.common(hits), "UTILITY_CROSSES_BUILDING", "error",
                     related=F.array("other"), geometry=F.col("affected"),
                     message=F.format_string("%s corridor runs through %s over %.2f m2.", "kind",

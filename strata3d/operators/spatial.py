@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import polygons, shapes
 from ..functions import scalars as S
 from ..schemas import EASEMENT_TYPES, MAJORITY
+from ..session import stored
 
 CELL_SIZES = (32.0, 256.0, 2048.0, 16384.0, 131072.0)
 MAX_HOME_CELLS = 64
@@ -189,8 +190,8 @@ def _eroded_meet(tol: Column) -> tuple[Column, Column]:
 def conflicts(pairs: DataFrame, *, need_area: bool) -> DataFrame:
     """Pairs sharing height beyond tolerance whose eroded footprints meet.
 
-    Adds tol_h, tol_v, shared (area). Native expressions decide every rectangle pair; other
-    shapes reach the sweep only after the height, box and (for `need_area`) area tests.
+    Adds tol_h, tol_v, shared (area). Native expressions decide every rectangle pair, which never
+    reaches Python; other shapes are swept after the height, box and (for `need_area`) area tests.
     """
     k = F.col("a.tolerance_k")
     out = (pairs
@@ -203,12 +204,11 @@ def conflicts(pairs: DataFrame, *, need_area: bool) -> DataFrame:
     if need_area:
         out = out.filter(F.col("shared") > S.negligible_area(F.col("tol_h")))
     flat, odd = _eroded_meet(F.col("tol_h"))
-    out = out.withColumn("_odd", odd).filter(F.col("_odd") | flat)
-    swept = polygons.still_touch(F.when(F.col("_odd"), shapes.full_parts("a")),
-                                 F.when(F.col("_odd"), shapes.full_parts("b")),
-                                 F.col("tol_h"))
-    return (out.withColumn("_meet", swept)
-            .filter(~F.col("_odd") | F.col("_meet")).drop("_odd", "_meet"))
+    # written once, pairs part in rectangles, decided by now, and what is swept
+    out = stored(out.withColumn("_odd", odd).filter(F.col("_odd") | flat))
+    swept = out.filter("_odd").filter(polygons.still_touch(
+        shapes.full_parts("a"), shapes.full_parts("b"), F.col("tol_h")))
+    return out.filter("NOT _odd").unionByName(swept).drop("_odd")
 
 
 def sibling_overlaps(units: DataFrame) -> DataFrame:
