@@ -25,6 +25,10 @@ def corpus(spark, tmp_path_factory):
                           "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, "http://a/1", "<article><p>Text of it</p></article>"), (2, None, None)],
                           "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(c, t, "user", f"turn {t} of {c % 3}") for c in range(9) for t in range(3)],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(30)],
+                          "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     return str(at), docs
 
 
