@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.units import complete
@@ -14,7 +14,7 @@ _BUNDLE = (
     "project map<string,string>, sources array<map<string,string>>, "
     "units array<struct<unit_id:string,unit_type:string,status:string,representation:string,"
     "validation_state:string,dispute_state:string,crs:string,vertical_datum:string,"
-    "footprint_2d:struct<type:string,coordinates:array<array<array<double>>>>,"
+    "footprint_2d:struct<type:string,coordinates:string>,"
     "lower_limit:double,upper_limit:double,source_ids:array<string>,created_by:string,"
     "ulpin:string,ulpin_provisional:string,ulpin_version:string,confidence_score:double,"
     "model:struct<name:string,version:string,run_at:timestamp>,valid_from:date,valid_to:date,"
@@ -28,6 +28,14 @@ _BUNDLE = (
     "must_not_fire array<struct<rule_id:string,unit_id:string,note:string>>")
 
 
+def _parts(geometry: Column) -> Column:
+    """Parts of a Polygon or a MultiPolygon, whose coordinates nest one level deeper."""
+    one = F.from_json(geometry["coordinates"], "array<array<array<double>>>")
+    many = F.from_json(geometry["coordinates"], "array<array<array<array<double>>>>")
+    return F.when(geometry["type"] == "MultiPolygon", F.transform(
+        many, lambda rings: F.transform(rings, _ring))).otherwise(F.array(F.transform(one, _ring)))
+
+
 def read(spark: SparkSession, path: str, project_id: str) -> dict[str, DataFrame]:
     """settings, sources, units, relationships, findings and must_not_fire of one bundle."""
     doc = (spark.read.schema(_BUNDLE).option("multiLine", True).json(path)
@@ -47,7 +55,7 @@ def read(spark: SparkSession, path: str, project_id: str) -> dict[str, DataFrame
     every = F.from_json("attributes", "map<string,string>")
     names = [f.name for f in struct(ATTRIBUTES).fields]
     units = u.select(
-        "*", F.array(F.transform("footprint_2d.coordinates", _ring)).alias("parts")
+        "*", _parts(F.col("footprint_2d")).alias("parts")
     ).withColumn("attributes", known.withField("extra", F.map_filter(
         every, lambda k, v: ~k.isin(*names))))
     for column, value in (("representation", "prism"), ("validation_state", "unvalidated"),

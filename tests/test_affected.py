@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata3d.functions import planar, polygons, shapes
 from strata3d.operators import gaps, rules
 from strata3d.schemas import PARTS
-from strata3d.sources import documents
+from strata3d.sources import bundle, documents
 
 from .test_geometry import area_of, packed, star
 
@@ -131,3 +131,17 @@ def test_documents_carry_every_part_and_the_region(spark):
     docs = {r["finding_id"]: json.loads(r["document"]) for r in documents.finding_documents(found).collect()}
     assert docs["f1"]["affected_geometry"]["type"] == "MultiPolygon" and docs["f1"]["rule_id"] == "R"
     assert len(docs["f1"]["affected_geometry"]["coordinates"]) == 2 and docs["f2"]["affected_geometry"] is None
+
+
+def test_bundles_are_read_with_every_part(spark, tmp_path):
+    unit = {"unit_id": "u", "unit_type": "floor", "source_ids": [], "attributes": {}}
+    coords = lambda *parts: [[[[p["x"], p["y"]] for p in r] for r in part] for part in parts]      # noqa: E731
+    two = {"type": "MultiPolygon", "coordinates": coords([ELL], [box(2110633.25, 0.1, 2110634.3, 1)])}
+    one = {"type": "Polygon", "coordinates": coords([box(0, 0, 9, 9), box(1, 1, 2, 2)])[0]}
+    doc = {"project": {}, "sources": [], "relationships": [], "findings": [], "must_not_fire": [],
+           "units": [{**unit, "footprint_2d": two}, {**unit, "unit_id": "v", "footprint_2d": one}]}
+    (tmp_path / "b.json").write_text(json.dumps(doc))
+    units = bundle.read(spark, str(tmp_path / "b.json"), "P")["units"]
+    got = {r["unit_id"]: [[[q.asDict() for q in r_] for r_ in part] for part in r["parts"]] for r in units.collect()}
+    assert got["u"] == [[ELL], [box(2110633.25, 0.1, 2110634.3, 1)]]
+    assert got["v"] == [[box(0, 0, 9, 9), box(1, 1, 2, 2)]]
