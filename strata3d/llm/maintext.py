@@ -1,16 +1,19 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is read as a sequence of words and tags. Words score by where they stand (in an article, in
-a menu or advert, in a link, ...), tags score negative by name; the weights are log-odds of being
-content, counted on labelled pages over prior counts. One linear scan finds the contiguous run with
-the greatest sum; its blocks are the text, without the menus, adverts, forms and comments inside it.
+a link, ...) and by the names of the elements that hold them (landmark tags, parts of class, id and
+role names), tags score negative by name; the weights are log-odds of being content, counted on
+labelled pages over prior counts. Words under a name of log-odds OFF or less score against the
+content by that weight, in part (SHARE), so that an advert does not cut an article in two. One linear
+scan finds the contiguous run with the greatest sum; its blocks are the text, without the words in it
+whose names score against them. The word lists below are prior counts only: labels can outweigh them.
 
 A labelled page is one whose address names a document: its blocks that occur in that document are
 content. At most SAMPLE pages are used; without any, the priors alone decide.
 
 Defined cases: null or empty html, and pages whose best run scores nothing, give an empty text;
 of equal runs the first and shortest wins; unclosed tags end with their parent; a `<` that opens no
-tag is text; null ids and addresses and repeated rows are kept, one result each. Only `page_id`,
+tag, and a tag that the page ends in, are text; a tag may hold any number of attributes; null ids and addresses and repeated rows are kept, one result each. Only `page_id`,
 `url` and `html` are read.
 """
 
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 #: Most labelled pages that training reads.
 SAMPLE = 400
-#: A tag's attributes; one with over 500 quoted or unquoted stretches is taken for text.
-WITHIN = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++){0,500}+"
+#: A tag's attributes. A quote counts after an equals sign only, so each tag is read in one go.
+WITHIN = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object|textarea|select)\b"
-    rf"{WITHIN}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)({WITHIN})>", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b{WITHIN}(?<=/)>|"
+    r"<(?P<raw>script|style|noscript|template|iframe|svg|object|textarea|select)\b"
+    rf"{WITHIN}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
+    rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<given>{WITHIN})(?:>|(?P<cut>\Z))", re.S | re.I)
 #: An attribute's name and value.
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
@@ -43,8 +48,12 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
              "q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
-#: Elements whose words are not the article's.
-ASIDE = set("head nav footer aside form button dialog menu fieldset".split())
+#: Elements whose names say nothing of what they hold.
+GENERIC = INLINE | VOID | ARTICLE | set(
+    "html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
+    "blockquote pre figure figcaption center details summary".split())
+#: Elements whose words are not the article's; a header may be the article's own.
+ASIDE = set("nav footer aside form button dialog menu fieldset".split())
 #: Parts of class, id and role names that mark such elements.
 MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
             "banner menu menubar nav navbar navigation sidebar side aside complementary footer "
@@ -58,9 +67,12 @@ LAYOUT = {"has", "no", "with", "without", "is", "not"}
 #: Elements that no mark on what holds them switches off, see `nodes`.
 SPARED = {"article", "main", "h1"}
 #: Prior counts of words inside and outside the content, by place.
-PRIOR = {"article": (20.0, 1.0), "plain": (5.0, 1.0), "link": (1.0, 2.0), "beside": (1.0, 4.0),
-         "off": (0.5, 50.0)}
+PRIOR = {"article": (20.0, 1.0), "plain": (5.0, 1.0), "link": (1.0, 2.0), "beside": (1.0, 4.0)}
+#: Prior counts of words inside and outside under a listed name and under any other.
+LISTED, OTHER = (0.5, 50.0), (10.0, 1.0)
 MOST, TAG_MOST, TAG_LEAST = 4.0, -0.02, -0.5
+#: Log-odds from which a name scores against its words, and the part of it that a word scores.
+OFF, SHARE = -2.0, 1 / 64
 
 
 @dataclass
@@ -72,103 +84,132 @@ class Node:
     text: str | None = None
     words: int = 0
     tag: str = ""
+    names: frozenset[str] = frozenset()
+    against: float = 0.0         # least log-odds of the names, where they switch it off
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)}
 
 
-def _off(name: str, attributes: str, inside: bool, spared: bool) -> bool:
-    """Whether an element's words are not the article's; no mark counts for what is `spared`."""
-    if name in ASIDE or name == "header" and not inside:
-        return True
-    if name in ARTICLE or name in ("html", "body") or not attributes:
-        return False
-    given = _attributes(attributes)
-    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or UNSEEN.search(
-            given.get("style", "")):
-        return True
-    return not spared and any(
-        parts[0] not in LAYOUT and not MARKS.isdisjoint(parts)
-        for k in ("class", "id", "role") for token in given.get(k, "").lower().split()
-        if (parts := PART.findall(token)))
+def _parts(given: dict[str, str]) -> set[str]:
+    """Parts of an element's class, id and role names, layout words left out."""
+    return {part for k in ("class", "id", "role") for token in given.get(k, "").lower().split()
+            if (parts := PART.findall(token)) and parts[0] not in LAYOUT for part in parts}
 
 
-def nodes(page: str | None) -> list[Node]:
+def _against(weights: dict[str, float], names: set[str], inside: bool) -> float:
+    """Least log-odds of the names if it is OFF or less, else 0; inside an article only listed ones
+    count, since labels tell a headline or byline from a document's text, not from the article's."""
+    least = min((weights.get("@" + n, 0.0) for n in names
+                 if not inside or n in MARKS or n in ASIDE), default=0.0)
+    return least if least <= OFF else 0.0
+
+
+def nodes(page: str | None, weights: dict[str, float]) -> list[Node]:
     """Text and tags in page order; words after `article` elements' rules get their place.
 
     A mark says nothing of an element that holds an article, a first headline or most of the
-    page's words outside menus and the like: pages are read once more where one holds these.
+    page's words outside menus and the like, nor does a form that holds an article or, with
+    paragraphs, most of the words: pages are read once more where one holds these.
     """
-    held: dict[int, tuple[int, bool]] = {}
-    out = _read(page, set(), held)
+    held: dict[int, tuple[int, bool, bool]] = {}
+    out = _read(page, weights, set(), held)
     if not held:
         return out
-    total = sum(n.words for n in _read(page, set(held), {}) if n.kind != "off")
-    spared = {at for at, (words, keeps) in held.items() if keeps or 2 * words > total}
-    return _read(page, spared, {}) if spared else out
+    total = sum(n.words for n in _read(page, weights, set(held), {}) if n.kind != "off")
+    spared = {at for at, (words, keeps, may) in held.items() if keeps or may and 2 * words > total}
+    return _read(page, weights, spared, {}) if spared else out
 
 
-def _read(page: str | None, spared: set[int], held: dict[int, tuple[int, bool]]) -> list[Node]:
-    """The nodes, but for the marks of the tags that start at `spared`. Into `held` goes, for each
-    other tag switched off by a mark, the number of words in it and whether it holds SPARED."""
+def _read(page: str | None, weights: dict[str, float], spared: set[int],
+          held: dict[int, tuple[int, bool, bool]]) -> list[Node]:
+    """The nodes, but for the names of the tags that start at `spared`. Into `held` goes, for each
+    other tag that its names switch off, the number of words in it, whether it holds what spares it
+    and whether many words may."""
     page, out, block, at = page or "", [], 0, 0
-    open_: list[tuple[str, bool, bool, bool]] = []        # name, off, article, link
-    begun: list[tuple[int, int] | None] = []              # of marked: its place in page and in out
-    off = article = link = False
-    has_article = re.search(r"<(?:article|main)\b", page, re.I) is not None
+    open_: list[tuple[str, float, bool, bool, frozenset]] = []  # name, and what held outside it
+    begun: list[tuple[int, int, bool] | None] = []        # of marked: place in page, in out, a form?
+    off, article, link, names = 0.0, False, False, frozenset()
+
+    def marks(m: re.Match, inside: bool) -> tuple[set[str], float, float]:
+        """Names of a tag, their log-odds against its words, and the part that is never spared."""
+        name, given = m["name"].lower(), _attributes(m["given"]) if m["given"] else {}
+        own = set() if name in GENERIC or name == "header" and inside else {name}
+        if name in ("html", "body", "main"):
+            return own, 0.0, 0.0
+        firm = own - {"form"}
+        # never shown, whatever the labels say
+        if name in ("head", "title") or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or UNSEEN.search(
+                given.get("style", "")):
+            return own, -MOST, -MOST
+        own |= _parts(given)
+        # labels speak of the elements beside an article, not of articles
+        known = inside or name in ARTICLE
+        return own, _against(weights, own, known), _against(weights, firm, known and name != "header")
+
+    has_article = any(m.start() in spared or not marks(m, False)[1] for m in TOKEN.finditer(page)
+                      if m["name"] and not m["end"] and m["name"].lower() in ARTICLE)
 
     def text(raw: str) -> None:
         plain = markup.unescape(raw)
         if plain:
             kind = ("off" if off else "article" if article else "link" if link
                     else "beside" if has_article else "plain")
-            out.append(Node(kind, block, plain, len(plain.split())))
+            out.append(Node(kind, block, plain, len(plain.split()), names=names, against=off))
 
     def done(k: int) -> None:
         for mark in filter(None, begun[k:]):
             inner = out[mark[1]:]
-            held[mark[0]] = (sum(n.words for n in inner), any(n.tag in SPARED for n in inner))
+            tags = {n.tag for n in inner}
+            form = mark[2]
+            held[mark[0]] = (sum(n.words for n in inner),
+                             not tags.isdisjoint(ARTICLE if form else SPARED), not form or "p" in tags)
         del open_[k:], begun[k:]
 
-    def close(names: set[str], limit: set[str]) -> None:
-        nonlocal off, article, link
+    def close(ended: set[str], limit: set[str]) -> None:
+        nonlocal off, article, link, names
         for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in names:
-                off, article, link = open_[k][1:]
+            if open_[k][0] in ended:
+                off, article, link, names = open_[k][1:]
                 done(k)
                 return
             if open_[k][0] in limit:
                 return
 
     for m in TOKEN.finditer(page):
+        if m["cut"] is not None:                          # the page ends in it
+            break
         if m.start() > at:
             text(page[at:m.start()])
         at = m.end()
-        if m[3] is None:                                  # comment, script, declaration
-            if m[1]:
+        if m["name"] is None:                             # comment, script, declaration
+            if m["raw"]:
                 block += 1
             continue
-        name = m[3].lower()
+        name = m["name"].lower()
+        if open_ and open_[-1][0] == "title" and name != "title":
+            close({"title"}, set())                       # a title holds no tags
         if name not in INLINE:
             block += 1
-        out.append(Node("off" if off else name, block, tag=name))
+        out.append(Node("off" if off else name, block, tag="" if m["end"] else name))
         if name == "br":
             out.append(Node("off" if off else "article", block, " "))
-        if m[2]:
+        if m["end"]:
             close({name}, set())
         elif name not in VOID:
             if name not in INLINE:
                 close({"p"}, {"div", "article", "section", "td", "li", "blockquote"})
             if name == "li":
                 close({"li"}, {"ul", "ol"})
-            open_.append((name, off, article, link))
-            marked = m.start() not in spared and _off(name, m[4], article, False)
-            begun.append((m.start(), len(out)) if marked and not _off(name, m[4], article, True)
-                         else None)
-            off = off or (marked or _off(name, m[4], article, True))
+            open_.append((name, off, article, link, names))
+            own, all_, firm = marks(m, article)
+            loose = all_ and not firm and m.start() not in spared
+            begun.append((m.start(), len(out), name == "form") if loose else None)
+            off = min(off, all_ if loose else firm)
             article = article or name in ARTICLE
             link = link or name == "a"
+            names = names | own
     text(page[at:])
     done(0)
     return out
@@ -197,33 +238,38 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(weights: dict[str, float], page: str | None) -> str:
-    found = nodes(page)
-    # a menu or advert inside the article costs its opening tag, not its length: it is left out
-    a, b = best_run([0.0 if n.kind == "off" else weights[n.kind] * n.words
+    found = nodes(page, weights)
+    a, b = best_run([SHARE * n.against * n.words if n.kind == "off" else weights[n.kind] * n.words
                      if n.text is not None else weights.get("<" + n.kind, TAG_MOST)
                      for n in found])
     return "\n".join(t for _, t in blocks(found[a:b]))
 
 
 def counts(page: str | None, document: str | None) -> Counter:
-    """(kind, inside the content?) of the words and tags of a labelled page."""
-    found = nodes(page)
+    """(kind, inside the content?) of the words and tags of a labelled page, and of the names over
+    its words; no name switches anything off here."""
+    found = nodes(page, {})
     known = " ".join((document or "").split())
     lines = {" ".join(x.split()) for x in (document or "").split("\n")}
     whole: dict[int, list[str]] = {}
     for n in found:
-        if n.text is not None:
+        if n.text is not None and n.kind != "off":
             whole.setdefault(n.block, []).append(n.text)
     content = {b for b, p in whole.items() if (t := " ".join("".join(p).split())) and (
         t in lines or t.count(" ") > 2 and t in known)}
     # shared phrases match outside the article too: the labelled region is the best run of matches
-    a, b = best_run([n.words * (1.0 if n.block in content else -1.0) for n in found])
+    a, b = best_run([n.words * (0.0 if n.kind == "off" else 1.0 if n.block in content else -1.0)
+                     for n in found])
     out: Counter = Counter()
     for i, n in enumerate(found) if b else ():
+        if n.kind == "off":
+            continue
         if n.text is None:
             out["<" + n.kind, a <= i < b] += 1
         elif n.words:
             out[n.kind, a <= i < b] += n.words
+            for name in n.names:
+                out["@" + name, n.block in content and a <= i < b] += n.words
     return out
 
 
@@ -253,8 +299,9 @@ def fit(pages: DataFrame, documents: DataFrame, limit: int = SAMPLE) -> dict[str
 def weights_of(seen: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Bounded log-odds over the prior counts; tags score from TAG_LEAST to TAG_MOST."""
     out = {}
-    for kind in set(PRIOR) | {k for k, _ in seen}:
-        a, b = PRIOR.get(kind, (1.0, 1.0))
+    listed = {"@" + n for n in MARKS | ASIDE}
+    for kind in set(PRIOR) | listed | {k for k, _ in seen}:
+        a, b = PRIOR.get(kind, LISTED if kind in listed else OTHER if kind[0] == "@" else (1.0, 1.0))
         odds = math.log((seen.get((kind, True), 0) + a) / (seen.get((kind, False), 0) + b))
         tag = kind.startswith("<")
         out[kind] = max(TAG_LEAST if tag else -MOST, min(TAG_MOST if tag else MOST, odds))

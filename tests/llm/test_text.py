@@ -95,6 +95,57 @@ def test_headlines_and_the_word_hidden_stay():
     assert maintext.main_text(maintext.weights_of({}), page) == "The headline\nOne two.\nThree four.\nFive."
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body><article><p>The story has its words.</p></article><article class='comment'><p>so nice</p></article>",
+     "The story has its words."),
+    ("<body><div><p>The story has its words.</p><p>More of it.</p></div><article class='comment'><p>so nice</p></article>",
+     "The story has its words.\nMore of it."),
+    ("<title>Site and title</title><p>The story has its words.</p>", "The story has its words."),
+    ("<title>Site and title<p>The story has its words.</p>", "The story has its words."),
+    ("<svg width='1' /><article><p>The story.</p></article><svg><text>no</text></svg>", "The story."),
+    ("<body><form action=x><nav><a>Home</a></nav><div><p>The story has many words here.</p></div></form></body>",
+     "The story has many words here."),
+    ("<body><form><article><p>One.</p></article></form></body>", "One."),
+    ("<body><p>The story has many words here.</p><form><p>Mail me</p></form></body>", "The story has many words here."),
+    ("<p " + " ".join(f"data-{i}='a>b'" for i in range(3000)) + ">The story.</p>", "The story."),
+    ("<article><p>The first of two paragraphs.</p><div class=ad>" + "buy this now " * 90 + "</div><p>" + "word " * 400 + "</p></article>",
+     "The first of two paragraphs.\n" + " ".join(["word"] * 400))])
+def test_what_is_and_is_not_the_article(page, text):
+    assert maintext.main_text(maintext.weights_of({}), page) == text
+
+
+def test_tags_that_never_end_are_read_in_one_go():
+    page = "<p>The story.</p>" + "<a =\"" * 50_000
+    assert maintext.main_text(maintext.weights_of({}), page).startswith("The story.")
+
+
+def _labelled(i):
+    document = f"Line one of {i} has words.\nAnother line number {i} here."
+    page = (f"<body><nav><a>Home of all</a></nav><div class='rail'><p>Read more from us {i}</p></div><div class='story'>"
+            f"<p>Line one of {i} has words.</p><p>Another line number {i} here.</p></div>"
+            f"<footer><p>all rights of {i} are held</p></footer></body>")
+    return page, document
+
+
+def test_learned_weights_alone_give_the_article(monkeypatch):
+    for name in ("MARKS", "ASIDE"):
+        monkeypatch.setattr(maintext, name, set())
+    seen = sum((maintext.counts(*_labelled(i)) for i in range(40)), maintext.Counter())
+    weights = maintext.weights_of(seen)
+    page, document = _labelled(77)
+    assert maintext.main_text(weights, page) == document
+    assert "Read more" in maintext.main_text(maintext.weights_of({}), page)     # it is the labels that tell
+
+
+def test_labels_outweigh_the_lists_and_the_scan_cuts_what_no_list_names():
+    seen = sum((maintext.counts(p.replace("'story'", "'widget'"), d) for p, d in map(_labelled, range(40))), maintext.Counter())
+    weights = maintext.weights_of(seen)
+    assert weights["@widget"] > 0 > maintext.weights_of({})["@widget"]
+    links = "<ul>" + "<li><a href=x>Some other page</a></li>" * 9 + "</ul>"     # no list names these
+    text = maintext.main_text(maintext.weights_of({}), f"<body>{links}<div><p>The story has words.</p></div>{links}")
+    assert text == "The story has words."
+
+
 def test_best_run_against_all_runs():
     rng = random.Random(1)
     for _ in range(200):
@@ -112,6 +163,10 @@ def test_extraction_learns_from_named_documents(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     weights = maintext.fit(frame, docs, 20)
     assert weights["article"] > 0 and all(w < 0 for k, w in weights.items() if k.startswith("<"))
+    assert weights["@nav"] < -2 and weights["@footer"] < -2
+    assert maintext.extract(frame.limit(0), maintext.fit(frame.limit(0), docs)).count() == 0
+    twice = maintext.extract(frame.where("page_id = 3").unionAll(frame.where("page_id = 3")), weights)
+    assert [r["n_chars"] for r in twice.collect()] == [52, 52]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in maintext.extract(frame, weights).collect()}
     assert got[3] == ("Line one of 3 has words.\nAnother line number 3 here.", 52)
     assert got[98] == got[None] == ("", 0)
