@@ -72,7 +72,7 @@ PRIOR = {"article": (20.0, 1.0), "plain": (5.0, 1.0), "link": (1.0, 2.0), "besid
 LISTED, OTHER = (0.5, 50.0), (10.0, 1.0)
 MOST, TAG_MOST, TAG_LEAST = 4.0, -0.02, -0.5
 #: Log-odds from which a name scores against its words, and the part of it that a word scores.
-OFF, SHARE = -2.0, 1 / 64
+OFF, SHARE = -2.0, 1 / 256
 
 
 @dataclass
