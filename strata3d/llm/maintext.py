@@ -13,8 +13,8 @@ content. At most SAMPLE pages are used; without any, the priors alone decide.
 
 Defined cases: null or empty html, and pages whose best run scores nothing, give an empty text;
 of equal runs the first and shortest wins; unclosed tags end with their parent; a `<` that opens no
-tag, and a tag that the page ends in, are text; a tag may hold any number of attributes; null ids and addresses and repeated rows are kept, one result each. Only `page_id`,
-`url` and `html` are read.
+tag, and a tag that the page ends in, are text; a tag may hold any number of attributes; null ids and
+addresses and repeated rows are kept, one result each. Only `page_id`, `url` and `html` are read.
 """
 
 from __future__ import annotations
@@ -140,8 +140,8 @@ def _read(page: str | None, weights: dict[str, float], spared: set[int],
             return own, 0.0, 0.0
         firm = own - {"form"}
         # never shown, whatever the labels say
-        if name in ("head", "title") or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or UNSEEN.search(
-                given.get("style", "")):
+        if (name in ("head", "title") or "hidden" in given or UNSEEN.search(given.get("style", ""))
+                or given.get("aria-hidden", "").lower() == "true"):
             return own, -MOST, -MOST
         own |= _parts(given)
         # labels speak of the elements beside an article, not of articles
@@ -192,7 +192,7 @@ def _read(page: str | None, weights: dict[str, float], spared: set[int],
             close({"title"}, set())                       # a title holds no tags
         if name not in INLINE:
             block += 1
-        out.append(Node("off" if off else name, block, tag="" if m["end"] else name))
+        out.append(Node("off" if off else name, block, tag="" if m["end"] else name, names=names))
         if name == "br":
             out.append(Node("off" if off else "article", block, " "))
         if m["end"]:
@@ -246,8 +246,8 @@ def main_text(weights: dict[str, float], page: str | None) -> str:
 
 
 def counts(page: str | None, document: str | None) -> Counter:
-    """(kind, inside the content?) of the words and tags of a labelled page, and of the names over
-    its words; no name switches anything off here."""
+    """(kind, names over it, in the labelled region?, in a block of the document?) of the words and
+    tags of a labelled page; no name switches anything off here."""
     found = nodes(page, {})
     known = " ".join((document or "").split())
     lines = {" ".join(x.split()) for x in (document or "").split("\n")}
@@ -262,14 +262,10 @@ def counts(page: str | None, document: str | None) -> Counter:
                      for n in found])
     out: Counter = Counter()
     for i, n in enumerate(found) if b else ():
-        if n.kind == "off":
-            continue
-        if n.text is None:
-            out["<" + n.kind, a <= i < b] += 1
-        elif n.words:
-            out[n.kind, a <= i < b] += n.words
-            for name in n.names:
-                out["@" + name, n.block in content and a <= i < b] += n.words
+        if n.kind != "off" and (n.text is None or n.words):
+            inside = a <= i < b
+            out[n.kind if n.text is not None else "<" + n.kind, " ".join(sorted(n.names)), inside,
+                inside and n.block in content] += n.words or 1
     return out
 
 
@@ -288,26 +284,40 @@ def fit(pages: DataFrame, documents: DataFrame, limit: int = SAMPLE) -> dict[str
             total: Counter = Counter()
             for page, text in zip(frame["html"], frame["text"]):
                 total.update(counts(page, text))
-            yield pd.DataFrame([(k, inside, n) for (k, inside), n in total.items()],
-                               columns=["kind", "inside", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in total.items()],
+                               columns=["kind", "names", "inside", "known", "n"])
 
-    seen = both.mapInPandas(run, "kind string, inside boolean, n long").groupBy(
-        "kind", "inside").agg(F.sum("n").alias("n")).collect()
-    return weights_of({(r["kind"], r["inside"]): r["n"] for r in seen})
+    key = ["kind", "names", "inside", "known"]
+    seen = both.mapInPandas(run, "kind string, names string, inside boolean, known boolean, n long"
+                            ).groupBy(*key).agg(F.sum("n").alias("n")).collect()
+    return weights_of({tuple(r[k] for k in key): r["n"] for r in seen})
 
 
-def weights_of(seen: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Bounded log-odds over the prior counts; tags score from TAG_LEAST to TAG_MOST."""
-    out = {}
+def weights_of(seen: dict[tuple[str, str, bool, bool], int]) -> dict[str, float]:
+    """Bounded log-odds over the prior counts; tags score from TAG_LEAST to TAG_MOST. Names come
+    first; what they switch off does not count for the places and tags."""
     listed = {"@" + n for n in MARKS | ASIDE}
-    for kind in set(PRIOR) | listed | {k for k, _ in seen}:
-        a, b = PRIOR.get(kind, LISTED if kind in listed else OTHER if kind[0] == "@" else (1.0, 1.0))
-        odds = math.log((seen.get((kind, True), 0) + a) / (seen.get((kind, False), 0) + b))
-        tag = kind.startswith("<")
-        out[kind] = max(TAG_LEAST if tag else -MOST, min(TAG_MOST if tag else MOST, odds))
+    names: Counter = Counter()
+    for (kind, over, _, known), n in seen.items():
+        if kind[0] != "<":
+            for name in over.split():
+                names["@" + name, known] += n
+    out = {k: _odds(names, k, LISTED if k in listed else OTHER) for k in listed | {k for k, _ in names}}
+    places: Counter = Counter()
+    for (kind, over, inside, _), n in seen.items():
+        if not _against(out, set(over.split()), kind == "article"):
+            places[kind, inside] += n
+    for kind in set(PRIOR) | {k for k, _ in places}:
+        odds = _odds(places, kind, PRIOR.get(kind, (1.0, 1.0)))
+        out[kind] = max(TAG_LEAST, min(TAG_MOST, odds)) if kind[0] == "<" else odds
     return out
 
 
+def _odds(seen: Counter, key: str, prior: tuple[float, float]) -> float:
+    odds = math.log((seen[key, True] + prior[0]) / (seen[key, False] + prior[1]))
+    return max(-MOST, min(MOST, odds))
+
+
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """`page_id`, `url`, `text` and `n_chars` of every page."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
