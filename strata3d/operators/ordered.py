@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BUCKET_BITS = 16
+#: Bits below the partition in `monotonically_increasing_id`.
+RANGE_BITS = 33
 
 
 def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str) -> DataFrame:
@@ -34,24 +38,26 @@ def place_by_text(df: DataFrame, keys: list[str], text: str, out: str,
                   lead: tuple[Column, ...] = ()) -> DataFrame:
     """Add `out`: dense 0-based place in the group by `lead`, then by the unique string `text`.
 
-    Places are counted inside pieces (equal `lead` and first three characters) and offset by the
-    pieces before, so no group is sorted in one task.
+    Rows are cut into ranges of (keys, lead, text) and numbered inside each; a group then only sums
+    the counts of the ranges it lies in. The ranges come from a sample, so numbered rows are written
+    once: a task run again must not see other ranges.
     """
     named = [f"_lead{i}" for i in range(len(lead))]
-    cut = df.select("*", *[c.alias(n) for c, n in zip(lead, named)],
-                    F.substring(text, 1, 3).alias("_piece"))
-    piece = [*keys, *named, "_piece"]
-    before = cut.groupBy(*piece).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(
-        F.sum("_n").over(Window.partitionBy(*keys).orderBy(*named, "_piece")
-                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(*[F.col(c).alias(f"{c}_b") for c in piece], "_before")
-    local = F.row_number().over(Window.partitionBy(*piece).orderBy(text)) - 1
-    same = F.lit(True)
-    for c in piece:
+    order = [*keys, *named, text]
+    cut = df.select("*", *[c.alias(n) for c, n in zip(lead, named)])
+    number = F.monotonically_increasing_id()
+    ranged = stored(cut.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("_at", number).withColumn("_range", F.shiftright("_at", RANGE_BITS)))
+    starts = ranged.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)) - F.col("_first"))
+    starts = starts.select(*[F.col(c).alias(f"{c}_b") for c in (*keys, "_range")], "_before")
+    same = F.col("_range") == F.col("_range_b")
+    for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_b"))
-    return cut.withColumn("_local", local).join(before, same).select(
-        *[F.col(c) for c in df.columns if c != out],
-        (F.col("_before") + F.col("_local")).alias(out))
+    return ranged.join(starts, same).select(*[F.col(c) for c in df.columns if c != out],
+                                            (F.col("_before") + F.col("_at")).alias(out))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
