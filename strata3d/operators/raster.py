@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import shapes
 from ..schemas import ASSUMED_STOREY_M, MIN_BUILDING_HEIGHT_M
+from ..session import stored
 
-#: Footprints expected to hold more cells than this take the counting route, whose state
-#: per group is bounded however large the footprint is.
-DIRECT_CELLS = 1_000_000
+#: Values a metre in one bin of the counting quantiles.
+BINS = 16
 
 
 def _finite(v: Column) -> Column:
@@ -111,36 +111,42 @@ def cells_in(footprints: DataFrame, tiles: DataFrame, key: str,
                                    *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def _median(values: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """Exact interpolated quantile with bounded state per group (for huge footprints).
+def value_runs(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value occurs per group, `_v` and `_n`: counted on the way to the shuffle, so
+    a footprint costs its distinct values and none is held in one task. Written once, so that the
+    tiles are met once however often the runs are read."""
+    known = cells.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    return stored(known.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
 
-    Counts per 1/16 m bin find the bins holding the two middle ranks; only those bins'
-    distinct values are then ranked.
+
+def run_quantiles(runs: DataFrame, keys: list[str], q: Column) -> DataFrame:
+    """Exact interpolated quantile `q` and number of cells `n` per group of value runs.
+
+    Counts per bin find the bins that hold the two middle ranks; only their values are ranked.
     """
-    bins = values.groupBy(key, F.floor(F.col(value) * 16).alias("_bin")).agg(
-        F.count("*").alias("_n"))
-    run = Window.partitionBy(key).orderBy("_bin")
-    whole = Window.partitionBy(key)
-    bins = (bins.withColumn("_to", F.sum("_n").over(run))
-            .withColumn("_all", F.sum("_n").over(whole))
-            .withColumn("_rank", (F.col("_all") - 1) * q)
-            .withColumn("_from", F.col("_to") - F.col("_n")))
+    bin_ = F.floor(F.col("_v") * BINS)
+    upto = Window.partitionBy(*keys).orderBy("_bin")
+    bins = runs.groupBy(*keys, bin_.alias("_bin")).agg(F.sum("_n").alias("_m"))
+    bins = (bins.withColumn("_to", F.sum("_m").over(upto))
+            .withColumn("n", F.sum("_m").over(Window.partitionBy(*keys)))
+            .withColumn("_rank", (F.col("n") - 1) * q)
+            .withColumn("_from", F.col("_to") - F.col("_m")))
     lo, hi = F.floor("_rank"), F.ceil("_rank")
     bins = bins.filter((lo < F.col("_to")) & (hi >= F.col("_from")))
-    fine = (values.withColumn("_bin", F.floor(F.col(value) * 16))
-            .join(bins.select(key, "_bin", "_from", "_rank"), [key, "_bin"])
-            .groupBy(key, "_bin", "_from", "_rank", F.col(value).alias("_v"))
-            .agg(F.count("*").alias("_n")))
-    w = Window.partitionBy(key, "_bin").orderBy("_v")
-    fine = fine.withColumn("_end", F.col("_from") + F.sum("_n").over(w))
+    fine = runs.withColumn("_bin", bin_).join(
+        bins.select(*keys, "_bin", "_from", "_rank", "n"), [*keys, "_bin"])
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    fine = fine.withColumn("_end", F.col("_from") + F.sum("_n").over(inside))
 
     def at(rank):
         return F.min(F.when(F.col("_end") > rank, F.col("_v")))
 
-    out = fine.groupBy(key).agg(at(lo).alias("_a"), at(hi).alias("_b"),
-                                F.first("_rank").alias("_rank"))
-    part = F.col("_rank") - F.floor("_rank")
-    return out.select(key, (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("q"))
+    out = fine.groupBy(*keys).agg(at(lo).alias("_a"), at(hi).alias("_b"),
+                                  F.first("_rank").alias("_rank"), F.first("n").alias("n"))
+    low, high = F.floor("_rank"), F.ceil("_rank")
+    value = F.when(low == high, F.col("_a")).otherwise(
+        (high - F.col("_rank")) * F.col("_a") + (F.col("_rank") - low) * F.col("_b"))
+    return out.select(*keys, value.alias("q"), "n")
 
 
 def zonal(footprints: DataFrame, tiles: DataFrame, key: str, q: float = 0.5) -> DataFrame:
@@ -149,17 +155,8 @@ def zonal(footprints: DataFrame, tiles: DataFrame, key: str, q: float = 0.5) ->
                                          .alias("ry"))
     sized = footprints.join(res, "raster_id").withColumn(
         "expected", F.col("area") / (F.col("rx") * F.col("ry")))
-
-    def valid_cells(part):
-        c = cells_in(part, tiles, key)
-        return c.filter(_valid(F.col("values"), F.col("nodata"))).select(
-            key, F.col("values").cast("double").alias("v"))
-
-    small = valid_cells(sized.filter(F.col("expected") <= DIRECT_CELLS))
-    large = valid_cells(sized.filter(F.col("expected") > DIRECT_CELLS))
-    stats = (small.groupBy(key).agg(F.percentile("v", q).alias("q"), F.count("*").alias("n"))
-             .unionByName(_median(large, key, "v", q).join(
-                 large.groupBy(key).agg(F.count("*").alias("n")), key)))
+    inside = cells_in(footprints, tiles, key).filter(_valid(F.col("values"), F.col("nodata")))
+    stats = run_quantiles(value_runs(inside, [key], "values"), [key], F.lit(q))
     return sized.select(key, "expected").join(stats, key, "left").select(
         key, F.col("q").alias("level"), F.coalesce("n", F.lit(0)).alias("cells"),
         F.when(F.col("expected") > 0, F.least(F.lit(1.0), F.coalesce("n", F.lit(0))
@@ -184,22 +181,29 @@ def height_above_ground(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("values", diff)
 
 
-def building_statistics(cell_pairs: DataFrame, key: str, huge: bool = False) -> DataFrame:
+def building_statistics(cell_pairs: DataFrame, key: str) -> DataFrame:
     """Ground, roof (p90), height, storeys and confidence per group of (dem, dsm) cells.
 
     Below one storey, no storey count and no confidence; cells unknown in either surface
-    are left out in pairs. `huge` takes the counting quantiles (a whole raster as a group).
+    are left out in pairs. Ground, roof and difference are counted in one pass.
     """
     good = cell_pairs.filter(_finite(F.col("dem")) & _finite(F.col("dsm"))).select(
         key, F.col("dem").cast("double").alias("g"), F.col("dsm").cast("double").alias("s"))
-    spread = F.stddev_pop(F.col("s") - F.col("g")).alias("spread")
-    if huge:
-        stats = (good.groupBy(key).agg(spread)
-                 .join(_median(good, key, "g", 0.5).withColumnRenamed("q", "ground"), key)
-                 .join(_median(good, key, "s", 0.9).withColumnRenamed("q", "roof"), key))
-    else:
-        stats = good.groupBy(key).agg(F.percentile("g", 0.5).alias("ground"),
-                                      F.percentile("s", 0.9).alias("roof"), spread)
+    each = good.select(key, F.explode(F.map_from_arrays(
+        F.array(*map(F.lit, ("ground", "roof", "spread"))),
+        F.array("g", "s", F.col("s") - F.col("g")))).alias("_of", "v"))
+    runs = value_runs(each, [key, "_of"], "v")
+    level = run_quantiles(runs.filter("_of <> 'spread'"), [key, "_of"],
+                          F.when(F.col("_of") == "roof", 0.9).otherwise(0.5))
+    n, v = F.col("_n"), F.col("_v")
+    part = runs.filter("_of = 'spread'").groupBy(key).agg(
+        F.sum(n).alias("_c"), F.sum(n * v).alias("_t"), F.sum(n * v * v).alias("_tt"))
+    mean = F.col("_t") / F.col("_c")
+    spread = part.select(key, F.sqrt(F.greatest(F.col("_tt") / F.col("_c") - mean * mean,
+                                                F.lit(0.0))).alias("spread"))
+    stats = level.groupBy(key).agg(
+        *[F.max(F.when(F.col("_of") == k, F.col("q"))).alias(k) for k in ("ground", "roof")]
+    ).join(spread, key)
     h = F.greatest(F.col("roof") - F.col("ground"), F.lit(0.0))
     tall = h >= MIN_BUILDING_HEIGHT_M
     conf = F.greatest(F.lit(0.4), F.least(F.lit(0.9), F.lit(1.0) - F.col("spread") / h * 0.5))

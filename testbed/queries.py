@@ -601,7 +601,8 @@ def _(tb):
 def _(tb):
     tiles = tb.kept("tiles").filter("raster_id = 'DEM'")
     c = raster.cells_in(_parcels_on(tb, "DEM"), tiles, "unit_id").filter("values <> -9999")
-    return raster._median(c.withColumn("v", F.col("values").cast("double")), "unit_id", "v", 0.5)
+    return raster.run_quantiles(raster.value_runs(c, ["unit_id"], "values"), ["unit_id"],
+                                F.lit(0.5)).select("unit_id", "q")
 
 
 @query("ground_parcels", _ZONAL + f""" SELECT p.unit_id, COALESCE(g - 30e0, lower_limit)

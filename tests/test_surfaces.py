@@ -86,6 +86,49 @@ def test_zonal_statistics_and_coverage(spark):
 def test_storey_estimate(spark, dsm, floors, conf0):
     df = spark.createDataFrame([("a", 10.0, dsm)] * 50 + [("a", float("nan"), 5.0)] * 3
                                + [("a", 10.0, dsm + 130)], "k string, dem double, dsm double")
-    for huge in (False, True):
-        r = raster.building_statistics(df, "k", huge=huge).first()
-        assert r.floor_count == floors and (r.confidence == 0) == conf0
+    r = raster.building_statistics(df, "k").first()
+    assert r.floor_count == floors and (r.confidence == 0) == conf0
+
+
+def test_statistics_equal_numpy_and_read_the_cells_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(rng.normal(50, 2)), float(np.round(rng.normal(60 + 9 * k, 3), 1))) for k in range(4)
+            for _ in range(400 if k else 1)]
+    df = spark.createDataFrame(rows, "k int, dem double, dsm double")
+    stats = raster.building_statistics(df, "k")
+    for r in stats.collect():
+        g, s = np.array([x[1:] for x in rows if x[0] == r.k]).T
+        ground, roof = np.quantile(g, .5), np.quantile(s, .9)
+        assert (r.ground_level_m, r.roof_level_m) == (pytest.approx(ground, abs=.0051), pytest.approx(roof, abs=.0051))
+        h = roof - ground
+        want = max(.4, min(.9, 1 - (s - g).std() / h * .5)) if h >= 2.5 else 0
+        assert r.confidence == pytest.approx(want, abs=.0051)
+    assert "explode" not in stats._jdf.queryExecution().toString()        # cells are read once, by the count
+
+
+def test_medians_of_triangles_and_of_shapes_with_holes(spark):
+    dem, _ = surfaces()
+    dem = (dem + np.random.default_rng(2).normal(0, .3, dem.shape)).astype(np.float32)
+    x, y = 276650.0, 2110600.0
+    outer = [(x + 3, y + 3), (x + 40, y + 3), (x + 40, y + 40), (x + 3, y + 40), (x + 3, y + 3)]
+    hole = [(x + 10, y + 10), (x + 10, y + 30), (x + 30, y + 30), (x + 30, y + 10), (x + 10, y + 10)]
+    triangle = [(x + 5, y + 5), (x + 45, y + 5), (x + 5, y + 45), (x + 5, y + 5)]
+
+    def parts(*rings):
+        return F.array(F.array(*[F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"))
+                                           for a, b in ring]) for ring in rings]))
+
+    feet = spark.createDataFrame([("holed",), ("triangle",)], "unit_id string").select(
+        "unit_id", F.lit("DEM").alias("raster_id"),
+        F.when(F.col("unit_id") == "holed", parts(outer, hole)).otherwise(parts(triangle)).alias("parts"))
+    got = {r.unit_id: r for r in raster.zonal(shapes.with_shape(feet), tiles(spark, "DEM", dem), "unit_id").collect()}
+    gx, gy = np.meshgrid(276650 + (np.arange(120) + .5) * .5 - x, 2110660 - (np.arange(120) + .5) * .5 - y)
+
+    def box(a, b):
+        return (gx > a) & (gx < b) & (gy > a) & (gy < b)
+
+    masks = {"holed": box(3, 40) & ~box(10, 30), "triangle": (gx > 5) & (gy > 5) & (gx + gy < 50)}
+    for name, mask in masks.items():
+        edge = (np.isclose(gx + gy, 50)).sum() if name == "triangle" else 0
+        assert abs(got[name].cells - mask.sum()) <= edge
+        assert got[name].level == pytest.approx(float(np.median(dem[mask].astype(float))), abs=.02 if edge else 1e-9)
