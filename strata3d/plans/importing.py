@@ -160,7 +160,8 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
         raise ProjectCreateError("no vector source: nothing to build a register on")
     if overwrite:
         for table in ("parcel", "building_footprint", "utility_line", "source", "unit",
-                      "unit_relationship", "ai_suggestion"):
+                      "unit_relationship", "ai_suggestion", "raster_tile", "finding",
+                      "validation_run"):
             register.forget(table, first.project_id, batch_id)
     for k, s in enumerate(sources):
         layer = contracts.X.VECTOR_SOURCES.get(s["source_type"])
@@ -187,14 +188,17 @@ def create(register: Register, settings: DataFrame, sources: list[dict],
 
 
 def load_tiles(register: Register, tiles: DataFrame, batch_id: str) -> None:
-    """Add elevation tiles of registered rasters: project_id and the tile columns."""
+    """Add elevation tiles of registered rasters: project_id and the tile columns.
+
+    A tile loaded before, under whatever batch, is replaced.
+    """
     both = ["project_id", "raster_id"]
     unknown = tiles.select(*both).distinct().join(
         register.read("raster").select(*both), both, "left_anti").limit(5).collect()
     if unknown:
         raise ProjectCreateError("tiles of unregistered rasters: " + ", ".join(
             str(r[0]) for r in unknown))
-    register.append("raster_tile", tiles, batch_id)
+    register.upsert("raster_tile", tiles.dropDuplicates(), [*both, "tile_row", "tile_col"], batch_id)
 
 
 def _readable(spark, path: str) -> bool:

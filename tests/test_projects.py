@@ -91,6 +91,9 @@ def test_detection_covers_every_project(two, spark):
                 "x0", F.col("x0") + shift)
             made = t if made is None else made.unionByName(t)
     importing.load_tiles(reg, made, "t1")
+    once = reg.read("raster_tile").count()
+    importing.load_tiles(reg, made.filter("project_id = 'A'"), "t1b")       # a tile is kept once
+    assert reg.read("raster_tile").count() == once
     with pytest.raises(importing.ProjectCreateError):
         importing.load_tiles(reg, made.withColumn("raster_id", F.lit("nobody")), "t2")
     report = {(r.project_id, r.outcome): r.n for r in chain.detect(reg, "d1").collect()}
