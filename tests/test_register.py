@@ -72,3 +72,15 @@ def test_a_crash_before_the_pointer_moves_loses_nothing(spark, tmp_path, monkeyp
     reg.upsert("t", new, ["k"], "b2")
     assert rows(reg) == [(1, "c"), (2, "b")]
     assert len(spark.read.text(f"{tmp_path}/t/_pointer_").collect()) == 2      # lines are added, none is lost
+
+
+def test_a_project_is_forgotten_in_logs_and_in_bucketed_tables(spark, tmp_path):
+    reg = Register(spark, str(tmp_path), buckets=2)
+    df = spark.createDataFrame([("A", 1), ("B", 2)], "project_id string, k int")
+    reg.append("finding", df, "r1")
+    reg.upsert("raster_tile", df, ["project_id", "k"], "t1")
+    for table in ("finding", "raster_tile"):
+        reg.forget(table, "B", "c2")
+        assert [tuple(r) for r in reg.read(table).collect()] == [("A", 1)]
+    reg.append("finding", df.filter("k = 2"), "r2")
+    assert reg.read("finding").count() == 2
