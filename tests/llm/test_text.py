@@ -1,6 +1,7 @@
 """Pieces, main text and benchmark search against plain versions."""
 
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -215,12 +216,51 @@ def test_search_equals_alignment_of_every_pair():
     assert not any(i >= 8 for _, i in got)
 
 
-def test_alignment_finds_the_stretch():
-    import numpy as np
-    code = lambda s: np.array([ord(c) for c in s], np.uint32)      # noqa: E731
-    assert decontaminate.align(code("abcdef"), code("xxabcdefyy"), 1) == (2, 8, 0)
-    assert decontaminate.align(code("abcdef"), code("xxabXdefyy"), 1) == (2, 8, 1)
-    assert decontaminate.align(code("abcdef"), code("qqqqqqqq"), 2) is None
+def test_search_finds_the_stretch():
+    ix = decontaminate.index([0], ["abcdefghij"], 0.1)
+    found = lambda t: list(decontaminate.search(ix, [t]))      # noqa: E731
+    assert found("xxabcdefghijyy") == [(0, 0, 2, 12, 0)]
+    assert found("xxabcdXfghijyy") == [(0, 0, 2, 12, 1)]
+    assert found("qqqqqqqqqqqqqq") == []
+    assert found("abcdefghij--ABCDEFGHIJ") == [(0, 0, 0, 10, 0), (0, 0, 12, 22, 0)]
+    assert found("bcdefghij") == [(0, 0, 0, 9, 1)] and found("abcdefghi") == [(0, 0, 0, 9, 1)]
+
+
+def test_search_has_the_stated_tenth_at_every_length(monkeypatch):
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).replace("  ", "ab").strip()      # noqa: E731
+    items = [say(n) for n in (8, 9, 10, 11, 15, 19, 20, 22, 25, 29, 30, 33, 39, 40, 41, 47, 55, 60)]
+    texts = [say(rng.randrange(20)) + " " + edited(rng, item, rng.randrange(2 + len(item) // 10)) + say(rng.randrange(20))
+             for item in items for _ in range(12)]
+    ix = decontaminate.index(list(range(len(items))), items, 0.1)
+    plain = lambda t: "".join(chr(c) for c in decontaminate.reduced([t])[0])      # noqa: E731
+    want = {}
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            p = plain(item).strip()
+            e = edits(p, plain(t))
+            if len(p) >= 8 and e <= len(p) // 10:
+                want[r, i] = e
+    assert len({i for _, i in want}) >= 17
+    for most in (2_000_000, 50):               # the latter parts items and stretches of the text
+        monkeypatch.setattr(decontaminate, "MOST", most)
+        assert {(r, i): e for r, i, _, _, e in decontaminate.search(ix, texts)} == want
+        joined = ". ".join(texts)
+        whole = {(i, e) for _, i, _, _, e in decontaminate.search(ix, [joined])}
+        assert {i for i, _ in whole} >= {i for _, i in want}
+
+
+def test_items_with_one_opening_in_a_text_that_repeats_it():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))      # noqa: E731
+    opening = "choose the right answer to the following question "
+    items = [opening + " ".join(word() for _ in range(9)) for _ in range(100)]
+    text = " ".join(opening + " ".join(word() for _ in range(9)) for _ in range(400)) + " " + items[7] + " " + items[93]
+    ix = decontaminate.index(list(range(100)), items, 0.1)
+    began = time.monotonic()
+    got = [(i, text[a:z]) for _, i, a, z, _ in decontaminate.search(ix, [text])]
+    assert sorted(got) == [(7, items[7]), (93, items[93])]
+    assert time.monotonic() - began < 30
 
 
 def test_contaminated_rows_and_blocks(spark, monkeypatch):
