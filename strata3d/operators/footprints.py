@@ -1,8 +1,10 @@
 """Building outlines from a height-above-ground surface.
 
 Cells at least one storey high are labelled tile by tile, labels that meet across tile seams
-are merged by repeated minimum over the seam graph, and each component's outline is traced
-from its boundary steps only, never from its cells.
+are merged by repeated minimum over the seam graph. Sides of runs that no high cell meets are linked
+into chains tile by tile; chains that go on in another tile find their ring and their place in it by
+pointer doubling, so a component over many tiles is traced in as many tasks. Only the corners of a
+ring, which are one row of the result, meet in one task.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ def _tile_runs(batches):
                     here.append((a, b, k))
                     runs.append((r, a, b, k))
                 above = here
+            if len(parent) >> 22 or t.tile_col >> 20 or t.tile_row >> 20:
+                raise ValueError("a tile of over 2^22 runs, or a raster of over 2^20 tiles a side")
             base = ((t.tile_row << 20) + t.tile_col) << 22
             out += [(t.raster_id, base + root(k), t.tile_row * t.nrows + r,
                      t.tile_col * t.ncols + a, t.tile_col * t.ncols + b)
@@ -107,44 +111,147 @@ def merge_labels(runs: DataFrame, ncols: int, nrows: int) -> DataFrame:
             return comp
 
 
-def _outline(steps: pd.DataFrame) -> pd.DataFrame:
-    """Trace one component's boundary steps (interior on the left) into rings."""
-    head = steps.iloc[0]
-    nxt: dict = {}
-    for x0, y0, x1, y1 in steps[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-        nxt.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    while nxt:
-        start = next(iter(nxt))
-        ring, at, heading = [start], start, None
-        while True:
-            ways = nxt[at]
-            # at a corner where two cells touch diagonally, turn left: pieces stay 4-connected
-            if len(ways) > 1 and heading is not None:
-                ways.sort(key=lambda p: heading[1] * (p[0] - at[0]) - heading[0] * (p[1] - at[1]))
-            to = ways.pop()
-            if not ways:
-                del nxt[at]
-            heading, at = (to[0] - at[0], to[1] - at[1]), to
-            ring.append(at)
-            if at == start:
-                break
-        r = np.array(ring, dtype=float)
-        d = np.diff(r, axis=0)
-        turn = d[:, 0] * np.roll(d[:, 1], 1) - d[:, 1] * np.roll(d[:, 0], 1)
-        r = r[:-1][turn != 0]
-        rings.append(np.vstack([r, r[:1]]))
+def open_sides(runs: DataFrame, below: bool) -> DataFrame:
+    """Stretches of the lower (upper) side of each run that no run of the next row covers.
+
+    Runs end at tile borders, so those that can meet share a tile column.
+    """
+    key = ["raster_id", "component", "tile_row", "tile_col", "row", "c0", "c1"]
+    other = runs.select(F.col("raster_id").alias("_r"), F.col("component").alias("_c"),
+                        F.col("tile_col").alias("_t"),
+                        (F.col("row") + (-1 if below else 1)).alias("_row"),
+                        F.col("c0").alias("_b0"), F.col("c1").alias("_b1"))
+    met = ((F.col("raster_id") == F.col("_r")) & (F.col("component") == F.col("_c"))
+           & (F.col("tile_col") == F.col("_t")) & (F.col("row") == F.col("_row"))
+           & (F.col("_b0") < F.col("c1")) & (F.col("c0") < F.col("_b1")))
+    covered = runs.join(other, met, "left").groupBy(*key).agg(F.sort_array(F.collect_list(
+        F.when(F.col("_b0").isNotNull(), F.struct("_b0", "_b1")))).alias("by"))
+    gaps = F.arrays_zip(F.concat(F.array("c0"), F.col("by._b1")).alias("a"),
+                        F.concat(F.col("by._b0"), F.array("c1")).alias("b"))
+    side = covered.select(*key, F.explode(F.filter(gaps, lambda g: g["a"] < g["b"])).alias("g"))
+    # rows grow downwards: walking with the interior on the left in map space
+    y = F.col("row") + (1 if below else 0)
+    a, b = ("g.a", "g.b") if below else ("g.b", "g.a")
+    return side.select(*_AT, F.col(a).alias("x0"), y.alias("y0"), F.col(b).alias("x1"),
+                       y.alias("y1"))
+
+
+_AT = ["raster_id", "component", "tile_row", "tile_col"]
+
+
+def boundary_steps(runs: DataFrame) -> DataFrame:
+    """Directed sides of a component, each within one tile; never unfolds the cells of a run."""
+    lefts = runs.select(*_AT, "row", F.col("c0").alias("c"))
+    rights = runs.select(*_AT, "row", F.col("c1").alias("c"))
+    # runs of one component split at tile seams meet there; those sides are not open
+    on = ["raster_id", "component", "row", "c"]
+    west = lefts.join(rights.select(*on), on, "left_anti").select(
+        *_AT, F.col("c").alias("x0"), F.col("row").alias("y0"), F.col("c").alias("x1"),
+        (F.col("row") + 1).alias("y1"))
+    east = rights.join(lefts.select(*on), on, "left_anti").select(
+        *_AT, F.col("c").alias("x0"), (F.col("row") + 1).alias("y0"), F.col("c").alias("x1"),
+        F.col("row").alias("y1"))
+    return open_sides(runs, True).unionByName(open_sides(runs, False)).unionByName(
+        west).unionByName(east)
+
+
+_CHAIN = ("raster_id string, component long, x0 int, y0 int, x1 int, y1 int, xs array<int>, "
+          "ys array<int>")
+
+
+def _chains(steps: pd.DataFrame) -> pd.DataFrame:
+    """Link one tile's steps into chains, corners only; a chain that ends where it starts is a ring."""
+    rows = steps[["component", "x0", "y0", "x1", "y1"]].values.tolist()
+    begin: dict = {}
+    for i, (c, x, y, _, _) in enumerate(rows):
+        begin.setdefault((c, x, y), []).append(i)
+    # where two cells touch diagonally, turn left: that stays with the cell, and so in the tile
+    after = [max(begin.get((c, x1, y1), [-1]), key=lambda k: (y1 - y0) * (rows[k][3] - x1)
+                 - (x1 - x0) * (rows[k][4] - y1)) for c, x0, y0, x1, y1 in rows]
+    fresh = [True] * len(rows)
+    out = []
+    for first in [*sorted(set(range(len(rows))) - set(after)), *range(len(rows))]:
+        points, k, heading = [], first, None
+        while k >= 0 and fresh[k]:
+            fresh[k] = False
+            _, x0, y0, x1, y1 = rows[k]
+            if heading != (new := (np.sign(x1 - x0), np.sign(y1 - y0))):
+                points.append((x0, y0))
+            heading, k = new, after[k]
+        if points:
+            xs, ys = zip(*points)
+            out.append((steps["raster_id"].iloc[0], rows[first][0], *points[0], x1, y1,
+                        list(xs), list(ys)))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in _CHAIN.split(", ")])
+
+
+def ring_places(chains: DataFrame) -> DataFrame:
+    """`ring` (its least chain start) and `left` (chains to go to that one) of open chains.
+
+    Pointer doubling: each round looks twice as far along the ring, until no chain finds a lesser
+    start. Rounds grow with the logarithm of the chains in the longest ring.
+    """
+    key = ["raster_id", "component"]
+    at = cut_lineage(chains.select(
+        *key, F.struct("x0", "y0").alias("id"),
+        F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0")).alias("to"),
+        F.struct("x0", "y0").alias("ring"), F.lit(0).cast("long").alias("left")))
+    hop = 1
+    while True:
+        ahead = at.select(*key, F.col("id").alias("to"), F.col("to").alias("_to"),
+                          F.col("ring").alias("_ring"), F.col("left").alias("_left"))
+        lesser = F.col("_ring") < F.col("ring")
+        step = cut_lineage(at.join(ahead, [*key, "to"]).select(
+            *key, "id", F.col("_to").alias("to"),
+            F.when(lesser, F.col("_ring")).otherwise(F.col("ring")).alias("ring"),
+            F.when(lesser, F.col("_left") + hop).otherwise(F.col("left")).alias("left"),
+            lesser.alias("_moved")))
+        at, hop = step.drop("_moved"), 2 * hop
+        if not step.filter("_moved").limit(1).count():
+            return at.drop("to")
+
+
+def rings(steps: DataFrame) -> DataFrame:
+    """raster_id, component, xs, ys: the corners of each ring in order, not closed."""
+    chains = cut_lineage(steps.groupBy("raster_id", "tile_row", "tile_col").applyInPandas(
+        _chains, _CHAIN))
+    whole = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    done = chains.filter(whole).select("raster_id", "component", "xs", "ys")
+    cut = chains.filter(~whole)
+    if not cut.limit(1).count():
+        return done
+    placed = cut.withColumn("id", F.struct("x0", "y0")).join(
+        ring_places(cut), ["raster_id", "component", "id"])
+    # the least chain first, then those with the most still to go
+    order = F.struct((F.col("left") != 0).alias("later"), (-F.col("left")).alias("n"), "xs", "ys")
+    linked = placed.groupBy("raster_id", "component", "ring").agg(
+        F.sort_array(F.collect_list(order)).alias("c"))
+    return done.unionByName(linked.select("raster_id", "component", F.flatten("c.xs").alias("xs"),
+                                          F.flatten("c.ys").alias("ys")))
+
+
+def _polygon(found: pd.DataFrame) -> pd.DataFrame:
+    """The rings of one component as a simplified polygon, each from its least corner on."""
+    head = found.iloc[0]
     res = np.array([head["res_x"], -head["res_y"]])
-    rings = [simplify(r * res + np.array([head["gx"], head["gy"]]), SIMPLIFY_M) for r in rings]
-    rings = [r for r in rings if len(r) > 3]
+    made = []
+    for xs, ys in zip(found["xs"], found["ys"]):
+        r = np.column_stack([xs, ys]).astype(float)
+        d = np.diff(np.vstack([r, r[:1]]), axis=0)
+        turn = d[:, 0] * np.roll(d[:, 1], 1) - d[:, 1] * np.roll(d[:, 0], 1)
+        r = r[turn != 0]
+        r = np.roll(r, -int(np.lexsort((r[:, 1], r[:, 0]))[0]), axis=0)
+        r = np.vstack([r, r[:1]]) * res + np.array([head["gx"], head["gy"]])
+        made.append(simplify(r, SIMPLIFY_M))
+    made = [r for r in made if len(r) > 3]
 
     def size(r):
         d = r - r[0]
         return np.sum(d[:-1, 0] * d[1:, 1] - d[1:, 0] * d[:-1, 1]) / 2
 
-    rings.sort(key=lambda r: -abs(size(r)))
-    area = abs(size(rings[0])) - sum(abs(size(r)) for r in rings[1:]) if rings else 0.0
-    parts = [[[{"x": x, "y": y} for x, y in r] for r in rings]]
+    made.sort(key=lambda r: (-abs(size(r)), tuple(r[0])))
+    area = abs(size(made[0])) - sum(abs(size(r)) for r in made[1:]) if made else 0.0
+    parts = [[[{"x": x, "y": y} for x, y in r] for r in made]]
     if area < MIN_FOOTPRINT_M2:
         return pd.DataFrame(columns=["raster_id", "component", "parts"])
     return pd.DataFrame({"raster_id": [head["raster_id"]], "component": [head["component"]],
@@ -167,30 +274,10 @@ def outlines(height: DataFrame, ncols: int, nrows: int) -> DataFrame:
     size = (whole.groupBy("raster_id", "component")
             .agg(F.sum(F.col("c1") - F.col("c0")).alias("n")).join(grid, "raster_id")
             .filter(F.col("n") * F.col("res_x") * F.col("res_y") >= MIN_FOOTPRINT_M2))
-    kept = whole.join(size.drop("n"), ["raster_id", "component"])
-    # horizontal sides: cells of a row whose neighbour above (below) is not high
-    cell = kept.withColumn("c", F.explode(F.sequence("c0", F.col("c1") - 1)))
-    key = ["raster_id", "component", "gx", "gy", "res_x", "res_y"]
-
-    def side(offset, y_up):
-        other = cell.select("raster_id", "component", (F.col("row") + offset).alias("row"), "c")
-        open_ = cell.join(other, ["raster_id", "component", "row", "c"], "left_anti")
-        y = F.col("row") + (1 if y_up else 0)
-        a, b = (F.col("c"), F.col("c") + 1) if y_up else (F.col("c") + 1, F.col("c"))
-        return open_.select(*key, a.alias("x0"), y.alias("y0"), b.alias("x1"), y.alias("y1"))
-
-    # rows grow downwards: walking with the interior on the left in map space
-    bottom, top = side(-1, True), side(1, False)
-    # runs of one component split at tile seams meet there; those sides are not open
-    lefts = kept.select(*key, "row", F.col("c0").alias("c"))
-    rights = kept.select(*key, "row", F.col("c1").alias("c"))
-    on = ["raster_id", "component", "row", "c"]
-    west = lefts.join(rights.select(*on), on, "left_anti").select(
-        *key, F.col("c").alias("x0"), F.col("row").alias("y0"), F.col("c").alias("x1"),
-        (F.col("row") + 1).alias("y1"))
-    east = rights.join(lefts.select(*on), on, "left_anti").select(
-        *key, F.col("c").alias("x0"), (F.col("row") + 1).alias("y0"), F.col("c").alias("x1"),
-        F.col("row").alias("y1"))
-    steps = bottom.unionByName(top).unionByName(west).unionByName(east)
-    return steps.groupBy("raster_id", "component").applyInPandas(
-        _outline, f"raster_id string, component long, parts {PARTS}")
+    kept = cut_lineage(whole.join(size.select("raster_id", "component"),
+                                  ["raster_id", "component"], "left_semi")
+                       .withColumn("tile_row", F.floor(F.col("row") / nrows).cast("int"))
+                       .withColumn("tile_col", F.floor(F.col("c0") / ncols).cast("int")))
+    return rings(boundary_steps(kept)).join(grid, "raster_id").groupBy(
+        "raster_id", "component").applyInPandas(
+            _polygon, f"raster_id string, component long, parts {PARTS}")

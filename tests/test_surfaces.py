@@ -60,6 +60,79 @@ def test_components_match_a_flood_fill(spark):
     assert sizes == sorted(want)
 
 
+def pieces_of(high):
+    """Cells of each 4-connected piece, by plain flood fill."""
+    seen, out = np.zeros_like(high), []
+    for start in zip(*np.nonzero(high)):
+        if seen[start]:
+            continue
+        stack, mine = [start], []
+        seen[start] = True
+        while stack:
+            r, c = stack.pop()
+            mine.append((r, c))
+            for p in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if 0 <= p[0] < high.shape[0] and 0 <= p[1] < high.shape[1] and high[p] and not seen[p]:
+                    seen[p] = True
+                    stack.append(p)
+        out.append(mine)
+    return out
+
+
+def area(ring):
+    x, y = np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring])
+    return abs(np.sum((x[:-1] - x[0]) * (y[1:] - y[0]) - (x[1:] - x[0]) * (y[:-1] - y[0]))) / 2
+
+
+def frames(n=60):
+    """A frame over all tiles with one inside it, a spiral's worth of corners, and a diagonal touch."""
+    high = np.zeros((n, n), bool)
+    high[2:58, 2:58] = True
+    high[6:54, 6:54] = False
+    high[10:50, 10:50] = True
+    high[12:48, 12:48] = False
+    high[20, 20] = high[21, 21] = high[40, 40] = True
+    high[39, 39] = high[39, 40] = True
+    return high
+
+
+@pytest.mark.parametrize("name", ["random", "frames"])
+def test_outlines_over_many_tiles_hold_the_cells_of_each_piece(spark, name):
+    high = np.random.default_rng(7).random((60, 60)) < 0.58 if name == "random" else frames()
+    h = tiles(spark, "H", np.where(high, 5.0, 0.0).astype(np.float32), n=20, res=5.0)
+    got = footprints.outlines(h, 20, 20).collect()
+    outer = [r.parts[0] for r in got]
+    sizes = sorted(area(p[0]) - sum(map(area, p[1:])) for p in outer)
+    pieces = pieces_of(high)
+    assert sizes == sorted(25.0 * len(p) for p in pieces)
+    # each outline spans its piece's rows and columns
+    boxes = sorted((max(c["x"] for c in p[0]) - min(c["x"] for c in p[0]),
+                    max(c["y"] for c in p[0]) - min(c["y"] for c in p[0])) for p in outer)
+    assert boxes == sorted((5.0 * (max(c for _, c in p) - min(c for _, c in p) + 1),
+                            5.0 * (max(r for r, _ in p) - min(r for r, _ in p) + 1)) for p in pieces)
+    if name == "frames":
+        assert max(len(p) for p in outer) == 2 and len(outer) == 5
+    runs = footprints.labelled_runs(h)
+    assert runs.count() == sum(np.count_nonzero(np.diff(high[r, c:c + 20].astype(int), prepend=0) == 1)
+                               for r in range(60) for c in (0, 20, 40))
+
+
+def test_a_long_ring_is_linked_from_chains_of_many_tiles(spark):
+    high = frames()
+    h = tiles(spark, "H", np.where(high, 5.0, 0.0).astype(np.float32), n=10, res=5.0)
+    runs = footprints.labelled_runs(h)
+    one = (runs.join(footprints.merge_labels(runs, 10, 10), ["raster_id", "label"], "left")
+           .withColumn("component", F.coalesce("component", "label")).drop("label")
+           .withColumn("tile_row", F.floor(F.col("row") / 10).cast("int"))
+           .withColumn("tile_col", F.floor(F.col("c0") / 10).cast("int")))
+    steps = footprints.boundary_steps(one)
+    chains = steps.groupBy("raster_id", "tile_row", "tile_col").applyInPandas(
+        footprints._chains, footprints._CHAIN).filter("x0 <> x1 or y0 <> y1")
+    placed = footprints.ring_places(chains).groupBy("component", "ring").agg(
+        F.count("*").alias("n"), F.countDistinct("left").alias("places")).collect()
+    assert max(r.n for r in placed) >= 20 and all(r.n == r.places for r in placed)
+
+
 def test_zonal_statistics_and_coverage(spark):
     dem, _ = surfaces()
     rng = np.random.default_rng(1)
