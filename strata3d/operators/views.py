@@ -31,7 +31,10 @@ def _all(conditions: list[Column]) -> Column:
 
 def display_ground(units: DataFrame, settings: DataFrame) -> DataFrame:
     """project_id, ground: lowest parcel bottom less the stratum below it, else the upper
-    median of recorded ground levels, else the lowest limit, else 0."""
+    median of recorded ground levels, else the lowest limit, else 0.
+
+    Written once: read back, its size is known, and no project's units gather in one task for it.
+    """
     level = F.col("attributes.ground_level_m")
     base = units.groupBy("project_id").agg(
         F.min(F.when(F.col("unit_type") == "land_parcel", F.col("lower_limit"))).alias("_p"),
@@ -44,9 +47,9 @@ def display_ground(units: DataFrame, settings: DataFrame) -> DataFrame:
              .filter(F.col("_to") > F.floor(F.col("_n") / 2))
              .groupBy("project_id").agg(F.min("_g").alias("_m")))
     below = settings.select("project_id", F.col("stratum_below_limit_m").alias("_b"))
-    return (base.join(upper, "project_id", "left").join(below, "project_id", "left")
-            .select("project_id", F.coalesce(F.col("_p") - F.col("_b"), "_m", "_l",
-                                             F.lit(0.0)).alias("ground")))
+    return stored(base.join(upper, "project_id", "left").join(below, "project_id", "left")
+                  .select("project_id", F.coalesce(F.col("_p") - F.col("_b"), "_m", "_l",
+                                                   F.lit(0.0)).alias("ground")))
 
 
 def outer_ring_wgs84(parts: Column, crs: Column) -> Column:
