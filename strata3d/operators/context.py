@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 from ..schemas import UNKNOWN_ACCURACY_M
+from ..session import stored
 
 SETTING_COLUMNS = ("tolerance_k", "project_crs", "project_datum", "min_floor_height_m",
                    "max_floor_height_m", "confidence_warn_below")
@@ -49,18 +50,29 @@ def accuracy(units: DataFrame, sources: DataFrame) -> DataFrame:
                     .alias("acc_known")))
 
 
-def build(units: DataFrame, relationships: DataFrame, sources: DataFrame,
-          settings: DataFrame) -> DataFrame:
-    """Units with acc_h, acc_v, acc_known, parent_id, settings and shape columns."""
-    s = settings.select("project_id", "tolerance_k", "project_crs",
-                        F.col("vertical_datum").alias("project_datum"),
-                        "min_floor_height_m", "max_floor_height_m", "confidence_warn_below")
+def enriched(units: DataFrame, sources: DataFrame, settings: DataFrame) -> DataFrame:
+    """Units with acc_h, acc_v, acc_known, settings and shape columns.
+
+    Source lists and settings are written first: read back, their size is known before the units
+    move, so that units do not move for as long as Spark finds them small.
+    """
+    s = stored(settings.select("project_id", "tolerance_k", "project_crs",
+                               F.col("vertical_datum").alias("project_datum"),
+                               "min_floor_height_m", "max_floor_height_m",
+                               "confidence_warn_below"))
     # a unit without a source list, or of a project without settings, still meets every rule
-    a = accuracy(units, sources).withColumnsRenamed({"project_id": "_p", "source_ids": "_s"})
+    a = stored(accuracy(units, sources)).withColumnsRenamed(
+        {"project_id": "_p", "source_ids": "_s"})
     out = (units.join(a, F.col("project_id").eqNullSafe(F.col("_p"))
                       & F.col("source_ids").eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
-           .join(parents(relationships), ["project_id", "unit_id"], "left")
            .join(s, "project_id", "left"))
     out = out.select("*", F.col("attributes.utility_kind").alias("utility_kind"),
                      F.col("attributes.floor_index").alias("floor_index"))
     return out if "is_rect" in units.columns else shapes.with_shape(out)
+
+
+def build(units: DataFrame, relationships: DataFrame, sources: DataFrame,
+          settings: DataFrame) -> DataFrame:
+    """Enriched units with parent_id."""
+    return enriched(units, sources, settings).join(
+        parents(relationships), ["project_id", "unit_id"], "left")

@@ -24,15 +24,24 @@ CORE = ("project_id", "rule_id", "severity", "unit_id", "related_unit_ids", "mes
 
 @dataclass(frozen=True)
 class Context:
-    units: DataFrame            # context.build output
+    units: DataFrame            # context.enriched output
     contains: DataFrame         # `contains` edges
+    parents: DataFrame | None = None        # unit_id, parent_id; None if `units` has parent_id
 
     @classmethod
     def of(cls, units, relationships, sources, settings) -> Context:
-        """Fourteen rules read the same enriched units, so these are written once; each rule
-        then scans only its own columns and rows."""
-        return cls(stored(context.build(units, relationships, sources, settings)),
-                   context.contains_edges(relationships))
+        """`units` is a stored table, of which each rule scans only its own columns and rows.
+        Shapes it lacks are computed for all rules and written once."""
+        rich = context.enriched(units, sources, settings)
+        return cls(rich if "is_rect" in units.columns else stored(rich),
+                   context.contains_edges(relationships), context.parents(relationships))
+
+    def family(self) -> DataFrame:
+        """What pairs are made of, with parent_id: only these columns move to meet the parents."""
+        if self.parents is None:
+            return self.units
+        own = [c for c in spatial.PAIR if c != "parent_id"]
+        return shapes.slim(self.units, *own).join(self.parents, ["project_id", "unit_id"], "left")
 
 
 Rule = Callable[[Context], DataFrame]
@@ -175,7 +184,7 @@ def floor_height(ctx: Context) -> DataFrame:
 
 
 def sibling_overlap(ctx: Context) -> DataFrame:
-    hits = spatial.sibling_overlaps(ctx.units).select(
+    hits = spatial.sibling_overlaps(ctx.family()).select(
         F.col("a.project_id").alias("project_id"),
         F.least("a.unit_id", "b.unit_id").alias("unit_id"),
         F.greatest("a.unit_id", "b.unit_id").alias("other"), "shared", "tol_h",
@@ -202,11 +211,12 @@ def gap_in_parent(ctx: Context) -> DataFrame:
 
 def escapes_parent(ctx: Context) -> DataFrame:
     """Eroded child outside its parent, else its height range outside; at most one finding."""
-    own = shapes.slim(ctx.units, "project_id", "unit_id", "lower_limit", "upper_limit",
+    own = shapes.slim(ctx.family(), "project_id", "unit_id", "lower_limit", "upper_limit",
                       "acc_h", "acc_v", "tolerance_k", "unit_type", "parent_id")
     child = own.filter(F.col("parent_id").isNotNull()
                        & ~F.col("unit_type").isin(*EASEMENT_TYPES)).alias("a")
-    parent = own.drop("parent_id", "unit_type").alias("b")
+    parent = shapes.slim(ctx.units, *[c for c in own.columns if c not in (
+        *shapes.BOX, "is_rect", "area", "parts", "parent_id", "unit_type")]).alias("b")
     pairs = child.join(parent, (F.col("a.project_id") == F.col("b.project_id"))
                        & (F.col("a.parent_id") == F.col("b.unit_id")))
     k = F.col("a.tolerance_k")

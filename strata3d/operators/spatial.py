@@ -166,7 +166,7 @@ def same_place(found: DataFrame, known: DataFrame, found_id: str, known_id: str,
             .agg(F.min_by(F.col(f"a.{known_id}"), F.col("a.ord")).alias(out)))
 
 
-_PAIR = ["project_id", "unit_id", "parent_id", "unit_type", "lower_limit", "upper_limit",
+PAIR = ["project_id", "unit_id", "parent_id", "unit_type", "lower_limit", "upper_limit",
          "acc_h", "acc_v", "tolerance_k", "utility_kind"]
 
 
@@ -213,7 +213,7 @@ def conflicts(pairs: DataFrame, *, need_area: bool) -> DataFrame:
 
 def sibling_overlaps(units: DataFrame) -> DataFrame:
     """Same type, same parent (two roots are siblings), not easements, real overlap."""
-    own = shapes.slim(units.filter(~F.col("unit_type").isin(*EASEMENT_TYPES)), *_PAIR)
+    own = shapes.slim(units.filter(~F.col("unit_type").isin(*EASEMENT_TYPES)), *PAIR)
     pairs = candidates(own, own, keys=["project_id", "unit_type", "parent_id"],
                        self_join=True, split_z=True)
     return conflicts(pairs, need_area=True)
@@ -231,6 +231,7 @@ def utility_targets(units: DataFrame, contains: DataFrame) -> DataFrame:
 
 
 def utility_crossings(units: DataFrame, contains: DataFrame) -> DataFrame:
-    lines = shapes.slim(units.filter(F.col("unit_type").isin(*EASEMENT_TYPES)), *_PAIR)
-    targets = shapes.slim(utility_targets(units, contains), *_PAIR)
+    mine = [c for c in PAIR if c != "parent_id"]
+    lines = shapes.slim(units.filter(F.col("unit_type").isin(*EASEMENT_TYPES)), *mine)
+    targets = shapes.slim(utility_targets(units, contains), *mine)
     return conflicts(candidates(lines, targets, keys=["project_id"]), need_area=False)
