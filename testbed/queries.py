@@ -561,14 +561,16 @@ def _(tb):
         .alias("y_max"), joined("geometry_types"))
 
 
-_UTM = {"lon": "72e0 + (event_id % 600) / 100e0", "lat": "5e0 + (event_id // 600) / 10e0"}
+#: 700 steps of a tenth of a degree: however many events, none lies beyond 75 degrees north
+_UTM = {"lon": "72e0 + (event_id % 600) / 100e0",
+        "lat": "5e0 + ((event_id // 600) % 700) / 10e0"}
 
 
-@query("reproject_round_trip", f"""SELECT event_id AS k, {_UTM['lon']} AS lon,
-       {_UTM['lat']} AS lat FROM events""")
+@query("reproject_round_trip", f"""SELECT event_id AS k, round({_UTM['lon']}, 7) AS lon,
+       round({_UTM['lat']}, 7) AS lat FROM events""")
 def _(tb):
     lon = F.lit(72.0) + F.pmod("event_id", F.lit(600)) / 100.0
-    lat = F.lit(5.0) + F.floor(F.col("event_id") / 600) / 10.0
+    lat = F.lit(5.0) + F.pmod(F.floor(F.col("event_id") / 600), F.lit(700)) / 10.0
     e = tb.table("events").select(F.col("event_id").alias("k"), lon.alias("lon"),
                                   lat.alias("lat"))
     m = e.withColumn("m", S.utm_forward(F.col("lon"), F.col("lat"), F.lit(43)))
