@@ -23,6 +23,8 @@ from ..session import stored
 
 CELL_SIZES = (32.0, 256.0, 2048.0, 16384.0, 131072.0)
 MAX_HOME_CELLS = 64
+#: Siblings up to which all of a family are compared; larger families are cut into cells.
+FAMILY = 64
 #: Height of a bin where candidates are also split vertically.
 Z_BIN_M = 8.0
 
@@ -212,11 +214,34 @@ def conflicts(pairs: DataFrame, *, need_area: bool) -> DataFrame:
 
 
 def sibling_overlaps(units: DataFrame) -> DataFrame:
-    """Same type, same parent (two roots are siblings), not easements, real overlap."""
-    own = shapes.slim(units.filter(~F.col("unit_type").isin(*EASEMENT_TYPES)), *PAIR)
-    pairs = candidates(own, own, keys=["project_id", "unit_type", "parent_id"],
-                       self_join=True, split_z=True)
-    return conflicts(pairs, need_area=True)
+    """Same type, same parent (two roots are siblings), not easements, real overlap.
+
+    Small families meet on their key alone; only large ones are cut into cells, each of which
+    costs a copy of its rows.
+    """
+    keys = ["project_id", "unit_type", "parent_id"]
+    known = F.col("lower_limit").isNotNull() & F.col("upper_limit").isNotNull()
+    mine = [c for c in PAIR if c != "utility_kind"]
+    own = stored(shapes.slim(units.filter(~F.col("unit_type").isin(*EASEMENT_TYPES) & known),
+                             *mine))
+    # written, so that Spark knows how few large families there are before rows move
+    crowd = stored(own.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > FAMILY)
+                   .select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    crowded = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    large = own.join(crowd, crowded, "left_semi")
+    # in structs null equals null; both sides of the join read this one exchange
+    family = F.struct(*keys)
+    small = own.join(crowd, crowded, "left_anti").withColumn("_f", family).repartition("_f")
+
+    def side(name):
+        return small.select(F.col("_f").alias(f"_{name}"), F.struct(*own.columns).alias(name))
+
+    a, b = F.col("a"), F.col("b")
+    on = [F.col("_a") == F.col("_b"), a["unit_id"] < b["unit_id"], a["x0"] <= b["x1"], b["x0"] <= a["x1"],
+           a["y0"] <= b["y1"], b["y0"] <= a["y1"]]
+    pairs = side("a").join(side("b"), reduce(lambda p, q: p & q, on)).select("a", "b")
+    return conflicts(pairs.unionByName(candidates(
+        large, large, keys=keys, self_join=True, split_z=True)), need_area=True)
 
 
 def utility_targets(units: DataFrame, contains: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from strata3d.functions import shapes
-from strata3d.operators import rules, views
+from strata3d.operators import gaps, rules, spatial, views
 from strata3d.session import checkpoint_dir, stored
+from testbed.queries import QUERIES
 
 from .golden import UNITS, tables
 
@@ -41,3 +43,50 @@ def test_display_ground_is_met_without_gathering_a_project(spark):
     assert "Window" not in plan(ground)
     joined = stored(rows).join(ground, "project_id")
     assert "SortMergeJoin" not in plan(joined) and joined.filter("ground = 10").count() == 20
+
+
+def test_children_across_their_parent_are_decided_without_python(spark):
+    floor = ("F", "floor", (0, 0, 12, 8), (0.0, 3.0), ["SRC-005"], None, 0, True)
+    kids = [(f"K{i}", "apartment", b, (0.0, 3.0), ["SRC-005"], "F", 0, None) for i, b in
+            enumerate([(0, 0, 3, 8), (5, -1, 7, 9), (6, 0, 9, 8)])]
+    got = []
+    for turn in (False, True):          # turned shapes take the general way
+        ctx = rules.Context.of(*tables(spark, [floor, *kids], turn=turn))
+        if not turn:
+            seen = gaps._intervals(spark.createDataFrame([], (
+                "project_id string, unit_id string, tol_h double, x0 double, y0 double, x1 double, "
+                "y1 double, tall boolean, kid_id string, kx0 double, ky0 double, kx1 double, ky1 double")))
+            assert "Python" not in plan(seen)
+        row = gaps.uncovered(ctx.units, ctx.contains).select(
+            "missing", "children", shapes.area(F.col("open_parts")).alias("area")).first()
+        got.append(row)
+    t = 0.05 * 2 ** 0.5
+    for row in got:
+        assert row.missing == pytest.approx(8 * ((2 - 2 * t) + (3 - t)), abs=1e-6)
+        assert row.area == pytest.approx(row.missing, abs=1e-6)
+        assert row.children == ["K0", "K1", "K2"]
+
+
+def test_small_families_are_not_cut_into_cells_and_agree_with_large_ones(spark, monkeypatch):
+    home = ("P", "land_parcel", (0, 0, 300, 300), (900.0, 1000.0), ["SRC-005"], None, None, None)
+    kids = [(f"B{i}", "building", (20 * i, 0, 20 * i + 26, 8), (900.0, 900.0 + 9 * (1 + i % 3)),
+             ["SRC-005"], "P", None, None) for i in range(6)]
+    ctx = rules.Context.of(*tables(spark, [home, *kids]))
+    cut = []
+    real = spatial.candidates
+    monkeypatch.setattr(spatial, "candidates", lambda left, *a, **k: cut.append(left.count())
+                        or real(left, *a, **k))
+    got = []
+    for family in (64, 2):
+        monkeypatch.setattr(spatial, "FAMILY", family)
+        got.append({(r.unit_id, r.related_unit_ids[0]) for r in rules.sibling_overlap(ctx).collect()})
+    assert cut == [0, 6]
+    assert got[0] == got[1] == {(f"B{i}", f"B{i + 1}") for i in range(5)}
+
+
+def test_round_trip_stays_on_earth_however_many_events(spark, tmp_path):
+    spark.createDataFrame([(0,), (599999,), (6_000_000,), (9_999_999,)], "event_id bigint").write.parquet(
+        str(tmp_path / "events.parquet"))
+    got = {r.k: (r.lon, r.lat) for r in QUERIES["reproject_round_trip"](spark, str(tmp_path)).collect()}
+    for k, (lon, lat) in got.items():
+        assert (lon, lat) == (round(72 + k % 600 / 100, 7), round(5 + k // 600 % 700 / 10, 7))
