@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shapes import let
+
 # --- fixed values: identifier format ----------------------------------------------------
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 IDENTIFIER = r"^([A-Z0-9]{14})-V(\d+)-([ASB])(\d{2})-(\d{3})-([A-Z0-9])$"
@@ -156,18 +158,33 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> Column:
 
 
 def utm_inverse(x: Column, y: Column, zone: Column) -> Column:
-    """Metres to struct<x: longitude, y: latitude> in degrees."""
+    """Metres to struct<x: longitude, y: latitude> in degrees.
+
+    Each step is bound once: written out, five rounds of latitude repeat all before them, and inside
+    a lambda (rings) nothing shares them.
+    """
     north = F.when(zone < 0, 10000000.0).otherwise(0.0)
     xi = (y - north) / F.lit(_K0 * _RADIUS)
     eta = (x - 500000.0) / F.lit(_K0 * _RADIUS)
-    xp = xi - _sum([F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-                    for j, b in enumerate(_BETA, 1)])
-    ep = eta - _sum([F.lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-                     for j, b in enumerate(_BETA, 1)])
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
-    # conformal to geodetic latitude, fixed-point steps far below a nanodegree
-    phi = chi
-    for _ in range(5):
-        phi = F.atan(F.sinh(F.atanh(F.sin(chi)) + F.lit(_E) * F.atanh(F.lit(_E) * F.sin(phi))))
-    lon = F.abs(zone) * 6 - 183 + F.degrees(F.atan2(F.sinh(ep), F.cos(xp)))
-    return F.struct(lon.alias("x"), F.degrees(phi).alias("y"))
+
+    def conformal(s):
+        xp = s["xi"] - _sum([F.lit(b) * F.sin(s["xi"] * (2 * j)) * F.cosh(s["eta"] * (2 * j))
+                             for j, b in enumerate(_BETA, 1)])
+        ep = s["eta"] - _sum([F.lit(b) * F.cos(s["xi"] * (2 * j)) * F.sinh(s["eta"] * (2 * j))
+                              for j, b in enumerate(_BETA, 1)])
+        return let(F.struct(xp.alias("xp"), ep.alias("ep")), geodetic)
+
+    def geodetic(c):
+        lon = F.abs(zone) * 6 - 183 + F.degrees(F.atan2(F.sinh(c["ep"]), F.cos(c["xp"])))
+        chi = F.asin(F.sin(c["xp"]) / F.cosh(c["ep"]))
+        return F.struct(lon.alias("x"), let(chi, lambda v: let(
+            F.struct(v.alias("chi"), F.atanh(F.sin(v)).alias("q")), latitude)).alias("y"))
+
+    def latitude(s):
+        # conformal to geodetic latitude, fixed-point steps far below a nanodegree
+        phi = s["chi"]
+        for _ in range(5):
+            phi = F.atan(F.sinh(s["q"] + F.lit(_E) * F.atanh(F.lit(_E) * F.sin(phi))))
+        return F.degrees(phi)
+
+    return let(F.struct(xi.alias("xi"), eta.alias("eta")), conformal)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.shapes import let
 from ..schemas import TYPE_LABELS, UNIT_TYPES
 from ..session import stored
 from . import ordered
@@ -56,7 +57,8 @@ def outer_ring_wgs84(parts: Column, crs: Column) -> Column:
     zone = S.utm_zone(crs)
     ring = F.element_at(F.element_at(parts, 1), 1)
     return F.when(F.assert_true(zone.isNotNull(), F.concat(F.lit("not a UTM system: "), crs))
-                  .isNull(), F.transform(ring, lambda p: S.utm_inverse(p["x"], p["y"], zone)))
+                  .isNull(), let(zone, lambda z: F.transform(
+                      ring, lambda p: S.utm_inverse(p["x"], p["y"], z))))
 
 
 def display_rows(units: DataFrame, edges: DataFrame, ground: DataFrame,
