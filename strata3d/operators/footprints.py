@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.planar import simplify
 from ..schemas import MIN_BUILDING_HEIGHT_M, MIN_FOOTPRINT_M2, PARTS, SIMPLIFY_M
-from ..session import cut_lineage
+from ..session import stored
 
 _RUN = "raster_id string, label long, row int, c0 int, c1 int"
 
@@ -87,9 +87,9 @@ def merge_labels(runs: DataFrame, ncols: int, nrows: int) -> DataFrame:
     top = cells(runs.filter(F.col("row") % nrows == 0), "b")
     down = low.join(top, ["raster_id", "row", "c"]).select("raster_id", "a", "b")
     edge = across.unionByName(down).filter("a <> b").distinct()
-    both = cut_lineage(edge.unionByName(edge.select("raster_id", F.col("b").alias("a"),
+    both = stored(edge.unionByName(edge.select("raster_id", F.col("b").alias("a"),
                                                     F.col("a").alias("b"))))
-    comp = cut_lineage(both.select("raster_id", F.col("a").alias("label")).distinct()
+    comp = stored(both.select("raster_id", F.col("a").alias("label")).distinct()
                        .withColumn("component", F.col("label")))
     while True:
         near = (both.join(comp.select("raster_id", F.col("label").alias("b"), "component"),
@@ -104,7 +104,7 @@ def merge_labels(runs: DataFrame, ncols: int, nrows: int) -> DataFrame:
         step = (step.join(jump, ["raster_id", "component"], "left")
                 .select("raster_id", "label", "_old",
                         F.coalesce("_j", "component").alias("component")))
-        step = cut_lineage(step)
+        step = stored(step)
         changed = step.filter("component <> _old").limit(1).count()
         comp = step.drop("_old")
         if not changed:
@@ -192,7 +192,7 @@ def ring_places(chains: DataFrame) -> DataFrame:
     start. Rounds grow with the logarithm of the chains in the longest ring.
     """
     key = ["raster_id", "component"]
-    at = cut_lineage(chains.select(
+    at = stored(chains.select(
         *key, F.struct("x0", "y0").alias("id"),
         F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0")).alias("to"),
         F.struct("x0", "y0").alias("ring"), F.lit(0).cast("long").alias("left")))
@@ -201,7 +201,7 @@ def ring_places(chains: DataFrame) -> DataFrame:
         ahead = at.select(*key, F.col("id").alias("to"), F.col("to").alias("_to"),
                           F.col("ring").alias("_ring"), F.col("left").alias("_left"))
         lesser = F.col("_ring") < F.col("ring")
-        step = cut_lineage(at.join(ahead, [*key, "to"]).select(
+        step = stored(at.join(ahead, [*key, "to"]).select(
             *key, "id", F.col("_to").alias("to"),
             F.when(lesser, F.col("_ring")).otherwise(F.col("ring")).alias("ring"),
             F.when(lesser, F.col("_left") + hop).otherwise(F.col("left")).alias("left"),
@@ -213,7 +213,7 @@ def ring_places(chains: DataFrame) -> DataFrame:
 
 def rings(steps: DataFrame) -> DataFrame:
     """raster_id, component, xs, ys: the corners of each ring in order, not closed."""
-    chains = cut_lineage(steps.groupBy("raster_id", "tile_row", "tile_col").applyInPandas(
+    chains = stored(steps.groupBy("raster_id", "tile_row", "tile_col").applyInPandas(
         _chains, _CHAIN))
     whole = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
     done = chains.filter(whole).select("raster_id", "component", "xs", "ys")
@@ -230,18 +230,17 @@ def rings(steps: DataFrame) -> DataFrame:
                                           F.flatten("c.ys").alias("ys")))
 
 
-def _polygon(found: pd.DataFrame) -> pd.DataFrame:
-    """The rings of one component as a simplified polygon, each from its least corner on."""
-    head = found.iloc[0]
-    res = np.array([head["res_x"], -head["res_y"]])
+def _polygon(xss, yss, res, origin):
+    """The rings of one component as a simplified polygon, each from its least corner on; None if
+    it is too small."""
     made = []
-    for xs, ys in zip(found["xs"], found["ys"]):
+    for xs, ys in zip(xss, yss):
         r = np.column_stack([xs, ys]).astype(float)
         d = np.diff(np.vstack([r, r[:1]]), axis=0)
         turn = d[:, 0] * np.roll(d[:, 1], 1) - d[:, 1] * np.roll(d[:, 0], 1)
         r = r[turn != 0]
         r = np.roll(r, -int(np.lexsort((r[:, 1], r[:, 0]))[0]), axis=0)
-        r = np.vstack([r, r[:1]]) * res + np.array([head["gx"], head["gy"]])
+        r = np.vstack([r, r[:1]]) * res + origin
         made.append(simplify(r, SIMPLIFY_M))
     made = [r for r in made if len(r) > 3]
 
@@ -251,11 +250,18 @@ def _polygon(found: pd.DataFrame) -> pd.DataFrame:
 
     made.sort(key=lambda r: (-abs(size(r)), tuple(r[0])))
     area = abs(size(made[0])) - sum(abs(size(r)) for r in made[1:]) if made else 0.0
-    parts = [[[{"x": x, "y": y} for x, y in r] for r in made]]
     if area < MIN_FOOTPRINT_M2:
-        return pd.DataFrame(columns=["raster_id", "component", "parts"])
-    return pd.DataFrame({"raster_id": [head["raster_id"]], "component": [head["component"]],
-                         "parts": [parts]})
+        return None
+    return [[[{"x": x, "y": y} for x, y in r] for r in made]]
+
+
+def _polygons(batches):
+    """One row per component, many to a batch: a group of its own would cost more than its rings."""
+    for pdf in batches:
+        pdf["parts"] = [
+            _polygon(t.xs, t.ys, np.array([t.res_x, -t.res_y]), np.array([t.gx, t.gy]))
+            for t in pdf.itertuples(index=False)]
+        yield pdf.loc[pdf["parts"].notna(), ["raster_id", "component", "parts"]]
 
 
 def outlines(height: DataFrame, ncols: int, nrows: int) -> DataFrame:
@@ -263,21 +269,25 @@ def outlines(height: DataFrame, ncols: int, nrows: int) -> DataFrame:
 
     `height`: tiles whose `values` are height above ground, on one regular tiling.
     """
-    runs = cut_lineage(labelled_runs(height))
+    runs = stored(labelled_runs(height))
     merged = merge_labels(runs, ncols, nrows)
-    grid = height.groupBy("raster_id").agg(
+    # written: read back, its size is known, and a raster's components do not gather to meet it
+    grid = stored(height.groupBy("raster_id").agg(
         F.min(F.col("x0") - F.col("tile_col") * F.col("ncols") * F.col("res_x")).alias("gx"),
         F.max(F.col("y0") + F.col("tile_row") * F.col("nrows") * F.col("res_y")).alias("gy"),
-        F.first("res_x").alias("res_x"), F.first("res_y").alias("res_y"))
+        F.first("res_x").alias("res_x"), F.first("res_y").alias("res_y")))
     whole = (runs.join(merged, ["raster_id", "label"], "left")
              .withColumn("component", F.coalesce("component", "label")).drop("label"))
     size = (whole.groupBy("raster_id", "component")
             .agg(F.sum(F.col("c1") - F.col("c0")).alias("n")).join(grid, "raster_id")
             .filter(F.col("n") * F.col("res_x") * F.col("res_y") >= MIN_FOOTPRINT_M2))
-    kept = cut_lineage(whole.join(size.select("raster_id", "component"),
+    kept = stored(whole.join(size.select("raster_id", "component"),
                                   ["raster_id", "component"], "left_semi")
                        .withColumn("tile_row", F.floor(F.col("row") / nrows).cast("int"))
                        .withColumn("tile_col", F.floor(F.col("c0") / ncols).cast("int")))
-    return rings(boundary_steps(kept)).join(grid, "raster_id").groupBy(
-        "raster_id", "component").applyInPandas(
-            _polygon, f"raster_id string, component long, parts {PARTS}")
+    found = rings(boundary_steps(kept)).groupBy("raster_id", "component").agg(
+        F.collect_list(F.struct("xs", "ys")).alias("r"))
+    return found.join(grid, "raster_id").select(
+        "raster_id", "component", F.col("r.xs").alias("xs"), F.col("r.ys").alias("ys"), "gx", "gy",
+        "res_x", "res_y").mapInPandas(
+            _polygons, f"raster_id string, component long, parts {PARTS}")
