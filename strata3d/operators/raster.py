@@ -56,13 +56,16 @@ def first_by_kind(registry: DataFrame) -> DataFrame:
 
 
 def _grid(tiles: DataFrame) -> DataFrame:
-    """One row per raster: where its regular tiling starts and how large a tile is."""
-    return tiles.groupBy("raster_id").agg(
+    """One row per raster: where its regular tiling starts and how large a tile is.
+
+    Written: read back, its size is known, and a raster's footprints do not gather to meet it.
+    """
+    return stored(tiles.groupBy("raster_id").agg(
         F.min(F.col("x0") - F.col("tile_col") * F.col("ncols") * F.col("res_x")).alias("gx"),
         F.max(F.col("y0") + F.col("tile_row") * F.col("nrows") * F.col("res_y")).alias("gy"),
         F.max(F.col("ncols") * F.col("res_x")).alias("tw"),
         F.max(F.col("nrows") * F.col("res_y")).alias("th"),
-        F.max("tile_col").alias("max_col"), F.max("tile_row").alias("max_row"))
+        F.max("tile_col").alias("max_col"), F.max("tile_row").alias("max_row")))
 
 
 def cells_in(footprints: DataFrame, tiles: DataFrame, key: str,
@@ -151,8 +154,8 @@ def run_quantiles(runs: DataFrame, keys: list[str], q: Column) -> DataFrame:
 
 def zonal(footprints: DataFrame, tiles: DataFrame, key: str, q: float = 0.5) -> DataFrame:
     """level (exact quantile) and coverage (valid cells over expected cells, at most 1)."""
-    res = tiles.groupBy("raster_id").agg(F.first("res_x").alias("rx"), F.first("res_y")
-                                         .alias("ry"))
+    res = stored(tiles.groupBy("raster_id").agg(F.first("res_x").alias("rx"), F.first("res_y")
+                                                .alias("ry")))
     sized = footprints.join(res, "raster_id").withColumn(
         "expected", F.col("area") / (F.col("rx") * F.col("ry")))
     inside = cells_in(footprints, tiles, key).filter(_valid(F.col("values"), F.col("nodata")))
