@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata3d.functions import shapes
-from strata3d.operators import gaps, rules, spatial, views
+from strata3d.operators import footprints, gaps, rules, spatial, views
 from strata3d.session import checkpoint_dir, stored
 from testbed.queries import QUERIES
 
@@ -90,3 +90,13 @@ def test_round_trip_stays_on_earth_however_many_events(spark, tmp_path):
     got = {r.k: (r.lon, r.lat) for r in QUERIES["reproject_round_trip"](spark, str(tmp_path)).collect()}
     for k, (lon, lat) in got.items():
         assert (lon, lat) == (round(72 + k % 600 / 100, 7), round(5 + k // 600 % 700 / 10, 7))
+
+
+def test_rounds_of_pointer_doubling_carry_no_plan_from_round_to_round(spark):
+    n = 16
+    cut = spark.createDataFrame([("R", 1, i, 0, (i + 1) % n, 0) for i in range(n)],
+                                "raster_id string, component long, x0 int, y0 int, x1 int, y1 int")
+    placed = footprints.ring_places(cut)
+    assert placed._jdf.queryExecution().optimizedPlan().constraints().size() == 0
+    assert sorted((r.id.x0, r.ring.x0, r.left) for r in placed.collect()) == [
+        (i, 0, (n - i) % n) for i in range(n)]
