@@ -75,28 +75,27 @@ def neighbours(df: DataFrame, keys: list[str], index: str, ord_col: str,
 
     Three bounded steps: rows of one index value cut by ordinal; the pieces of one index
     range (256 values); the ranges of one group. Each step hands only its first and last
-    row upwards, so copies piled on one index and very tall groups both stay spread out.
+    row upwards, each once, so copies piled on one index and very tall groups both stay spread out.
     """
     row = F.struct(*payload)
     base = df.select(*keys, F.col(index).alias("_i"), F.col(ord_col).alias("_o"),
-                     F.shiftright(F.col(ord_col), BUCKET_BITS).alias("_b"), row.alias("_r"))
-    # both uses below read this one exchange
-    base = base.repartition(*keys, "_i", "_b")
-    step1 = Window.partitionBy(*keys, "_i", "_b").orderBy("_o")
-    marked = base.withColumn("_p", F.lag("_r").over(step1))
-    inner = marked.filter("_p is not null").select(*keys, F.col("_p").alias("prev"),
-                                                   F.col("_r").alias("cur"))
-    pieces = (base.groupBy(*keys, "_i", "_b")
-              .agg(F.min_by("_r", "_o").alias("_first"), F.max_by("_r", "_o").alias("_last"))
-              .withColumn("_g", F.floor(F.col("_i") / 256)).repartition(*keys, "_g"))
-    step2 = Window.partitionBy(*keys, "_g").orderBy("_i", "_b")
-    chained = pieces.withColumn("_p", F.lag("_last").over(step2))
-    middle = chained.filter("_p is not null").select(*keys, F.col("_p").alias("prev"),
-                                                     F.col("_first").alias("cur"))
-    pos = F.struct("_i", "_b")
-    ranges = (pieces.groupBy(*keys, "_g").agg(F.min_by("_first", pos).alias("_first"),
-                                              F.max_by("_last", pos).alias("_last")))
-    step3 = Window.partitionBy(*keys).orderBy("_g")
-    outer = (ranges.withColumn("_p", F.lag("_last").over(step3)).filter("_p is not null")
-             .select(*keys, F.col("_p").alias("prev"), F.col("_first").alias("cur")))
+                     F.shiftright(F.col(ord_col), BUCKET_BITS).alias("_b"), row.alias("_r"),
+                     F.lit(True).alias("_starts"))
+
+    def step(rows, part, order):
+        """Pairs that end at a row where a lower piece starts, and the ends of each part."""
+        w = Window.partitionBy(*keys, *part).orderBy(*order)
+        # both uses read this one exchange
+        seen = (rows.repartition(*keys, *part).withColumn("_p", F.lag("_r").over(w))
+                .withColumn("_n", F.lead("_r").over(w)))
+        pairs = seen.filter("_starts and _p is not null").select(
+            *keys, F.col("_p").alias("prev"), F.col("_r").alias("cur"))
+        ends = seen.filter("_p is null or _n is null").withColumn(
+            "_starts", F.col("_starts") & F.col("_p").isNull())
+        return pairs, ends.drop("_p", "_n")
+
+    inner, ends = step(base, ["_i", "_b"], ["_o"])
+    ends = ends.withColumn("_g", F.floor(F.col("_i") / 256))
+    middle, ends = step(ends, ["_g"], ["_i", "_o"])
+    outer, _ = step(ends, [], ["_i", "_o"])
     return inner.unionByName(middle).unionByName(outer)

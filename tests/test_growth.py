@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata3d.functions import shapes
-from strata3d.operators import footprints, gaps, rules, spatial, views
+from strata3d.operators import footprints, gaps, ordered, rules, spatial, views
 from strata3d.session import checkpoint_dir, stored
 from testbed.queries import QUERIES
 from testbed.views import Testbed, duckdb_with
@@ -125,3 +125,17 @@ def test_units_are_the_rows_of_their_sql(spark):
     got = [tuple(r) for r in Testbed(spark, SMOKE).view("unit").selectExpr(
         *cols.split(", ")).collect()]
     assert sorted(got, key=lambda r: r[0]) == sorted(wanted, key=lambda r: r[0])
+
+
+def test_neighbours_carry_a_row_once_and_meet_across_pieces_and_ranges(spark):
+    step = 1 << ordered.BUCKET_BITS
+    rows = [("A", i, o) for i, o in ((0, 5), (0, 7), (0, step + 1), (0, 3 * step), (1, 2), (300, 1),
+                                     (300, step), (301, 4), (-1, 9), (900, 2 * step), (900, 6))]
+    rows += [("B", 2, 1), ("C", 0, 3), ("C", 700, 2)]
+    n = ordered.neighbours(spark.createDataFrame(rows, "g string, i int, o long"), ["g"], "i", "o",
+                           ["g", "i", "o"])
+    got = sorted((tuple(r.prev), tuple(r.cur)) for r in n.collect())
+    line = sorted(rows)
+    assert got == [(a, b) for a, b in zip(line, line[1:]) if a[0] == b[0]]
+    # first and last of a piece are one row where it has one, and no aggregate holds both
+    assert "Aggregate" not in plan(n)
