@@ -852,14 +852,15 @@ def _(tb):
        GROUP BY ALL UNION ALL SELECT NULL, 'not_found', COUNT(*) FROM events""")
 def _(tb):
     f = tb.kept("findings")
+    # a request names the rule of what it asks for, so findings meet requests once
     asked = f.select("project_id", "finding_id", F.lit(0).cast("bigint").alias("ord"),
-                     F.lit("a").alias("actor")).unionByName(
+                     F.lit("a").alias("actor"), "rule_id").unionByName(
         tb.table("events").select(F.lit(PROJECT).alias("project_id"), F.concat(
             F.lit("none-"), F.col("event_id").cast("string")).alias("finding_id"),
-            F.col("event_id").alias("ord"), F.lit("a").alias("actor")))
-    out = lifecycle.acknowledge(f.drop("rule_id"), asked)
-    return (out.join(f.select("finding_id", "rule_id"), "finding_id", "left")
-            .groupBy("rule_id", "outcome").agg(F.count("*").alias("n")))
+            F.col("event_id").alias("ord"), F.lit("a").alias("actor"),
+            F.lit(None).cast("string").alias("rule_id")))
+    return (lifecycle.acknowledge(f, asked).groupBy("rule_id", "outcome")
+            .agg(F.count("*").alias("n")))
 
 
 @query("lifecycle_transitions", f"""{Q.with_findings('request').replace('WITH ', 'WITH RECURSIVE ', 1)},

@@ -139,3 +139,8 @@ def test_neighbours_carry_a_row_once_and_meet_across_pieces_and_ranges(spark):
     assert got == [(a, b) for a, b in zip(line, line[1:]) if a[0] == b[0]]
     # first and last of a piece are one row where it has one, and no aggregate holds both
     assert "Aggregate" not in plan(n)
+
+
+def test_acknowledged_findings_move_once(spark):
+    done = QUERIES["acknowledge_findings"](spark, SMOKE)
+    assert plan(done).count("Join") == 1
