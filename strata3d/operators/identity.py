@@ -37,7 +37,8 @@ def allocate(requests: DataFrame, held: DataFrame) -> DataFrame:
     top = held.groupBy(*LEVEL_KEYS).agg(F.max("sequence").alias("_top"))
     known = requests.join(own, [*LEVEL_KEYS, "unit_id"], "left")
     kept = known.filter("_held is not null").withColumn("sequence", F.col("_held"))
-    fresh = ordered.position_in_group(known.filter("_held is null"), LEVEL_KEYS, "ord", "_at")
+    fresh = ordered.position_in_group(known.filter("_held is null"), LEVEL_KEYS, "ord", "_at",
+                                      among=requests)
     fresh = (fresh.join(top, LEVEL_KEYS, "left")
              .withColumn("sequence", F.coalesce("_top", F.lit(-1)) + 1 + F.col("_at")))
     cols = [*requests.columns, F.col("sequence").cast("int").alias("sequence"),

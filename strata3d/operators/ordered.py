@@ -8,30 +8,52 @@ rest of its group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 
 BUCKET_BITS = 16
+#: Rows up to which a group is ordered whole: as many as a bucket holds.
+WHOLE_GROUP = 1 << BUCKET_BITS
 #: Bits below the partition in `monotonically_increasing_id`.
 RANGE_BITS = 33
 
 
-def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str) -> DataFrame:
-    """Add `out`: 0-based position of the row in its group by unique bigint `ord_col`."""
-    bucket = F.shiftright(F.col(ord_col), BUCKET_BITS)
-    offset = (df.groupBy(*keys, bucket.alias("_b")).agg(F.count("*").alias("_n"))
+def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str,
+                      among: DataFrame | None = None) -> DataFrame:
+    """Add `out`: 0-based position of the row in its group by unique bigint `ord_col`.
+
+    Groups no larger than a bucket are numbered in one exchange on their keys; only larger ones
+    are cut by ordinal. Large groups are counted in `among` (`df` by default), which has at least
+    the rows of `df` and may be cheaper to read.
+    """
+    # written, so that Spark knows how few large groups there are before rows move
+    crowd = stored((df if among is None else among).groupBy(*keys).agg(F.count("*").alias("_n"))
+                   .filter(F.col("_n") > WHOLE_GROUP)
+                   .select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    crowded = _same(keys)
+    whole = df.join(crowd, crowded, "left_anti").withColumn(
+        out, F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col)).cast("bigint") - 1)
+    large = df.join(crowd, crowded, "left_semi").withColumn(
+        "_bucket", F.shiftright(F.col(ord_col), BUCKET_BITS))
+    offset = (large.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(
-                  Window.partitionBy(*keys).orderBy("_b")
+                  Window.partitionBy(*keys).orderBy("_bucket")
                   .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("_n"))
-    local = Window.partitionBy(*keys, "_b").orderBy(ord_col)
-    return (df.withColumn("_b", bucket)
-            .withColumn("_local", F.row_number().over(local) - 1)
-            .join(offset, [*keys, "_b"])
-            .withColumn(out, F.col("_before") + F.col("_local"))
-            .drop("_b", "_before", "_local"))
+              .select(*[F.col(c).alias(f"_{c}") for c in (*keys, "_bucket")], "_before"))
+    local = Window.partitionBy(*keys, "_bucket").orderBy(ord_col)
+    cut = (large.withColumn("_local", F.row_number().over(local) - 1)
+           .join(offset, _same([*keys, "_bucket"]))
+           .withColumn(out, F.col("_before") + F.col("_local")))
+    return whole.unionByName(cut.select(*whole.columns))
+
+
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality of each column with its namesake after an underscore."""
+    return reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
 
 
 def place_by_text(df: DataFrame, keys: list[str], text: str, out: str,

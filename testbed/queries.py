@@ -14,6 +14,7 @@ from strata3d.operators import (context, contracts, footprints, identity, lifecy
 from strata3d.operators import units as U
 from strata3d.plans import detecting
 from strata3d.schemas import LEDGER, PARTS, SEQUENCE
+from strata3d.session import stored
 from strata3d.sources import documents, geojson, layers, register
 from strata3d.sources.documents import parse_suggestions
 
@@ -246,7 +247,8 @@ def _asked(tb):
 
 
 def _none_held(tb):
-    return tb.spark.createDataFrame([], SEQUENCE)
+    """No row, which Spark knows beforehand, so that nothing moves to meet it."""
+    return tb.spark.createDataFrame([], SEQUENCE).filter(F.lit(False))
 
 
 @query("mint_provisional_identifiers", f"""{duckdb_with("unit")}, {_SEQ}
@@ -266,12 +268,12 @@ def _(tb):
        s.parent_ulpin, s.stratum, s.level ORDER BY s.ord) AS INT), TRUE
        FROM seq s LEFT JOIN top USING (parent_ulpin, stratum, level) WHERE s.ord % 3 <> 0""")
 def _(tb):
-    _ids, rows = identity.mint(_asked(tb), _none_held(tb), F.lit(1))
-    third = tb.kept("units").filter(F.pmod("ord", F.lit(3)) == 0).select("project_id", "unit_id")
-    held = rows.join(third, ["project_id", "unit_id"], "left_semi")
     asked = (_asked(tb).filter("parent_ulpin_14 is not null")
              .withColumn("stratum", identity.stratum(F.col("unit_type"), F.col("floor_index")))
              .withColumn("level", identity.level(F.col("floor_index"))))
+    # requests keep their `ord`, so the third that holds its number is told without a join
+    held = stored(identity.allocate(asked, _none_held(tb)).filter(F.pmod("ord", F.lit(3)) == 0)
+                  .select(*identity.LEVEL_KEYS, "unit_id", "sequence"))
     return identity.allocate(asked, held).select("unit_id", "sequence", "is_new")
 
 

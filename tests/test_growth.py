@@ -144,3 +144,23 @@ def test_neighbours_carry_a_row_once_and_meet_across_pieces_and_ranges(spark):
 def test_acknowledged_findings_move_once(spark):
     done = QUERIES["acknowledge_findings"](spark, SMOKE)
     assert plan(done).count("Join") == 1
+
+
+def test_positions_in_small_groups_take_one_exchange_and_agree_with_large_ones(spark, monkeypatch):
+    step = 1 << ordered.BUCKET_BITS
+    rows = [(g, i * step // 3 + n) for n, g in enumerate(("A", "B", None)) for i in range(7 - n)]
+    df = stored(spark.createDataFrame(rows, "g string, o long"))
+    wanted = sorted((g or "", o, sum(h == g and p < o for h, p in rows)) for g, o in rows)
+    for whole in (1 << 16, 2):
+        monkeypatch.setattr(ordered, "WHOLE_GROUP", whole)
+        got = ordered.position_in_group(df, ["g"], "o", "at")
+        assert sorted((r.g or "", r.o, r.at) for r in got.collect()) == wanted
+    only = ordered.position_in_group(df, ["g"], "o", "at")
+    monkeypatch.setattr(ordered, "WHOLE_GROUP", 1 << 16)
+    for made in (only, ordered.position_in_group(df, ["g"], "o", "at", among=df)):
+        assert "LeftAnti" in plan(made)
+
+
+def test_numbers_are_allocated_without_meeting_units_again(spark):
+    got = QUERIES["sequence_with_held_numbers"](spark, SMOKE)
+    assert plan(got).count("SortMergeJoin") <= 6 and got.count() > 0
