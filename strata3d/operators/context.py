@@ -50,27 +50,42 @@ def accuracy(units: DataFrame, sources: DataFrame) -> DataFrame:
                     .alias("acc_known")))
 
 
-def enriched(units: DataFrame, sources: DataFrame, settings: DataFrame) -> DataFrame:
-    """Units with acc_h, acc_v, acc_known, settings and shape columns.
+def with_project(units: DataFrame, settings: DataFrame) -> DataFrame:
+    """Units with settings and shape columns, but without accuracy: these meet one small table.
 
-    Source lists and settings are written first: read back, their size is known before the units
-    move, so that units do not move for as long as Spark finds them small.
+    Settings are written first: read back, their size is known before the units move.
     """
     s = stored(settings.select("project_id", "tolerance_k", "project_crs",
                                F.col("vertical_datum").alias("project_datum"),
                                "min_floor_height_m", "max_floor_height_m",
                                "confidence_warn_below"))
-    # a unit without a source list, or of a project without settings, still meets every rule
-    a = stored(accuracy(units, sources)).withColumnsRenamed(
-        {"project_id": "_p", "source_ids": "_s"})
-    out = (units.join(a, F.col("project_id").eqNullSafe(F.col("_p"))
-                      & F.col("source_ids").eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
-           .join(s, "project_id", "left"))
-    out = out.select("*", F.col("attributes.utility_kind").alias("utility_kind"),
-                     F.col("attributes.floor_index").alias("floor_index"))
+    # a unit of a project without settings still meets every rule
+    out = units.join(s, "project_id", "left").select(
+        "*", F.col("attributes.utility_kind").alias("utility_kind"),
+        F.col("attributes.floor_index").alias("floor_index"))
     return out if "is_rect" in units.columns else shapes.with_shape(out)
 
 
+def with_accuracy(rows: DataFrame, lists: DataFrame, of: str = "source_ids",
+                  **named: str) -> DataFrame:
+    """Rows with the columns of `lists` (all, or those `named`: new name = column) that belong to
+    their source list `of`; a row without a list keeps its place."""
+    named = named or {c: c for c in lists.columns if c not in ("project_id", "source_ids")}
+    a = lists.select(F.col("project_id").alias("_p"), F.col("source_ids").alias("_s"),
+                     *[F.col(c).alias(n) for n, c in named.items()])
+    return rows.join(a, F.col("project_id").eqNullSafe(F.col("_p"))
+                     & F.col(of).eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
+
+
+def enriched(units: DataFrame, sources: DataFrame, settings: DataFrame) -> DataFrame:
+    """Units with acc_h, acc_v, acc_known, settings and shape columns.
+
+    Source lists are written first, as settings are, so that units do not move for as long as Spark
+    finds them small.
+    """
+    return with_accuracy(with_project(units, settings), stored(accuracy(units, sources)))
+
+
 def build(units: DataFrame, relationships: DataFrame, sources: DataFrame,
           settings: DataFrame) -> DataFrame:
     """Enriched units with parent_id."""

@@ -30,11 +30,7 @@ def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str,
     are cut by ordinal. Large groups are counted in `among` (`df` by default), which has at least
     the rows of `df` and may be cheaper to read.
     """
-    # written, so that Spark knows how few large groups there are before rows move
-    crowd = stored((df if among is None else among).groupBy(*keys).agg(F.count("*").alias("_n"))
-                   .filter(F.col("_n") > WHOLE_GROUP)
-                   .select(*[F.col(k).alias(f"_{k}") for k in keys]))
-    crowded = _same(keys)
+    crowd, crowded = _crowd(df if among is None else among, keys), _same(keys)
     whole = df.join(crowd, crowded, "left_anti").withColumn(
         out, F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col)).cast("bigint") - 1)
     large = df.join(crowd, crowded, "left_semi").withColumn(
@@ -51,6 +47,14 @@ def position_in_group(df: DataFrame, keys: list[str], ord_col: str, out: str,
     return whole.unionByName(cut.select(*whole.columns))
 
 
+def _crowd(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, after an underscore each, of the groups larger than a bucket: written, so that Spark
+    knows how few they are before rows move."""
+    return stored(df.groupBy(*keys).agg(F.count("*").alias("_n"))
+                  .filter(F.col("_n") > WHOLE_GROUP)
+                  .select(*[F.col(k).alias(f"_{k}") for k in keys]))
+
+
 def _same(columns: list[str]) -> Column:
     """Null-safe equality of each column with its namesake after an underscore."""
     return reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
@@ -95,10 +99,12 @@ def neighbours(df: DataFrame, keys: list[str], index: str, ord_col: str,
                payload: list[str]) -> DataFrame:
     """Consecutive rows of each group by (int `index`, bigint `ord_col`): structs prev, cur.
 
-    Three bounded steps: rows of one index value cut by ordinal; the pieces of one index
+    Groups no larger than a bucket are ordered in one exchange on their keys. Larger ones take
+    three bounded steps: rows of one index value cut by ordinal; the pieces of one index
     range (256 values); the ranges of one group. Each step hands only its first and last
     row upwards, each once, so copies piled on one index and very tall groups both stay spread out.
     """
+    crowd, crowded = _crowd(df, keys), _same(keys)
     row = F.struct(*payload)
     base = df.select(*keys, F.col(index).alias("_i"), F.col(ord_col).alias("_o"),
                      F.shiftright(F.col(ord_col), BUCKET_BITS).alias("_b"), row.alias("_r"),
@@ -116,8 +122,12 @@ def neighbours(df: DataFrame, keys: list[str], index: str, ord_col: str,
             "_starts", F.col("_starts") & F.col("_p").isNull())
         return pairs, ends.drop("_p", "_n")
 
-    inner, ends = step(base, ["_i", "_b"], ["_o"])
+    # a number leads the sort: texts are compared only where it ties
+    whole = (base.join(crowd, crowded, "left_anti").withColumn("_p", F.lag("_r").over(
+        Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("_i", "_o")))
+        .filter("_p is not null").select(*keys, F.col("_p").alias("prev"), F.col("_r").alias("cur")))
+    inner, ends = step(base.join(crowd, crowded, "left_semi"), ["_i", "_b"], ["_o"])
     ends = ends.withColumn("_g", F.floor(F.col("_i") / 256))
     middle, ends = step(ends, ["_g"], ["_i", "_o"])
     outer, _ = step(ends, [], ["_i", "_o"])
-    return inner.unionByName(middle).unionByName(outer)
+    return whole.unionByName(inner).unionByName(middle).unionByName(outer)

@@ -27,14 +27,44 @@ class Context:
     units: DataFrame            # context.enriched output
     contains: DataFrame         # `contains` edges
     parents: DataFrame | None = None        # unit_id, parent_id; None if `units` has parent_id
+    plain: DataFrame | None = None          # `units` that did not meet accuracy
+    lists: DataFrame | None = None          # accuracy per source list
+    nested: str | None = None               # column of `units` with the `contains` edge's parent
 
     @classmethod
-    def of(cls, units, relationships, sources, settings) -> Context:
+    def of(cls, units, relationships, sources, settings, nested: str | None = None) -> Context:
         """`units` is a stored table, of which each rule scans only its own columns and rows.
-        Shapes it lacks are computed for all rules and written once."""
-        rich = context.enriched(units, sources, settings)
-        return cls(rich if "is_rect" in units.columns else stored(rich),
-                   context.contains_edges(relationships), context.parents(relationships))
+        Shapes it lacks are computed for all rules and written once. `nested` names the column of
+        units that hold their only `contains` edge themselves; its ord is then the unit's."""
+        lists = stored(context.accuracy(units, sources))
+        plain = context.with_project(units, settings)
+        rich = context.with_accuracy(plain, lists)
+        if "is_rect" not in units.columns:
+            rich = plain = stored(rich)
+        return cls(rich, context.contains_edges(relationships), context.parents(relationships),
+                   plain, lists, nested)
+
+    def bare(self) -> DataFrame:
+        """Units for rules that ask no accuracy, so that source lists, however many, are not met."""
+        return self.units if self.plain is None else self.plain
+
+    def accuracies(self) -> DataFrame:
+        if self.lists is not None:
+            return self.lists
+        return self.units.select("project_id", "source_ids", "acc_v").distinct()
+
+    def stacks(self) -> DataFrame:
+        """Floors with `parent` and `edge_ord`, one row per `contains` edge."""
+        floors = self.bare().filter("unit_type = 'floor' and floor_index is not null")
+        own = ["project_id", "unit_id", "floor_index", "lower_limit", "upper_limit", "source_ids",
+               "tolerance_k"]
+        if self.nested is not None:
+            return floors.filter(F.col(self.nested).isNotNull()).select(
+                *own, F.col(self.nested).alias("parent"), F.col("ord").alias("edge_ord"))
+        edges = self.contains.select("project_id", F.col("from_unit_id").alias("parent"),
+                                     F.col("to_unit_id").alias("unit_id"),
+                                     F.col("ord").alias("edge_ord"))
+        return floors.select(*own).join(edges, ["project_id", "unit_id"])
 
     def family(self) -> DataFrame:
         """What pairs are made of, with parent_id: only these columns move to meet the parents."""
@@ -65,7 +95,7 @@ def _finding(df: DataFrame, rule: str, severity: str, *, message: Column, action
 
 def geometry_invalid(ctx: Context) -> DataFrame:
     # a rectangle with positive area is valid, so only other shapes reach the sweep
-    odd = (ctx.units.filter(~F.col("is_rect"))
+    odd = (ctx.bare().filter(~F.col("is_rect"))
            .select("project_id", "unit_id", "parts", polygons.is_valid(F.col("parts")).alias("ok")))
     return _finding(odd.filter(~F.col("ok")), "GEOM_INVALID", "error",
                     message=F.lit("Footprint crosses itself, has a spike, or is not closed."),
@@ -73,7 +103,7 @@ def geometry_invalid(ctx: Context) -> DataFrame:
 
 
 def heights_impossible(ctx: Context) -> DataFrame:
-    return _finding(ctx.units.filter("lower_limit >= upper_limit"), "Z_IMPOSSIBLE", "error",
+    return _finding(ctx.bare().filter("lower_limit >= upper_limit"), "Z_IMPOSSIBLE", "error",
                     message=F.format_string("Lower limit %s is not below upper limit %s.",
                                             "lower_limit", "upper_limit"),
                     measured=F.col("upper_limit") - F.col("lower_limit"),
@@ -85,7 +115,7 @@ def heights_unavailable(ctx: Context) -> DataFrame:
                                   for c in ("lower_limit", "upper_limit")])
     why = F.coalesce(F.concat(F.lit(" Reason: "), F.col("attributes.heights_unavailable")),
                      F.lit(""))
-    return _finding(ctx.units.filter("lower_limit is null or upper_limit is null"),
+    return _finding(ctx.bare().filter("lower_limit is null or upper_limit is null"),
                     "HEIGHTS_UNAVAILABLE", "error",
                     message=F.concat(F.lit("Not known: "), missing, F.lit("."), why),
                     geometry=F.col("parts"),
@@ -96,7 +126,7 @@ def duplicates(ctx: Context) -> DataFrame:
     """Same outline and same limits (unknown equals unknown); the first by `ord` is kept."""
     outline = F.when(F.col("is_rect"), F.concat_ws(" ", *shapes.BOX)).otherwise(
         F.sha2(shapes.canonical_text(F.col("parts")), 256))
-    keyed = ctx.units.select("project_id", outline.alias("_k"), "lower_limit",
+    keyed = ctx.bare().select("project_id", outline.alias("_k"), "lower_limit",
                              "upper_limit", "unit_id", "ord", "parts")
     keys = ["project_id", "_k", "lower_limit", "upper_limit"]
     groups = (keyed.groupBy(*keys)
@@ -113,14 +143,14 @@ def duplicates(ctx: Context) -> DataFrame:
 
 
 def crs_mismatch(ctx: Context) -> DataFrame:
-    return _finding(ctx.units.filter("crs <> project_crs"), "CRS_MISMATCH", "error",
+    return _finding(ctx.bare().filter("crs <> project_crs"), "CRS_MISMATCH", "error",
                     message=F.format_string("Unit is in %s, project in %s.", "crs",
                                             "project_crs"),
                     action="Reproject the source when it is loaded.")
 
 
 def datum_mismatch(ctx: Context) -> DataFrame:
-    return _finding(ctx.units.filter("vertical_datum <> project_datum"),
+    return _finding(ctx.bare().filter("vertical_datum <> project_datum"),
                     "DATUM_MISMATCH", "error",
                     message=F.format_string("Heights refer to %s, project to %s.",
                                             "vertical_datum", "project_datum"),
@@ -135,7 +165,7 @@ def provenance_missing(ctx: Context) -> DataFrame:
 
 
 def confidence_low(ctx: Context) -> DataFrame:
-    low = ctx.units.filter("created_by = 'ai' and confidence_score < confidence_warn_below")
+    low = ctx.bare().filter("created_by = 'ai' and confidence_score < confidence_warn_below")
     return _finding(low, "CONFIDENCE_LOW", "warning",
                     message=F.format_string("Model confidence %.2f is under %s.",
                                             "confidence_score", "confidence_warn_below"),
@@ -145,23 +175,25 @@ def confidence_low(ctx: Context) -> DataFrame:
 
 
 def floor_sequence(ctx: Context) -> DataFrame:
-    """Consecutive floors of one parent must meet within the pair's vertical tolerance."""
-    floors = ctx.units.filter("unit_type = 'floor' and floor_index is not null").select(
-        "project_id", "unit_id", "ord", "floor_index", "lower_limit", "upper_limit", "acc_v",
-        "tolerance_k")
-    edges = ctx.contains.select("project_id", F.col("from_unit_id").alias("parent"),
-                                F.col("to_unit_id").alias("unit_id"),
-                                F.col("ord").alias("edge_ord"))
-    stack = floors.join(edges, ["project_id", "unit_id"])
-    pairs = ordered.neighbours(stack, ["project_id", "parent"], "floor_index", "edge_ord",
-                               ["unit_id", "lower_limit", "upper_limit", "acc_v",
+    """Consecutive floors of one parent must meet within the pair's vertical tolerance.
+
+    Floors that meet exactly are within any tolerance, so only the other pairs meet accuracy.
+    """
+    pairs = ordered.neighbours(ctx.stacks(), ["project_id", "parent"], "floor_index", "edge_ord",
+                               ["unit_id", "lower_limit", "upper_limit", "source_ids",
                                 "tolerance_k"])
-    pairs = (pairs.withColumn("delta", F.col("cur.lower_limit") - F.col("prev.upper_limit"))
-             .withColumn("tol", S.pair_tolerance(F.col("prev.acc_v"), F.col("cur.acc_v"),
-                                                 F.col("cur.tolerance_k")))
-             .filter(F.abs("delta") > F.col("tol"))
+    apart = (pairs.withColumn("delta", F.col("cur.lower_limit") - F.col("prev.upper_limit"))
+             .filter((F.col("delta") != 0) | (F.col("cur.tolerance_k") < 0))
              .select("project_id", F.col("cur.unit_id").alias("unit_id"),
-                     F.col("prev.unit_id").alias("below"), "delta", "tol"))
+                     F.col("prev.unit_id").alias("below"), "delta",
+                     F.col("cur.tolerance_k").alias("k"), F.col("prev.source_ids").alias("_prev"),
+                     F.col("cur.source_ids").alias("_cur")))
+    for side in ("_prev", "_cur"):
+        apart = context.with_accuracy(apart, ctx.accuracies(), side, **{f"{side}_v": "acc_v"})
+    pairs = (apart.withColumn("tol", S.pair_tolerance(F.col("_prev_v"), F.col("_cur_v"),
+                                                      F.col("k")))
+             .filter(F.abs("delta") > F.col("tol"))
+             .select("project_id", "unit_id", "below", "delta", "tol"))
     word = F.when(F.col("delta") > 0, "gap").otherwise("overlap")
     return _finding(pairs, "FLOOR_SEQUENCE", "error", related=F.array("below"),
                     message=F.format_string("%.2f m %s above %s.", F.abs("delta"), word,
@@ -173,7 +205,7 @@ def floor_sequence(ctx: Context) -> DataFrame:
 
 def floor_height(ctx: Context) -> DataFrame:
     height = F.col("upper_limit") - F.col("lower_limit")
-    odd = ctx.units.filter((F.col("unit_type") == "floor") & ~height.between(
+    odd = ctx.bare().filter((F.col("unit_type") == "floor") & ~height.between(
         F.col("min_floor_height_m"), F.col("max_floor_height_m")))
     return _finding(odd, "FLOOR_HEIGHT_IMPLAUSIBLE", "warning",
                     message=F.format_string("Floor is %.2f m high, expected %s to %s m.", height,

@@ -946,7 +946,7 @@ def _(tb):
 def _(tb):
     none = F.lit(None).cast("string")
     u = tb.kept("units").withColumn("ulpin", none).withColumn("ulpin_provisional", none)
-    return views.review_record(views.review_queue(u, tb.kept("findings"))).select(
+    return views.review_record(views.review_queue(u, tb.found())).select(
         "unit_id", "errors", "warnings", "unacknowledged", "approvable", "floor_text")
 
 

@@ -164,3 +164,52 @@ def test_positions_in_small_groups_take_one_exchange_and_agree_with_large_ones(s
 def test_numbers_are_allocated_without_meeting_units_again(spark):
     got = QUERIES["sequence_with_held_numbers"](spark, SMOKE)
     assert plan(got).count("SortMergeJoin") <= 6 and got.count() > 0
+
+
+def test_small_stacks_take_one_exchange_and_agree_with_tall_ones(spark, monkeypatch):
+    step = 1 << ordered.BUCKET_BITS
+    rows = [(g, i, o * step // 2 + o) for n, g in enumerate(("A", "B", None)) for i in (0, 1, 1, 700)
+            for o in range(n + 1, 4)]
+    rows = sorted(set(rows), key=lambda r: (r[0] or "", *r[1:]))
+    df = stored(spark.createDataFrame(rows, "g string, i int, o long"))
+    wanted = [(a, b) for a, b in zip(rows, rows[1:]) if a[0] == b[0] and a[0]]
+    for whole in (1 << 16, 2):
+        monkeypatch.setattr(ordered, "WHOLE_GROUP", whole)
+        n = ordered.neighbours(df, ["g"], "i", "o", ["g", "i", "o"])
+        assert "LeftAnti" in plan(n)
+        got = sorted((tuple(r.prev), tuple(r.cur)) for r in n.filter("g is not null").collect())
+        assert got == wanted
+        assert n.count() == len(rows) - 3
+
+
+def test_rules_that_ask_no_accuracy_do_not_meet_source_lists(spark):
+    units, edges, sources, settings = tables(spark, UNITS)
+    ctx = rules.Context.of(stored(shapes.with_shape(units)), edges, sources, settings)
+    for rule in (rules.heights_impossible, rules.heights_unavailable, rules.confidence_low,
+                 rules.floor_height, rules.crs_mismatch, rules.datum_mismatch):
+        assert plan(rule(ctx)).count("Join") <= 1, rule
+
+
+def test_floors_that_hold_their_edge_meet_no_edges_and_agree(spark):
+    units, edges, sources, settings = tables(spark, UNITS)
+    up = edges.filter("rel_type = 'contains'").select(
+        "project_id", F.col("to_unit_id").alias("unit_id"), F.col("from_unit_id").alias("above"))
+    held = stored(shapes.with_shape(units).join(up, ["project_id", "unit_id"], "left"))
+    got = []
+    for nested in (None, "above"):
+        found = rules.floor_sequence(rules.Context.of(held, edges, sources, settings, nested=nested))
+        got.append([(r.unit_id, r.related_unit_ids, r.measured_value, r.tolerance)
+                    for r in found.collect()])
+    assert got[0] == got[1] == [("FLR-005", ["FLR-004"], 0.4, got[0][0][3])]
+
+
+def test_review_queue_writes_no_findings_and_sorts_no_units(spark, monkeypatch):
+    from testbed import queries
+    monkeypatch.setattr(queries, "_BEDS", {})
+    first = QUERIES["review_queue"](spark, SMOKE)
+    tb = queries.bed(spark, SMOKE)
+    assert "findings" not in tb._kept and "PROVENANCE" not in plan(first)
+    assert "SortMergeJoin" not in plan(first) and "format_string" not in plan(first)
+    rows = sorted(map(tuple, first.collect()))
+    tb.kept("findings")                 # the stored run has the same findings
+    assert sorted(map(tuple, QUERIES["review_queue"](spark, SMOKE).collect())) == rows
