@@ -945,7 +945,7 @@ def _(tb):
        FROM unit LEFT JOIN c ON named = unit_id WHERE status = 'needs_review'""")
 def _(tb):
     none = F.lit(None).cast("string")
-    u = tb.kept("units").withColumn("ulpin", none).withColumn("ulpin_provisional", none)
+    u = tb.seen().withColumn("ulpin", none).withColumn("ulpin_provisional", none)
     return views.review_record(views.review_queue(u, tb.found())).select(
         "unit_id", "errors", "warnings", "unacknowledged", "approvable", "floor_text")
 

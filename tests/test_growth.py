@@ -208,8 +208,22 @@ def test_review_queue_writes_no_findings_and_sorts_no_units(spark, monkeypatch):
     monkeypatch.setattr(queries, "_BEDS", {})
     first = QUERIES["review_queue"](spark, SMOKE)
     tb = queries.bed(spark, SMOKE)
-    assert "findings" not in tb._kept and "PROVENANCE" not in plan(first)
+    assert not {"findings", "units"} & tb._kept.keys() and "PROVENANCE" not in plan(first)
     assert "SortMergeJoin" not in plan(first) and "format_string" not in plan(first)
     rows = sorted(map(tuple, first.collect()))
     tb.kept("findings")                 # the stored run has the same findings
     assert sorted(map(tuple, QUERIES["review_queue"](spark, SMOKE).collect())) == rows
+
+
+def test_units_derived_where_they_are_read_move_nothing_and_are_the_stored_ones(spark):
+    tb = Testbed(spark, SMOKE)
+    seen = tb.seen()
+    assert "Exchange" not in plan(seen)
+    # one unit type reads the numbers of that type only
+    assert plan(seen.filter("unit_type = 'floor'").select("unit_id")).count("FileScan") == 1
+    ids = tb.relationships(seen).select("from_unit_id", "to_unit_id", "rel_type", "ord")
+    assert "units" not in tb._kept
+    kept = tb.kept("units")
+    assert tb.seen() is kept and seen.dtypes == kept.dtypes and seen.count() == kept.count()
+    assert seen.exceptAll(kept).isEmpty() and kept.exceptAll(seen).isEmpty()
+    assert ids.exceptAll(tb.kept("relationships").select(*ids.columns)).isEmpty()
