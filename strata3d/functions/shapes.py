@@ -263,21 +263,41 @@ def geojson(parts: Column) -> Column:
     return F.when(F.size(parts) == 1, one).when(F.size(parts) > 1, many)
 
 
+def _plain(parts: Column) -> Column:
+    """The shape struct of a closed ring of four corners along the axes, without a lambda; NULL for
+    other polygons. Of a polygon made in the same query only the corners are left to compute."""
+    ring = F.get(F.get(parts, F.lit(0)), F.lit(0))
+    a, b, c, d, e = (F.get(ring, F.lit(i)) for i in range(5))
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = ((p["x"], p["y"]) for p in (a, b, c, d))
+    one = ((F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))) == 1) & (F.size(ring) == 5)
+           & (e["x"] == ax) & (e["y"] == ay))
+    turns = (((ay == by) & (bx == cx) & (cy == dy) & (dx == ax))
+             | ((ax == bx) & (by == cy) & (cx == dx) & (dy == ay)))
+    inf = float("inf")
+    real = ((F.abs(ax) < inf) & (F.abs(ay) < inf) & (F.abs(cx) < inf) & (F.abs(cy) < inf)
+            & (ax != cx) & (ay != cy))
+    x0, y0, x1, y1 = F.least(ax, cx), F.least(ay, cy), F.greatest(ax, cx), F.greatest(ay, cy)
+    return F.when(one & turns & real, F.struct(
+        *[v.alias(n) for n, v in zip(BOX, (x0, y0, x1, y1))], F.lit(True).alias("is_rect"),
+        ((x1 - x0) * (y1 - y0)).alias("area")))
+
+
 def with_shape(df: DataFrame, parts: str = "parts") -> DataFrame:
     """Add what spatial operators need: bbox x0..y1, `is_rect`, `area`."""
-    p = F.col(parts)
-
-    def with_area(s):
+    def with_area(s, p):
         flat = (s["x1"] - s["x0"]) * (s["y1"] - s["y0"])
         return F.struct(*[s[c].alias(c) for c in BOX], s["is_rect"].alias("is_rect"),
                         F.when(s["is_rect"], flat).otherwise(area(p)).alias("area"))
 
-    def with_form(b):
+    def with_form(b, p):
         return let(F.struct(*[b[c].alias(c) for c in BOX],
-                            is_rectangle(p, b).alias("is_rect")), with_area)
+                            is_rectangle(p, b).alias("is_rect")), lambda s: with_area(s, p))
 
-    # one expression: a later filter on `area` then repeats it once, not once per use
-    return df.withColumn("_s", let(bbox(p), with_form)).select("*", "_s.*").drop("_s")
+    # a filter on `area` is pushed to where `parts` is made and repeats this; there as here the
+    # polygon is bound once, not made anew for every use
+    any_form = let(F.col(parts), lambda p: let(bbox(p), lambda b: with_form(b, p)))
+    return df.withColumn("_s", F.coalesce(_plain(F.col(parts)), any_form)).select(
+        "*", "_s.*").drop("_s")
 
 
 BOX = ("x0", "y0", "x1", "y1")

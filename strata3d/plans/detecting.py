@@ -13,7 +13,7 @@ from ..functions import shapes
 from ..operators import contracts, footprints, identity, ordered, raster, spatial
 from ..operators import units as U
 from ..schemas import OUTLINE_CONFIDENCE, RELATIONSHIP, SUGGESTION, UNIT
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..sources.documents import suggestion_id
 
 #: (dem tiles, dsm tiles) -> raster_id, parts, confidence, floor_count, floor_count_method,
@@ -73,16 +73,22 @@ class Detected:
 
 
 def sort_out(found: DataFrame, units: DataFrame, suggestions: DataFrame) -> Detected:
-    """Drop detections the register or the queue already holds; the register asks first."""
-    shape = ("is_rect" in found.columns)
-    f = found if shape else shapes.with_shape(found)
-    buildings = shapes.with_shape(units.filter("unit_type = 'building'").select(
-        "project_id", "unit_id", "ord", "parts"))
-    queued = shapes.with_shape(suggestions.select(
+    """Drop detections the register or the queue already holds; the register asks first.
+
+    Shapes computed here are written before they are searched, so that each polygon is measured once
+    and not for every filter and pass; units that carry their shape are searched where they are.
+    """
+    f = found if "is_rect" in found.columns else shapes.with_shape(found)
+    buildings = units.filter("unit_type = 'building'")
+    if "is_rect" not in units.columns:
+        buildings = stored(shapes.slim(shapes.with_shape(buildings.select(
+            "project_id", "unit_id", "ord", "parts")), "project_id", "unit_id", "ord"))
+    queued = stored(shapes.slim(shapes.with_shape(suggestions.select(
         "project_id", F.col("suggestion_id").alias("seen_id"), "ord",
-        U.chosen_outline().alias("parts")))
-    mapped = spatial.same_place(f, buildings, "suggestion_id", "unit_id", "mapped")
-    seen = spatial.same_place(f, queued, "suggestion_id", "seen_id", "seen")
+        U.chosen_outline().alias("parts"))), "project_id", "seen_id", "ord"))
+    once = stored(shapes.slim(f, "project_id", "suggestion_id"))
+    mapped = spatial.same_place(once, buildings, "suggestion_id", "unit_id", "mapped")
+    seen = spatial.same_place(once, queued, "suggestion_id", "seen_id", "seen")
     out = (f.join(mapped, ["project_id", "suggestion_id"], "left")
            .join(seen, ["project_id", "suggestion_id"], "left")
            .withColumn("outcome", F.when(F.col("mapped").isNotNull(), "already_mapped")

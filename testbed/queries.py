@@ -447,7 +447,7 @@ _BUILT = "g AS (SELECT unit_id AS known, k AS ord, x0, y0, x1, y1 FROM building)
 
 
 def _found(tb):
-    return shapes.with_shape(tb.kept("suggestions").select("project_id", "suggestion_id", "parts"))
+    return shapes.with_shape(tb.sighted().select("project_id", "suggestion_id", "parts"))
 
 
 def _queue(tb):
@@ -481,7 +481,7 @@ def _(tb):
        THEN 'rediscovered' ELSE 'fresh' END AS outcome, COUNT(*) AS n
        FROM f LEFT JOIN m USING (id) LEFT JOIN s USING (id) GROUP BY ALL""")
 def _(tb):
-    return detecting.sort_out(_found(tb), tb.kept("units"), _queue(tb)).report.select(
+    return detecting.sort_out(_found(tb), tb.seen(), _queue(tb)).report.select(
         "outcome", "n")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from strata3d.functions import shapes
 from strata3d.operators import footprints, gaps, ordered, rules, spatial, views
+from strata3d.plans import detecting
+from strata3d.schemas import PARTS
 from strata3d.session import checkpoint_dir, stored
 from testbed.queries import QUERIES
 from testbed.views import Testbed, duckdb_with
@@ -227,3 +229,47 @@ def test_units_derived_where_they_are_read_move_nothing_and_are_the_stored_ones(
     assert tb.seen() is kept and seen.dtypes == kept.dtypes and seen.count() == kept.count()
     assert seen.exceptAll(kept).isEmpty() and kept.exceptAll(seen).isEmpty()
     assert ids.exceptAll(tb.kept("relationships").select(*ids.columns)).isEmpty()
+
+
+def test_detections_are_measured_once_and_not_for_every_search(spark):
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+
+    def rows(*boxes):
+        return spark.createDataFrame([("P", f"S{i}", i, *map(float, b)) for i, b in enumerate(boxes)], (
+            "project_id string, suggestion_id string, ord long, x0 double, y0 double, x1 double, "
+            "y1 double")).withColumn("parts", shapes.rectangle(*box)).drop("x0", "y0", "x1", "y1")
+
+    found = rows((0, 0, 8, 8), (100, 0, 108, 8), (200, 0, 208, 8))
+    units = rows((1, 0, 9, 8), (40, 0, 48, 8)).select(
+        "project_id", F.col("suggestion_id").alias("unit_id"), F.lit("building").alias("unit_type"),
+        "ord", "parts")
+    queue = rows((101, 0, 109, 8), (1, 0, 9, 8)).withColumn("review_state", F.lit("pending")).withColumn(
+        "edited_parts", F.lit(None).cast(PARTS))
+    for held in (units, stored(shapes.with_shape(units))):
+        done = detecting.sort_out(shapes.with_shape(found), held, queue)
+        assert "isnan" not in plan(done.report).lower()         # of the general way to a box
+        assert {r.outcome: r.n for r in done.report.collect()} == {
+            "already_mapped": 1, "rediscovered": 1, "fresh": 1}
+        assert [r.suggestion_id for r in done.fresh.collect()] == ["S2"]
+
+
+def test_plain_rectangles_have_the_shape_of_the_general_way(spark):
+    nan, inf = float("nan"), float("inf")
+    square = [(0, 0), (2, 0), (2, 3), (0, 3), (0, 0)]
+    crossed = [(0, 0), (2, 3), (2, 0), (0, 3), (0, 0)]
+    half = [(0, 0), (2, 0), (2, 3), (0, 0), (0, 0)]
+    rings = [[square], [square[::-1]], [[*square[2:4], *square[:3]]], [crossed], [half],
+             [[*square[:4], (0, 1)]], [square[:4]], [[(0, 0), (2, 0), (2, 0), (0, 0), (0, 0)]],
+             [[(nan, 0), (2, 0), (2, 3), (nan, 3), (nan, 0)]],
+             [[(0, 0), (inf, 0), (inf, 3), (0, 3), (0, 0)]], [square, square]]
+    typed = [[[[tuple(map(float, p)) for p in r] for r in rs]] for rs in rings]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*typed, typed[0] * 2, [], None])],
+                               f"i int, parts {PARTS}")
+    got = {r.i: (r.x0, r.y0, r.x1, r.y1, r.is_rect, r.area) for r in shapes.with_shape(df).collect()}
+    whole = (0.0, 0.0, 2.0, 3.0)
+    assert [got[i] for i in (0, 1, 2)] == [(*whole, True, 6.0)] * 3
+    assert [got[i] for i in (3, 4, 5, 6, 10, 11)] == [
+        (*whole, False, a) for a in (0.0, 3.0, 6.0, 6.0, 0.0, 12.0)]
+    assert got[7][4] is False and got[7][5] == 0.0 and not got[8][4] and not got[9][4]
+    assert got[12] == (None, None, None, None, False, 0.0)
+    assert got[13] == (None, None, None, None, False, None)
