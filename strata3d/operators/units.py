@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import polygons, shapes
 from ..functions import scalars as S
 from ..schemas import ASSUMED_STOREY_M, ATTRIBUTES, MIN_COVERAGE, UNIT, names, struct
+from ..session import stored
 from . import raster
 
 
@@ -249,24 +250,35 @@ def apartments(floors: DataFrame, plans: DataFrame) -> DataFrame:
     """Plan polygons clipped to their floor, with the floor's height range.
 
     `floors`: unit columns and shape. `plans`: floor_id, plan_id, source_ids, confidence and
-    shape. Rectangles are clipped natively; other shapes go through the sweep, after boxes
-    that do not meet are gone.
+    shape. Rectangles are clipped natively. Other shapes, which are written first so that Spark
+    knows how few there are, meet apart and go through the sweep after boxes that do not meet are
+    gone; no pair of rectangles crosses to Python.
     """
     f = shapes.slim(floors, "project_id", F.col("unit_id").alias("floor_id"), "crs",
                     "vertical_datum", "lower_limit", "upper_limit",
                     F.col("attributes.parent_ulpin_14").alias("parent_ulpin_14"),
-                    F.col("attributes.floor_index").alias("floor_index")).alias("a")
-    p = shapes.slim(plans, "floor_id", "plan_id", "source_ids", "confidence").alias("b")
-    pair = f.join(p, F.col("a.floor_id") == F.col("b.floor_id"))
+                    F.col("attributes.floor_index").alias("floor_index"))
+    p = shapes.slim(plans, "floor_id", "plan_id", "source_ids", "confidence")
     x0, y0 = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
     x1, y1 = F.least("a.x1", "b.x1"), F.least("a.y1", "b.y1")
-    flat = F.col("a.is_rect") & F.col("b.is_rect")
-    pair = pair.filter((x0 < x1) & (y0 < y1)).withColumn("_flat", flat)
-    odd = ~F.col("_flat")
-    pair = pair.withColumn("_swept", polygons.intersection(
-        F.when(odd, shapes.full_parts("a")), F.when(odd, shapes.full_parts("b"))))
-    out = pair.withColumn("_made", F.when(F.col("_flat"), shapes.rectangle(x0, y0, x1, y1))
-                          .otherwise(F.col("_swept"))).filter(F.size("_made") > 0)
+
+    def meeting(floors, plans):
+        return floors.alias("a").join(plans.alias("b"), F.col("a.floor_id") == F.col(
+            "b.floor_id")).filter((x0 < x1) & (y0 < y1))
+
+    plain, odd = F.col("is_rect"), ~F.col("is_rect")
+    odd_floors, odd_plans = stored(f.filter(odd)), stored(p.filter(odd))
+    flat = meeting(f.filter(plain), p.filter(plain)).withColumn(
+        "_made", shapes.rectangle(x0, y0, x1, y1))
+    swept = [meeting(*pair).withColumn("_made", polygons.intersection(
+        shapes.full_parts("a"), shapes.full_parts("b"))).filter(F.size("_made") > 0)
+        for pair in ((odd_floors, p), (f.filter(plain), odd_plans))]
+    made = [_apartment(rows) for rows in (flat, *swept)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def _apartment(out: DataFrame) -> DataFrame:
+    """Clipped plans `_made` of floors `a` and plans `b` as units."""
     return out.select(
         "a.project_id", F.col("b.plan_id").alias("plan_id"),
         F.lit("apartment").alias("unit_type"), F.col("a.floor_id").alias("parent_id"),

@@ -758,7 +758,7 @@ def _(tb):
        -greatest(x0,px0))*(least(y1,py1)-greatest(y0,py0)),6) AS area, lower_limit
        FROM p JOIN floor ON unit_id = fid WHERE greatest(x0,px0) < least(x1,px1)""")
 def _(tb):
-    f = tb.kept("units").filter("unit_type = 'floor'")
+    f = tb.seen().filter("unit_type = 'floor'")
     h = F.explode(F.array(*[F.lit(i) for i in range(3)]))
     plans = f.select(F.col("unit_id").alias("floor_id"), "x0", "y0", "y1", h.alias("h")).select(
         "floor_id", F.concat_ws("/", "floor_id", F.col("h").cast("string")).alias("plan_id"),
