@@ -71,6 +71,8 @@ class Context:
         if self.parents is None:
             return self.units
         own = [c for c in spatial.PAIR if c != "parent_id"]
+        if self.nested is not None:
+            return shapes.slim(self.units, *own, F.col(self.nested).alias("parent_id"))
         return shapes.slim(self.units, *own).join(self.parents, ["project_id", "unit_id"], "left")
 
 

@@ -25,8 +25,10 @@ CELL_SIZES = (32.0, 256.0, 2048.0, 16384.0, 131072.0)
 MAX_HOME_CELLS = 64
 #: Siblings up to which all of a family are compared; larger families are cut into cells.
 FAMILY = 64
-#: Height of a bin where candidates are also split vertically.
+#: Least height of a bin where candidates are also split vertically.
 Z_BIN_M = 8.0
+#: Mean heights of a family in one bin: a row is cut into one and a half bins on average.
+BIN_HEIGHTS = 2.0
 
 
 def _span(lo: Column, hi: Column, size) -> Column:
@@ -52,16 +54,18 @@ def cells_at(df: DataFrame, sizes: Column) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame, *, keys: list[Column | str] = (),
                within: Column | None = None, self_join: bool = False,
-               split_z: bool = False) -> DataFrame:
+               split_z: Column | None = None) -> DataFrame:
     """Pairs (struct `a`, struct `b`) whose boxes meet and whose `keys` are null-safe equal.
 
     Needs x0,y0,x1,y1 on both sides and, for a self join, a total order column `unit_id`;
     then every unordered pair appears once, in no particular order of ends. `split_z` also
-    cuts candidates into height bins (rows without limits take part in none).
+    cuts candidates into height bins of so many metres, the same for all rows of a key (rows
+    without limits take part in none).
     """
     size = own_size(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     left, right = left.withColumn("_own", size), right.withColumn("_own", size)
-    if split_z:
+    if split_z is not None:
+        left, right = left.withColumn("_bin", split_z), right.withColumn("_bin", split_z)
         known = F.col("lower_limit").isNotNull() & F.col("upper_limit").isNotNull()
         left, right = left.filter(known), right.filter(known)
 
@@ -78,13 +82,13 @@ def candidates(left: DataFrame, right: DataFrame, *, keys: list[Column | str] =
         sizes = F.concat(F.array(own), F.filter("_sizes", lambda s: s > own))
         out = cells_at(out.select("*", payload.alias(name)), sizes)
         out = out.withColumn("role", F.explode(roles(F.col("cell") == own)))
-        if split_z:
+        if split_z is not None:
             out = out.withColumn("cz", F.explode(_span(
                 F.least("lower_limit", "upper_limit"),
-                F.greatest("lower_limit", "upper_limit"), Z_BIN_M)))
+                F.greatest("lower_limit", "upper_limit"), F.col("_bin"))))
         else:
-            out = out.withColumn("cz", F.lit(0).cast("bigint"))
-        return out.select(name, "_own", "cell", "cx", "cy", "cz", "role",
+            out = out.withColumns({"cz": F.lit(0).cast("bigint"), "_bin": F.lit(None).cast("double")})
+        return out.select(name, "_own", "cell", "cx", "cy", "cz", "role", "_bin",
                           *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
     none = F.array().cast("array<double>")
@@ -102,10 +106,10 @@ def candidates(left: DataFrame, right: DataFrame, *, keys: list[Column | str] =
     on += [a["x0"] <= b["x1"], b["x0"] <= a["x1"], a["y0"] <= b["y1"], b["y0"] <= a["y1"],
            F.floor(F.greatest(a["x0"], b["x0"]) / cell) == F.col("h.cx"),
            F.floor(F.greatest(a["y0"], b["y0"]) / cell) == F.col("h.cy")]
-    if split_z:
+    if split_z is not None:
         on.append(F.floor(F.greatest(F.least(a["lower_limit"], a["upper_limit"]),
                                      F.least(b["lower_limit"], b["upper_limit"]))
-                          / Z_BIN_M) == F.col("h.cz"))
+                          / F.col("h._bin")) == F.col("h.cz"))
     out = h.join(v, reduce(lambda p, q: p & q, on)).select("a", "b")
     return out if within is None else out.filter(within)
 
@@ -224,14 +228,22 @@ def sibling_overlaps(units: DataFrame) -> DataFrame:
     mine = [c for c in PAIR if c != "utility_kind"]
     own = stored(shapes.slim(units.filter(~F.col("unit_type").isin(*EASEMENT_TYPES) & known),
                              *mine))
-    # written, so that Spark knows how few large families there are before rows move
-    crowd = stored(own.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > FAMILY)
-                   .select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    # written, so that Spark knows how few large families there are before rows move; their bins
+    # are as high as their members, which tall ones would else be cut into one by one
+    tall = F.avg(F.abs(F.col("upper_limit") - F.col("lower_limit"))) * BIN_HEIGHTS
+    crowd = stored(own.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.greatest(tall, F.lit(Z_BIN_M)).alias("_height"))
+        .filter(F.col("n") > FAMILY)
+        .select("_height", *[F.col(k).alias(f"_{k}") for k in keys]))
     crowded = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    large = own.join(crowd, crowded, "left_semi")
-    # in structs null equals null; both sides of the join read this one exchange
+    large = own.join(crowd, crowded).drop(*[f"_{k}" for k in keys])
+    # in structs null equals null; both sides of the join read this one exchange. What a pair needs
+    # is asked here: Spark would ask it of one side or the other, and each would move by itself
     family = F.struct(*keys)
-    small = own.join(crowd, crowded, "left_anti").withColumn("_f", family).repartition("_f")
+    needed = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (
+        "unit_id", *shapes.BOX, "lower_limit", "upper_limit", "acc_v", "tolerance_k")])
+    small = own.filter(needed).join(crowd, crowded, "left_anti").withColumn(
+        "_f", family).repartition("_f")
 
     def side(name):
         return small.select(F.col("_f").alias(f"_{name}"), F.struct(*own.columns).alias(name))
@@ -241,7 +253,7 @@ def sibling_overlaps(units: DataFrame) -> DataFrame:
            a["y0"] <= b["y1"], b["y0"] <= a["y1"]]
     pairs = side("a").join(side("b"), reduce(lambda p, q: p & q, on)).select("a", "b")
     return conflicts(pairs.unionByName(candidates(
-        large, large, keys=keys, self_join=True, split_z=True)), need_area=True)
+        large, large, keys=keys, self_join=True, split_z=F.col("_height"))), need_area=True)
 
 
 def utility_targets(units: DataFrame, contains: DataFrame) -> DataFrame:

@@ -48,15 +48,16 @@ def joined(column: str, sep: str = ","):
 
 # --- validation rules ----------------------------------------------------------------------
 
-def rule(name: str, fn: rules.Rule, sql: str, located: bool = False) -> None:
-    """`located` rules also compare area and box of the affected region."""
+def rule(name: str, fn: rules.Rule, sql: str, located: bool = False, once: bool = False) -> None:
+    """`located` rules also compare area and box of the affected region; those that read units
+    `once` do not have them stored."""
     def run(tb: Testbed) -> DataFrame:
         where, region = [], F.col("affected_geometry")
         if located:
             box = shapes.bbox(region)
             where = [F.round(shapes.area(region), 4).alias("where_area"),
                      *[F.round(box[c], 4).alias(f"where_{c}") for c in shapes.BOX]]
-        return fn(tb.context()).select(
+        return fn(tb.seen_context() if once else tb.context()).select(
             "rule_id", "severity", "unit_id",
             F.array_join("related_unit_ids", ",").alias("related"),
             F.col("measured_value").alias("measured"), "tolerance", *where)
@@ -109,7 +110,7 @@ rule("rule_sibling_overlap", rules.sibling_overlap, finding_sql(
     WHERE a.unit_type NOT IN ('underground_feature', 'elevated_structure')
     AND {Q.ZOVER.format(tv=Q.TV)} AND {Q.eroded(Q.TH)}) WHERE shared > greatest(th*th, 1e-9)""",
     related="other", measured=Q.rx("shared", 2), tolerance=Q.rx("th", 3),
-    where=("shared", "wx0", "wy0", "wx1", "wy1")), located=True)
+    where=("shared", "wx0", "wy0", "wx1", "wy1")), located=True, once=True)
 rule("rule_gap", rules.gap_in_parent, finding_sql(
     "GAP_SIBLING", "warning", """(SELECT f.unit_id, a.unit_id || ',' || b.unit_id AS kids,
     greatest((b.x0 - sqrt(f.acc_h*f.acc_h*2)) - (a.x1 + sqrt(f.acc_h*f.acc_h*2)), 0e0)

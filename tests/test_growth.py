@@ -331,3 +331,50 @@ def test_apartments_are_made_without_storing_units(spark, monkeypatch):
     monkeypatch.setattr(queries, "_BEDS", {})
     QUERIES["apartments_from_plan"](spark, SMOKE)
     assert "units" not in queries.bed(spark, SMOKE)._kept
+
+
+def test_siblings_move_once_and_units_that_hold_their_parent_do_not_meet_edges(spark, monkeypatch):
+    units_, edges, sources, settings = tables(spark, UNITS)
+    up = edges.filter("rel_type = 'contains'").select(
+        "project_id", F.col("to_unit_id").alias("unit_id"), F.col("from_unit_id").alias("above"))
+    held = stored(shapes.with_shape(units_).join(up, ["project_id", "unit_id"], "left"))
+    met, own = (rules.Context.of(held, edges, sources, settings, nested=n) for n in (None, "above"))
+    assert "Aggregate" not in plan(own.family())
+    cols = ["unit_id", "parent_id", "unit_type", "acc_h", *shapes.BOX]
+    assert sorted(own.family().select(*cols).collect(), key=str) == sorted(
+        met.family().select(*cols).collect(), key=str)
+    wrote = []
+    monkeypatch.setattr(spatial, "stored", lambda df: wrote.append(df) or stored(df))
+    spatial.sibling_overlaps(own.family())
+    static = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in static}
+    try:
+        for k, v in static.items():
+            spark.conf.set(k, v)
+        pairs = plan(wrote[-1].select("*"))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange [project_id" in pairs
+    assert pairs.count("REPARTITION_BY_COL, [plan_id") == 1 + pairs.count("ReusedExchange [project_id")
+
+
+@pytest.mark.parametrize("heights", [[180.0] * 8, [3.0, 3.0, 180.0, 2.0, 4.0, 3.0, 0.0, 90.0]])
+def test_large_families_are_cut_into_bins_as_high_as_their_members(spark, monkeypatch, heights):
+    home = ("P", "land_parcel", (0, 0, 300, 300), (800.0, 1100.0), ["SRC-005"], None, None, None)
+    kids = [(f"B{i}", "building", (10 * i, 0, 10 * i + 26, 8), (880.0 + 2 * i, 880.0 + 2 * i + h),
+             ["SRC-005"], "P", None, None) for i, h in enumerate(heights)]
+    ctx = rules.Context.of(*tables(spark, [home, *kids]))
+    bins, real = [], spatial.candidates
+
+    def cut(left, right, **known):
+        bins.extend(r[0] for r in left.select(known["split_z"]).distinct().collect())
+        return real(left, right, **known)
+
+    monkeypatch.setattr(spatial, "candidates", cut)
+    got = []
+    for family in (64, 2):
+        monkeypatch.setattr(spatial, "FAMILY", family)
+        got.append({(r.unit_id, r.related_unit_ids[0]) for r in rules.sibling_overlap(ctx).collect()})
+    assert bins == [max(8.0, 2 * sum(heights) / len(heights))]
+    assert got[0] == got[1] and got[0]
