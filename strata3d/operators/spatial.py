@@ -236,7 +236,9 @@ def sibling_overlaps(units: DataFrame) -> DataFrame:
         .filter(F.col("n") > FAMILY)
         .select("_height", *[F.col(k).alias(f"_{k}") for k in keys]))
     crowded = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    large = own.join(crowd, crowded).drop(*[f"_{k}" for k in keys])
+    # a pair carries what it is decided by; its family is the key and moves once
+    pair = [c for c in own.columns if c not in ("unit_type", "parent_id", "area")]
+    large = own.join(crowd, crowded).select(*pair, *crowd.columns)
     # in structs null equals null; both sides of the join read this one exchange. What a pair needs
     # is asked here: Spark would ask it of one side or the other, and each would move by itself
     family = F.struct(*keys)
@@ -246,14 +248,14 @@ def sibling_overlaps(units: DataFrame) -> DataFrame:
         "_f", family).repartition("_f")
 
     def side(name):
-        return small.select(F.col("_f").alias(f"_{name}"), F.struct(*own.columns).alias(name))
+        return small.select(F.col("_f").alias(f"_{name}"), F.struct(*pair).alias(name))
 
     a, b = F.col("a"), F.col("b")
     on = [F.col("_a") == F.col("_b"), a["unit_id"] < b["unit_id"], a["x0"] <= b["x1"], b["x0"] <= a["x1"],
            a["y0"] <= b["y1"], b["y0"] <= a["y1"]]
     pairs = side("a").join(side("b"), reduce(lambda p, q: p & q, on)).select("a", "b")
     return conflicts(pairs.unionByName(candidates(
-        large, large, keys=keys, self_join=True, split_z=F.col("_height"))), need_area=True)
+        large, large, keys=[f"_{k}" for k in keys], self_join=True, split_z=F.col("_height"))), need_area=True)
 
 
 def utility_targets(units: DataFrame, contains: DataFrame) -> DataFrame:
